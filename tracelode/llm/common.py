@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "shared_dir", "word_count"]
+
 #: ASCII white space: what separates words in every operator here.
 SPACE = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -19,23 +22,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracelode-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts 0."""
     bare = F.btrim(text, F.lit(SPACE))
