@@ -1,0 +1,399 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on messy tables."""
+
+import hashlib
+import random
+import struct
+
+import numpy as np
+import pytest
+import xxhash
+import zstandard
+from pyspark.sql import functions as F
+
+from tracelode.llm import ann, chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, warc
+
+SF = "/root/testdata/sf0.001"
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, __at int, at int, seed long, toks string, gone long, alone int, leaked int, c0 string"
+
+
+def messy(spark, texts=None):
+    """Nulls in every column, empty and very long texts, repeated rows, further columns with clashing names."""
+    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    rows = texts or [(1, "a quick brown fox jumps over it"), (2, None), (3, ""), (4, "   \n"), (5, long), (6, "x" * 100_000), (None, "null id here"), (None, None), (7, "same row"), (7, "same row"), (8, "é ü ñ ß"), (9, "a quick brown fox jumps over it")]
+    return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, k, None, 0, 1, 2, "t", 3, 4, 5, None) for k, (i, t) in enumerate(rows)], CLASH)
+
+
+def empty(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def water_fill(sizes, weights, cap=3.0):
+    total, target, full = sum(sizes), [0.0] * len(sizes), set()
+    while True:
+        rest = total - sum(cap * sizes[i] for i in full)
+        w = sum(weights[i] for i in range(len(sizes)) if i not in full)
+        if not w:
+            return [cap * s for s in sizes]
+        target = [cap * sizes[i] if i in full else rest * weights[i] / w for i in range(len(sizes))]
+        more = {i for i in range(len(sizes)) if i not in full and target[i] > cap * sizes[i] + 1e-9}
+        if not more:
+            return target
+        full |= more
+
+
+def test_mix_targets_and_takes(spark, docs):
+    out = mixing.mixture(docs).toPandas()
+    src = {r[0]: r[1] for r in docs.select("doc_id", "source").collect()}
+    out["source"] = out.doc_id.map(src)
+    g = out.groupby("source").agg(size=("size", "sum"), source_size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum")).sort_index()
+    assert (g["size"] == g.source_size).all()
+    want = water_fill(g["size"].tolist(), [(5, 2, 1)[i % 3] for i in range(len(g))])
+    assert np.allclose(g.target, want)
+    assert np.isclose(g.target.sum(), g["size"].sum())
+    biggest = out.groupby("source")["size"].max()
+    assert ((g.taken - g.target).abs() <= biggest).all()
+    assert (out.taken <= 3 * out["size"]).all()
+    again = mixing.mixture(docs.repartition(5)).toPandas().set_index("doc_id").sort_index()
+    assert (again.taken == out.set_index("doc_id").sort_index().taken).all()
+
+
+def test_mix_caps_a_small_source(spark):
+    rows = [(i, "w " * 10, "a") for i in range(2)] + [(10 + i, "w " * 10, "b") for i in range(200)]
+    out = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert out[out.doc_id < 10].target.iloc[0] == 60.0 and (out[out.doc_id < 10].taken == 30).all()
+    assert np.isclose(out[out.doc_id >= 10].target.iloc[0], 2020 - 60)
+
+
+def test_positions_invert_the_schedule(spark):
+    knots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in ((0.0, 1.0), (0.5, 3.0), (1.0, 0.0))))
+    got = [r[0] for r in spark.range(0, 101).select(mixing.position(F.col("id") / 100.0, knots)).collect()]
+    grid = np.linspace(0, 1, 200_001)
+    w = np.interp(grid, [0, 0.5, 1], [1, 3, 0])
+    area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+    want = np.interp(np.linspace(0, 1, 101), area / area[-1], grid)
+    assert np.allclose(got, want, atol=2e-3)
+
+
+def test_mix_messy_and_order(spark, docs):
+    out = mixing.mix(messy(spark))
+    assert out.columns == messy(spark).columns and out.count() > 0
+    assert mixing.mixture(messy(spark)).count() == 12
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixture(empty(spark)).count() == 0
+    taken = {r[0]: r[1] for r in mixing.mixture(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int")).collect()}
+    assert {r[0]: r[1] for r in mixing.mix(docs).groupBy("doc_id").count().collect()} == {k: v for k, v in taken.items() if v}
+
+
+# 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_events_fold(spark):
+    log = [
+        (1, 0, "m1", "message", "user", "hi"), (1, 1, "m2", "delta", "assistant", "He"), (1, 2, "m2", "delta", "assistant", "llo"), (1, 3, "m1", "edit", "user", "hi there"),
+        (1, 4, "m2", "regenerate", "assistant", ""), (1, 5, "m2", "delta", "assistant", "Good "), (1, 6, "m2", "delta", "assistant", "day"), (1, 7, "m3", "message", "user", "bye"), (1, 8, "m3", "delete", "user", None),
+        (2, 0, "x", "message", "user", None), (None, 0, "y", "message", None, "no id"), (3, 0, "z", "message", "user", "twice"), (3, 0, "z", "message", "user", "twice"),
+    ]
+    ev = spark.createDataFrame(log, "conv_id long, seq long, message_id string, kind string, role string, text string")
+    got = sorted(((r.conv_id, r.seq, r.role, r.text) for r in chat.fold(ev).collect()), key=str)
+    want = [(1, 0, "user", "hi there"), (1, 1, "assistant", "Good day"), (2, 0, "user", ""), (None, 0, "", "no id"), (3, 0, "user", "twice"), (3, 0, "user", "twice")]
+    assert got == sorted(want, key=str)
+    assert chat.fold(ev.limit(0)).count() == 0
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(4)
+    bits = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "\\", "<\\s>", "[\\\\INST]", "é", "\n", " ", "[INST", "$1", "<"]
+    rows = [(c, t, rng.choice(["user", "assistant", "<s>odd"]), "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for c in range(40) for t in range(rng.randrange(1, 7))]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(chat.from_turns(conv))).collect()}
+    for c in got:
+        mine = [r for r in rows if r[0] == c]
+        assert [(m.role, m.text) for m in got[c].messages] == [(r[2], r[3]) for r in mine]
+        assert got[c].learned == [r[3] for r in mine if r[2] == "assistant"]
+    full = {r.conv_id: r for r in chat.format_chat(chat.from_turns(conv)).collect()}
+    for c, r in full.items():
+        assert [r.formatted[s.first : s.last] for s in r.loss_mask] and True or not got[c].learned
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def cnn():
+    return secrets.train()
+
+
+def test_secrets_held_out(cnn):
+    found = secrets.generated(1200, seed=99)
+    texts = [a + b + c for a, b, c, _ in found]
+    hit = [any(s <= len(a) and e >= len(a) + min(len(b), 20) for _, s, e, _ in x) for (a, b, _, _), x in zip(found, secrets.scan_batch(texts, cnn), strict=True)]
+    y = np.array([f[3] for f in found])
+    hit = np.array(hit)
+    assert hit[y == 1].mean() > 0.9 and hit[y == 0].mean() < 0.02
+
+
+def test_secret_rules(spark, cnn):
+    texts = ["secret: token : abcdefg", 'Password = "hunter22x"', "AKIA" + "A" * 15, "AKIA" + "A" * 16, "f" * 23 + " " + "0a" * 12, None, "", "api_key=" + "0123456789abcdef" * 2, "ſecret=abcdefg"]
+    assert [[s[0] for s in secrets.base_spans(t or "")] for t in texts] == [[], ["assign"], [], ["access"], ["hex"], [], [], ["assign", "hex"], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.digest(secrets.scan(df, cnn)).collect()}
+    assert out[5].base_sha256 == hashlib.sha256(b"").hexdigest() and out[5].spans == ""
+    assert out[7].spans == "assign:0:40,hex:8:40" and out[7].n_hex == 1
+    assert secrets.scan(messy(spark), cnn).count() == 12 and secrets.scan(empty(spark), cnn).count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_leaks_tolerate_substitutions(spark):
+    rng = random.Random(1)
+    item = [f"t{i}" for i in range(40)]
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    part = item[10:32]
+    few = [w if i % 13 else "other" for i, w in enumerate(item)]
+    rows = [(1, noise(50) + item + noise(9)), (2, noise(30) + few + noise(30)), (3, noise(8) + part), (4, noise(200)), (5, item[:9] + noise(30)), (6, noise(3) + "one two three four five six".split() + noise(3))]
+    docs = spark.createDataFrame([(i, " ".join(w).upper() + "!") for i, w in rows] + [(7, None), (None, " ".join(item))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ", ".join(item)), (2, "One two three, four five six."), (3, "short"), (4, None)], "item_id long, text string")
+    want = {(1, 1), (2, 1), (3, 1), (6, 2), (None, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, most=0).collect()} == want  # the way without broadcast
+    assert {r.doc_id for r in decontaminate.drop_leaked(docs, items).collect()} == {4, 5, 7, None} - {None} | {None}
+
+
+def test_leaks_against_brute_force(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    import re
+
+    tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = {}
+    for r in items.collect():
+        w = tok(r.text)
+        for k in range(len(w) - 12):
+            grams.setdefault(tuple(w[k : k + 13]), set()).add(r.item_id)
+    want = {(r.doc_id, i) for r in docs.collect() for w in [tok(r.text)] for k in range(len(w) - 12) for i in grams.get(tuple(w[k : k + 13]), ())}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert want and want <= got and len(got) <= len(want) + 1
+    assert decontaminate.drop_leaked(messy(spark), items).count() == 12
+    assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_nearest_recall_and_scores(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = sorted((r.vec_id, np.array(r.embedding, float)) for r in v.select("vec_id", "embedding").collect()) if False else [(r.vec_id, np.array(r.embedding, float)) for r in v.orderBy("vec_id").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
+    out = ann.search(v, F.col("vec_id") % 50 == 0).toPandas()
+    hits = 0
+    for q in range(0, len(ids), 50):
+        s = x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        s[q] = -9
+        best = ids[np.lexsort((ids, -s))[:5]]
+        mine = out[out["query_id"] == ids[q]].sort_values("rank")
+        assert mine["rank"].tolist() == [1, 2, 3, 4, 5] and (np.diff(mine.score) <= 0).all()
+        assert np.allclose(mine.score, [s[np.flatnonzero(ids == i)[0]] for i in mine.vec_id], atol=1e-12)
+        hits += len(set(best) & set(mine.vec_id))
+    assert hits / (5 * len(range(0, len(ids), 50))) >= 0.9
+
+
+def test_nearest_ties_and_bad_vectors(spark):
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    rows = [(0, one), (1, one), (2, one), (3, [2.0, 0.0]), (4, two), (5, None), (6, [0.0, 0.0]), (7, [1.0, None]), (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (None, one), (10, [1.0]), (11, one), (12, one), (13, one), (14, one), (0, one)]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)), F.col("vec_id") % 4 == 0).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [1, 2, 3, 11, 12], 4: [0, 1, 2, 3, 11], 12: [0, 1, 2, 3, 11]}
+    assert ann.search(spark.createDataFrame([(0, None)], "vec_id long, embedding array<float>"), F.col("vec_id") >= 0).count() == 0
+    two = ann.search(spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 0.5])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    assert {(r.query_id, r.vec_id) for r in two} == {(0, 1), (1, 0)}
+
+
+# 6, 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.train(docs.where(~held))
+    out = langid.identify(docs.where(held), model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (out.lang_pred == out.lang).mean() > 0.98 and out.score.between(0, 1).all()
+    m = {r.doc_id: r for r in langid.identify(messy(spark), model).collect()}
+    assert m[2].lang_pred == "und" and m[3].lang_pred == "und" and m[4].score == 0.0 and m[1].lang_pred in model.langs
+    assert langid.identify(empty(spark), None).count() == 0 and langid.train(docs.limit(0)) is None
+    assert {r.lang_pred for r in langid.identify(messy(spark), None).collect()} == {"und"}
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality.train(docs, labels, learn_from=~held)
+    out = quality.scored(docs.where(held), model, "doc_id").join(labels, "doc_id").toPandas()
+    assert (out.predicted == out.quality).mean() > 0.95 and out.score.between(0, 1).all()
+    kept = quality.keep_good(messy(spark), model)
+    assert kept.columns == messy(spark).columns
+    assert quality.scored(messy(spark), model, "doc_id").count() == 12 and quality.scored(empty(spark), model, "doc_id").count() == 0
+    odd = spark.createDataFrame([(None, 1), (1, None), (2, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.train(messy(spark), odd).score(np.zeros((1, len(quality.FEATURES))))[0] > 0.5
+    assert quality.train(messy(spark), odd.limit(0)).score(np.zeros((1, 20)))[0] == 0.5
+
+
+def test_additive_model_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    m = quality.fit(x[:3000], y[:3000], rounds=20, pair_rounds=60)
+    assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+
+
+# 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+    words = [w for w in words if w]
+    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_groups(prints):
+    ids = list(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (prints[ids[a]] ^ prints[ids[b]]).bit_count() <= 4:
+                x, y = find(ids[a]), find(ids[b])
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_against_brute_force(spark, docs):
+    want = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
+    out = simhash.simhash_groups(docs).collect()
+    assert {r.doc_id: int(r.fingerprint, 16) for r in out} == want
+    assert {r.doc_id: r.component_id for r in out} == brute_groups(want)
+
+
+def test_links_in_random_fingerprints(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    pts = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 8))) for b in base for _ in range(30)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    for d in (2, 4, 6):
+        got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(signed(p),) for p in pts], "fp long"), d).collect()}
+        rows = simhash.links(spark.createDataFrame([(signed(p),) for p in pts], "fp long"), d).count()
+        want = {tuple(sorted((signed(a), signed(b)))) for a in pts for b in pts if a < b and (a ^ b).bit_count() <= d}
+        assert got == want and rows == len(want)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 61)) and all(got[1000 + i] == 1000 for i in range(1, 50)) and len(got) == 109
+
+
+def test_simhash_messy(spark):
+    out = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_groups(messy(spark)).collect()]
+    assert len(out) == 12 and all(f == "0" * 16 for i, f, _ in out if i in (2, 3, 4)) and all(c == 2 for i, _, c in out if i in (2, 3, 4)) and all(c == 1 for i, _, c in out if i in (1, 9))
+    kept = simhash.drop_near_copies(messy(spark))
+    assert kept.columns == messy(spark).columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 6, 7, 8]
+    assert kept.where("doc_id is null").count() == 2
+    assert simhash.simhash_groups(empty(spark)).count() == 0 and simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_best_fit(sizes, length):
+    rooms, rows = [], []
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        fit = [r for r in range(len(rooms)) if rooms[r] >= sizes[k]]
+        if fit:
+            r = min(fit, key=lambda r: rooms[r])
+        else:
+            rooms.append(length)
+            rows.append([])
+            r = len(rooms) - 1
+        rows[r].append(k)
+        rooms[r] -= sizes[k]
+    return rows
+
+
+def test_best_fit_decreasing_matches_plain_search():
+    rng = random.Random(3)
+    for length in (1, 7, 64, 100):
+        sizes = [rng.randrange(1, length + 1) for _ in range(300)]
+        rows = packing.best_fit_decreasing(sizes, length)
+        assert sorted(k for r in rows for k in r) == list(range(300)) and all(sum(sizes[k] for k in r) <= length for r in rows)
+        fills = lambda rs: sorted(sum(sizes[k] for k in r) for r in rs)
+        assert fills(rows) == fills(plain_best_fit(sizes, length))
+
+
+def decode(packed):
+    enc, parts = packing.encoding(), {}
+    for r in packed.collect():
+        ids, pos = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.positions, "<u2")
+        assert len(ids) == len(pos) and r.cu_seqlens[-1] == r.n_tokens
+        for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            assert (pos[a:b] == np.arange(b - a)).all()
+            parts.setdefault(doc, []).append((piece, ids[a:b]))
+    out = {}
+    for doc, own in parts.items():
+        ids = np.concatenate([x for _, x in sorted(own, key=lambda x: x[0])])
+        assert ids[-1] == 50256
+        out[doc] = enc.decode([int(i) for i in ids[:-1]])
+    return out
+
+
+def test_packing_is_lossless(spark, docs, tmp_path):
+    packed = packing.pack(docs, length=256)
+    assert decode(packed) == {r.doc_id: r.text or "" for r in docs.collect()}
+    assert packing.pack(docs).agg(F.sum("n_tokens")).first()[0] / (packing.pack(docs).count() * 2048) > 0.9
+    shards = packing.write_shards(packed, f"file://{tmp_path}/out").collect()
+    raw = b"".join((tmp_path / "out" / s.ids_path).read_bytes() for s in sorted(shards, key=lambda s: s.shard))
+    assert len(raw) == 512 * sum(s.rows for s in shards) and raw == b"".join(r.ids for r in packed.orderBy("pack_id").collect())
+
+
+def test_packing_messy(spark):
+    out = decode(packing.pack(messy(spark).where("doc_id is null or doc_id <> 7"), length=128).where("true"))
+    assert out[2] == "" and len(out[6]) == 100_000 and out[5].startswith("w0 w1")
+    assert packing.pack(empty(spark)).count() == 0
+    assert packing.unpacked(packing.pack(messy(spark), length=64)).where("doc_id = 7").count() == 2
+
+
+# 10 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "ü" * 200 + "\r\n\r\nWARC/1.1"
+    rows = [(1, "http://a/1%", big, 9), (5, "http://a/5\nx", big, 9), (3, None, "tiny", 9), (4, "u", "tiny", 9), (2, "u", None, 9), (None, "u", big, 9), (6, "u", "z" * 100, 9), (6, "u", "z" * 100, 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    index = warc.write(pages, f"file://{tmp_path}/w", frame=300).collect()
+    out = {r.page_id: r for r in warc.read(spark, f"file://{tmp_path}/w").collect()}
+    for i, u, h, _ in rows:
+        raw, r = (h or "").encode(), out[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest()) and r.url == (u or "")
+        assert (r.record_type == "revisit") == (i == 5) and r.refers_to == (1 if i == 5 else None) and (r.record_type == "revisit" or r.payload == raw)
+    for x in index:
+        head, _ = warc.read_record((tmp_path / "w" / x.bundle).read_bytes(), x.frame, x.offset)
+        assert head["WARC-Record-ID"] == f"<urn:page:{'' if x.page_id is None else x.page_id}>"
+    raw = next((tmp_path / "w").glob("*.zst")).read_bytes()
+    assert struct.unpack("<I", raw[-4:])[0] == 0x8F92EAB1 and len(warc.seek_table(raw)) >= 1
+    whole = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True) if hasattr(zstandard, "ZstdDecompressor") else None
+    assert whole.decompress(raw).startswith(b"WARC/1.1")  # a plain reader skips the seek table
+    assert warc.archived(pages.limit(0)).count() == 0

@@ -1,0 +1,33 @@
+"""The pipeline's stages against plain versions of what each must do."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from tracelode.llm import decontaminate, quality, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "mixing", "token-ID output"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before, now = now, stage(spark, now, SF).localCheckpoint() if False else stage(spark, now, SF)
+        now = spark.createDataFrame(now.collect(), docs.schema)
+        assert now.columns == docs.columns
+        ids = [r.doc_id for r in now.collect()]
+        if k == 0:
+            assert all(i in ids for i, q in labels.items() if q == 1) and sum(i in ids for i, q in labels.items() if q == 0) <= 1
+        if k == 1:
+            groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(before).collect()}
+            assert sorted(ids) == sorted(i for i, c in groups.items() if i == c)
+        if k == 2:
+            bad = {r.doc_id for r in decontaminate.leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+            assert sorted(ids) == sorted(r.doc_id for r in before.collect() if r.doc_id not in bad)
+        if k == 3:
+            assert set(ids) <= {r.doc_id for r in before.collect()}
+    assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first()[0] > 0
+    assert quality.FEATURES

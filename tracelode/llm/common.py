@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "shared_dir", "word_count"]
+__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "shared_dir", "shielded", "word_count"]
 
 #: ASCII white space: what separates words in every operator here.
 SPACE = " \t\n\x0b\f\r"
@@ -22,6 +22,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns c0, c1, ..., and which of them each column is: whatever the table's own names, an operator's can't clash with them."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(reversed(list(zip(docs.columns, names, strict=True))))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts 0."""
     bare = F.btrim(text, F.lit(SPACE))

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shielded
+
 MASKS = ("111010110011", "110011010111")
 BROADCAST_ROWS = 1_000_000
 
@@ -70,5 +72,7 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, lea
 
 def drop_leaked(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that hold no passage of an item."""
-    bad = leaks(docs.select("doc_id", "text"), items, **how).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__leaked"), "left_anti")
+    rows, named = shielded(docs)
+    own = F.col(named["doc_id"])
+    bad = leaks(rows.select(own.alias("doc_id"), F.col(named["text"]).alias("text")), items, **how).select(F.col("doc_id").alias("leaked")).distinct()
+    return rows.join(bad, own == F.col("leaked"), "left_anti").toDF(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, platt
+from .common import pieces, platt, shielded
 
 SAMPLE = 8000
 FEATURES = (
@@ -113,15 +113,19 @@ def _tree(g: np.ndarray, h: np.ndarray, cuts: int = 2, least: float = 1.0) -> np
 
 
 def _block_tree(g: np.ndarray, h: np.ndarray, least: float = 1.0) -> np.ndarray:
-    """A tree over two features: the best cut of each, four leaves."""
-    pick = []
-    for axis in (0, 1):
-        gs, hs = g.sum(1 - axis), h.sum(1 - axis)
-        gl, hl = np.cumsum(gs)[:-1], np.cumsum(hs)[:-1]
-        pick.append(int((gl**2 / (hl + least) + (gs.sum() - gl) ** 2 / (hs.sum() - hl + least)).argmax()) + 1 if len(gl) else len(gs))
+    """A tree over two features: a cut of each, four leaves, the best pair of cuts of all."""
+    def corners(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        c = x.cumsum(0).cumsum(1)
+        low, rows, cols, every = c[:-1, :-1], c[:-1, -1:], c[-1:, :-1], c[-1, -1]
+        return low, rows - low, cols - low, every - rows - cols + low
+
     out = np.zeros(g.shape)
-    for r in (slice(0, pick[0]), slice(pick[0], None)):
-        for c in (slice(0, pick[1]), slice(pick[1], None)):
+    if min(g.shape) < 2:
+        return out
+    gain = sum(a**2 / (b + least) for a, b in zip(corners(g), corners(h), strict=True))
+    i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+    for r in (slice(0, i + 1), slice(i + 1, None)):
+        for c in (slice(0, j + 1), slice(j + 1, None)):
             out[r, c] = g[r, c].sum() / (h[r, c].sum() + least)
     return out
 
@@ -212,6 +216,6 @@ def scored(docs: DataFrame, model: Gam, *keep: str, threshold: float = 0.3, only
 
 def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that the model doesn't reject, with the columns of `docs`; one pass without a shuffle."""
-    names = [f"__c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    return scored(rows, model, *names, threshold=threshold, only_good=True).select(*names).toDF(*docs.columns)
+    rows, named = shielded(docs)
+    kept = scored(rows.withColumn("text", F.col(named["text"])), model, *rows.columns, threshold=threshold, only_good=True)
+    return kept.select(*rows.columns).toDF(*docs.columns)

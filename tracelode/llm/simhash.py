@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, pieces, shielded
 
 SEED = 42
 
@@ -137,7 +137,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Da
     """The rows of `docs` without all but one document, that of the smallest doc_id, of each group.
 
     A doc_id that stands in several rows stays once. Rows with a null doc_id can't be told apart by id; they stay."""
-    gone = simhash_groups(docs.select("doc_id", "text"), shingle, distance).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.withColumn("__alone", alone).dropDuplicates(["doc_id", "__alone"]).drop("__alone")
+    rows, named = shielded(docs)
+    own = F.col(named["doc_id"])
+    groups = simhash_groups(rows.select(own.alias("doc_id"), F.col(named["text"]).alias("text")), shingle, distance)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = rows.join(gone, own == F.col("gone"), "left_anti").withColumn("alone", F.when(own.isNull(), F.monotonically_increasing_id()))
+    return left.dropDuplicates([named["doc_id"], "alone"]).drop("alone").toDF(*docs.columns)
