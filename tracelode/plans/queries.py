@@ -142,9 +142,9 @@ def _event_ip():
     return F.concat_ws(".", s(F.col("event_id") * 7 % 300), s(F.col("event_id") % 256), s(F.col("event_id") * 3 % 256), s(F.col("user_id") % 256))
 
 
-@query(f"SELECT event_id, ip, {sql.ip_class('ip')} AS ip_class, n FROM (SELECT event_id, {_IP} AS ip, {_IPNUM} AS n FROM events)")
+@query(f"SELECT event_id, ip, {sql.ip_class('ip')} AS ip_class, coalesce(n, -1) AS n FROM (SELECT event_id, {_IP} AS ip, {_IPNUM} AS n FROM events)")
 def ip_classes(spark, d):
-    return table(spark, d, "events").withColumn("ip", _event_ip()).select("event_id", "ip", va.classify_ip("ip").alias("ip_class"), va.ip_number("ip").alias("n"))
+    return table(spark, d, "events").withColumn("ip", _event_ip()).select("event_id", "ip", va.classify_ip("ip").alias("ip_class"), F.coalesce(va.ip_number("ip"), F.lit(-1)).cast("long").alias("n"))
 
 
 @query("""
@@ -466,12 +466,12 @@ def master_second_insert(spark, d):
 _BLOCKS = [(k * 16777216, (k + 1) * 16777216 - 1, ["US", "RU", "DE", "CN", "FR", "BR"][k % 6], f"R{k % 5}", f"City{k % 7}", f"AS{k}", float(k % 90), float(k % 180), "local") for k in range(1, 224, 2)]
 _BLOCKS += [(k * 16777216 + 65536 * 40, k * 16777216 + 65536 * 90 - 1, "IR", "Rx", f"Town{k % 3}", f"AS9{k}", 1.5, 2.5, "fine") for k in range(1, 224, 8)]
 _BLOCK_COLS = "start_ip long, end_ip long, country string, region string, city string, asn string, lat double, lon double, source string"
-_BLOCK_SQL = "b AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {z}, {', '.join(sql.q(x) for x in r[:4])}, {r[4]}, {r[5]}, {sql.q(r[6])})" for a, z, *r in _BLOCKS) + ") v(start_ip, end_ip, country, region, city, asn, lat, lon, source))"
+_BLOCK_SQL = "blk AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {z}, {', '.join(sql.q(x) for x in r[:4])}, {r[4]}, {r[5]}, {sql.q(r[6])})" for a, z, *r in _BLOCKS) + ") v(start_ip, end_ip, country, region, city, asn, lat, lon, source))"
 _FIRST = lambda ip: f"split_part({ip}, '.', 1)::INT"
 _NONGLOBAL = "(n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225479 OR n BETWEEN 3221225642 AND 3221225643 OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n >= 3758096384)"
 _GEO_SQL = f"""e AS (SELECT DISTINCT {_IP} AS ip, {_IPNUM} AS n FROM events), {_BLOCK_SQL}, g AS (
   SELECT ip, CASE WHEN n IS NULL OR {_NONGLOBAL} THEN 'Invalid or non-global IP address' WHEN m IS NULL THEN 'No data available' END AS error, m FROM (
-    SELECT e.ip, e.n, (SELECT arg_min({{'country': country, 'city': city, 'asn': asn, 'source': source}}, end_ip - start_ip) FROM b WHERE e.n BETWEEN start_ip AND end_ip AND NOT {_NONGLOBAL.replace('n ', 'e.n ')}) AS m FROM e))"""
+    SELECT e.ip, e.n, (SELECT arg_min({{'country': country, 'city': city, 'asn': asn, 'source': source}}, end_ip - start_ip) FROM blk WHERE e.n BETWEEN start_ip AND end_ip AND NOT {_NONGLOBAL.replace('n ', 'e.n ')}) AS m FROM e))"""
 
 
 def _blocks(spark) -> DataFrame:
