@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx
 
@@ -55,7 +56,7 @@ def pending_cases(listing: DataFrame, done: DataFrame) -> DataFrame:
     return listing.where(F.col("is_dir") | archive).select(case.alias("case_name"), "name").join(done.select("case_name"), "case_name", "left_anti")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_utf8(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8, bad bytes dropped."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
@@ -68,7 +69,7 @@ def texts(files: DataFrame, undo: bool = True) -> DataFrame:
     return files.where(readable).select("case_name", "file_name", "ord", (tx.deobfuscate(body) if undo else body).alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def printable(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8 without bad bytes and without what is neither printable nor white space."""
     return content.map(lambda b: "".join(c for c in bytes(b or b"").decode("utf-8", "ignore") if c.isprintable() or c.isspace()))
