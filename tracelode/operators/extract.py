@@ -19,17 +19,24 @@ NEEDS = {
 }
 
 
-def occurrences(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """array of (value, position): every match of a pattern, its white space trimmed off, and where it starts (code points, from 0)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # what stands between the matches gives their places: a second pass, made only where something was found
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    sizes = F.transform(found, lambda m: F.length(m))
-    place = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n)
-    pairs = F.transform(found, lambda m, i: F.struct(F.regexp_replace(m, r"(?U)^\s+|\s+\z", "").alias("value"), place(i).alias("position")))
-    some = F.filter(pairs, lambda p: p["value"] != "")
-    hit = text.rlike(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
-    return F.when(hit, some).otherwise(F.array().cast("array<struct<value:string,position:int>>"))
+def quoted(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurrences(label: str, pattern: str, needs: str | None = None, text: str = "text") -> Column:
+    """array of (category, value, position): every match of a pattern in a column, its white space trimmed off, and where it starts (code points, from 0).
+
+    What stands between the matches gives their places: a second pass of the pattern, made, like the first, once for each text and
+    only where something is found. One SQL expression, since 21 of these are built for each plan."""
+    p = quoted(pattern)
+    test = f"{text} RLIKE {quoted(needs)} AND {text} RLIKE {p}" if needs else f"{text} RLIKE {p}"
+    place = "aggregate(slice(s.g, 1, i + 1), 0, (a, n) -> a + n) + aggregate(slice(s.m, 1, i), 0, (a, n) -> a + length(n))"
+    bare = f"regexp_replace(v, {quoted('(?U)^\\s+|\\s+\\z')}, '')"
+    each = f"transform(s.m, (v, i) -> named_struct('category', {quoted(label)}, 'value', {bare}, 'position', {place}))"
+    parts = f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', transform(split({text}, {p}, -1), x -> length(x)))"
+    some = f"get(transform(array({parts}), s -> filter({each}, r -> r.value <> '')), 0)"
+    return F.expr(f"CASE WHEN {test} THEN {some} ELSE CAST(array() AS array<struct<category:string,value:string,position:int>>) END")
 
 
 def matches(texts: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -37,11 +44,7 @@ def matches(texts: DataFrame, categories: list[str] | None = None) -> DataFrame:
 
     One scan of the texts; a category's cheap test runs before its pattern. Null and empty texts have none."""
     kinds = categories or list(fixed.PATTERNS)
-
-    def named(c: str) -> Column:
-        return F.transform(occurrences(F.col("text"), FLAGS + fixed.PATTERNS[c], NEEDS[c]), lambda m: F.struct(F.lit(c).alias("category"), m["value"].alias("value"), m["position"].alias("position")))
-
-    each = [named(c) for c in kinds]
+    each = [occurrences(c, FLAGS + fixed.PATTERNS[c], NEEDS[c]) for c in kinds]
     keep = [c for c in texts.columns if c != "text"]
     return texts.where("text is not null and trim(text) <> ''").select(*keep, F.inline(F.concat(*each)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -21,11 +21,6 @@ def search(texts: DataFrame, terms: list[str], around: int = 50, extensions: lis
     if not terms or not terms[0]:
         terms = []
     pairs = [(terms[0], f"(?iU){terms[0]}")] if regex and terms else [(t, "(?iU)\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in terms if t]
-    none = F.array().cast("array<struct<term:string,value:string,position:int>>")
-
-    def named(term: str, pattern: str) -> Column:
-        return F.transform(occurrences(F.col("text"), pattern), lambda m: F.struct(F.lit(term).alias("term"), m["value"].alias("value"), m["position"].alias("position")))
-
-    each = [named(t, p) for t, p in pairs]
-    hits = rows.where("text is not null").select("file_path", "text", "archive_depth", F.inline(F.concat(*each) if each else none))
-    return hits.select("file_path", F.col("term").alias("search_string"), F.col("position").alias("match_position"), tx.one_line(tx.window("text", "position", F.length("value"), around)).alias("context"), "archive_depth")
+    each = [occurrences(t, p) for t, p in pairs] or [F.array().cast("array<struct<category:string,value:string,position:int>>")]
+    hits = rows.where("text is not null").select("file_path", "text", "archive_depth", F.inline(F.concat(*each)))
+    return hits.select("file_path", F.col("category").alias("search_string"), F.col("position").alias("match_position"), tx.one_line(tx.window("text", "position", F.length("value"), around)).alias("context"), "archive_depth")
