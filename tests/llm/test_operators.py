@@ -119,7 +119,7 @@ def test_chat_round_trip(spark):
         assert got[c].learned == [r[3] for r in mine if r[2] == "assistant"]
     full = {r.conv_id: r for r in chat.format_chat(chat.from_turns(conv)).collect()}
     for c, r in full.items():
-        assert [r.formatted[s.first : s.last] for s in r.loss_mask] and True or not got[c].learned
+        assert [r.formatted[s.first : s.last].replace('\\', '') for s in r.loss_mask] == [t.replace('\\', '') for t in got[c].learned]
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
@@ -164,7 +164,7 @@ def test_leaks_tolerate_substitutions(spark):
     want = {(1, 1), (2, 1), (3, 1), (6, 2), (None, 1)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == want
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, most=0).collect()} == want  # the way without broadcast
-    assert {r.doc_id for r in decontaminate.drop_leaked(docs, items).collect()} == {4, 5, 7, None} - {None} | {None}
+    assert {r.doc_id for r in decontaminate.drop_leaked(docs, items).collect()} == {4, 5, 7, None}
 
 
 def test_leaks_against_brute_force(spark, docs):
@@ -189,7 +189,7 @@ def test_leaks_against_brute_force(spark, docs):
 
 def test_nearest_recall_and_scores(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = sorted((r.vec_id, np.array(r.embedding, float)) for r in v.select("vec_id", "embedding").collect()) if False else [(r.vec_id, np.array(r.embedding, float)) for r in v.orderBy("vec_id").collect()]
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in v.orderBy("vec_id").collect()]
     ids, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
     out = ann.search(v, F.col("vec_id") % 50 == 0).toPandas()
     hits = 0
@@ -370,7 +370,7 @@ def test_packing_is_lossless(spark, docs, tmp_path):
 
 
 def test_packing_messy(spark):
-    out = decode(packing.pack(messy(spark).where("doc_id is null or doc_id <> 7"), length=128).where("true"))
+    out = decode(packing.pack(messy(spark).where("doc_id <> 7"), length=128))
     assert out[2] == "" and len(out[6]) == 100_000 and out[5].startswith("w0 w1")
     assert packing.pack(empty(spark)).count() == 0
     assert packing.unpacked(packing.pack(messy(spark), length=64)).where("doc_id = 7").count() == 2
@@ -394,6 +394,6 @@ def test_warc_round_trip(spark, tmp_path):
         assert head["WARC-Record-ID"] == f"<urn:page:{'' if x.page_id is None else x.page_id}>"
     raw = next((tmp_path / "w").glob("*.zst")).read_bytes()
     assert struct.unpack("<I", raw[-4:])[0] == 0x8F92EAB1 and len(warc.seek_table(raw)) >= 1
-    whole = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True) if hasattr(zstandard, "ZstdDecompressor") else None
+    whole = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True)
     assert whole.decompress(raw).startswith(b"WARC/1.1")  # a plain reader skips the seek table
     assert warc.archived(pages.limit(0)).count() == 0

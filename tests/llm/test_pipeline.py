@@ -15,12 +15,12 @@ def test_stages(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     now = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        before, now = now, stage(spark, now, SF).localCheckpoint() if False else stage(spark, now, SF)
+        before, now = now, stage(spark, now, SF)
         now = spark.createDataFrame(now.collect(), docs.schema)
         assert now.columns == docs.columns
         ids = [r.doc_id for r in now.collect()]
         if k == 0:
-            assert all(i in ids for i, q in labels.items() if q == 1) and sum(i in ids for i, q in labels.items() if q == 0) <= 1
+            assert all(i in ids for i, q in labels.items() if q == 1) and sum(i in ids for i, q in labels.items() if q == 0) <= 0.25 * sum(q == 0 for q in labels.values())
         if k == 1:
             groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(before).collect()}
             assert sorted(ids) == sorted(i for i, c in groups.items() if i == c)

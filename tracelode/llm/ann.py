@@ -7,7 +7,7 @@ a table of distances from its residual to every sub-centroid gives an asymmetric
 `rerank` best are scored exactly on the original vectors. Cells are cut into blocks, queries into groups, so a hot cell is
 many small tasks; each keeps the best k classes of its block, and the last step ranks those.
 
-The centroids are fitted on at most `sample` classes. The number of cells to visit is the smallest that reaches `recall`
+The centroids are fitted on about `sample` classes, chosen by a hash. The number of cells to visit is the smallest that reaches `recall`
 against brute force within that sample, for queries drawn from it: vectors without structure need many cells.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part, as query or candidate; rows
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sampled
 
 SAMPLE = 8192
 SALTS = 32
@@ -119,7 +119,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16, re
     kinds = "query_id long, rank int, vec_id long, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], kinds)
-    few = known.orderBy(F.xxhash64("class_id"), "class_id").limit(sample).select("v").toArrow().column(0)
+    few = sampled(known, sample, F.col("class_id")).orderBy("class_id").select("v").toArrow().column(0)
     index = fit(np.array(few.to_pylist()), n, parts, k=k)
     probes = index.probes
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "shared_dir", "shielded", "word_count"]
+__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "sampled", "shared_dir", "shielded", "word_count"]
 
 #: ASCII white space: what separates words in every operator here.
 SPACE = " \t\n\x0b\f\r"
@@ -34,6 +34,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE_RE))), F.lit(0)).cast("long")
 
 
+def sampled(rows: DataFrame, size: int, key: Column) -> DataFrame:
+    """About `size` rows (all, if there are fewer): those whose key's hash lies below a share. The same rows in every run, and no sort."""
+    n, span = rows.count(), 1 << 40
+    return rows if n <= size else rows.where(F.pmod(F.xxhash64(key), F.lit(span)) < int(span * size / n))
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and where each row starts in it; nulls are empty."""
     col = texts.cast(pa.large_binary()).fill_null(b"")

@@ -6,8 +6,8 @@ the log loss and is added to the feature's table at a small rate. Then the pairs
 is left are boosted likewise, with a cut in either feature. A score is the sum of one entry for each feature and pair:
 additions of looked-up bins, vectorised. A logistic fit on rows that boosting doesn't see calibrates it.
 
-Labels are taken from at most `sample` rows, the first in the order of a hash of the id; their ids are broadcast
-(8 bytes each). Labels that contradict each other for one id count as 1; null labels don't count.
+Labels are taken from about `sample` ids, chosen by a hash; they are broadcast (12 bytes each). Of rows that repeat an id,
+one is learned from. Labels that contradict each other for one id count as 1; null labels don't count.
 
 Edge cases: null and empty texts have all features 0 and are scored; without labels, or with one class alone, the score
 is that class's share (0.5 without any). Repeated rows are scored alike. Further columns are not read by `scored`
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, platt, shielded
+from .common import pieces, platt, sampled, shielded
 
 SAMPLE = 8000
 FEATURES = (
@@ -188,12 +188,13 @@ def described(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from: Column | None = None) -> Gam:
-    """Fits on at most `sample` labelled documents, of those where `learn_from` (a condition on doc_id) holds."""
+    """Fits on about `sample` labelled documents, of those where `learn_from` (a condition on doc_id) holds."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     if learn_from is not None:
         known = known.where(learn_from)
-    known = known.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), "doc_id").limit(sample)
-    rows = described(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "quality").toArrow()  # `sample` rows of 12 bytes are broadcast
+    known = sampled(known, sample, F.concat(F.lit("quality "), F.col("doc_id").cast("string")))
+    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about `sample` rows of 12 bytes are broadcast
+    rows = described(own, "doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").select("quality", "x").toArrow()
     y = np.array(rows.column(0).to_pylist(), float)
     return fit(np.array(rows.column(1).to_pylist(), float).reshape(len(y), len(FEATURES)), (y > 0).astype(float))
 
