@@ -6,8 +6,9 @@ position under every mask; documents likewise. Documents meet the items by an eq
 the document's tokens are laid against the item's on the hit's diagonal, and the tokens that agree, within `around`
 positions of the seed on both sides, must be at least min(`least`, 80 % of the item).
 
-The items' hashes are broadcast if there are at most `most` of them (their number is counted first); beyond that the
-join shuffles by hash.
+The items' hashes are broadcast, each with its item's tokens, if that takes at most `most` bytes (summed up first). Beyond
+that the join shuffles by hash, with ids and positions alone on either side; the tokens come back to the hits by a join on
+the document and its tokens' hash.
 
 Tokens are runs of letters and digits, lower-cased. Items shorter than the masks are matched as a whole, if they have 5
 tokens or more; shorter ones are ignored. Null or empty texts have no tokens. Repeated rows give one link; a null doc_id
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import shielded
 
 MASKS = ("111010110011", "110011010111")
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -45,7 +46,17 @@ def _windows(rows: DataFrame, masks: tuple[str, ...], keep: list[str], first: in
     return each.select(*keep, "at", F.explode(F.array(*(seeds(first + k, m, F.col("at")) for k, m in enumerate(masks)))).alias("seed"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 13, around: int = 16, most: int = BROADCAST_ROWS) -> DataFrame:
+def _meet(d: DataFrame, mine: DataFrame, own: tuple[str, ...], first: int) -> DataFrame:
+    """The hits (doc_id, toks, at, item_id, item_toks, item_at) by a shuffle of hashes, for items that are too many to broadcast."""
+    keyed = d.withColumn("key", F.xxhash64("toks"))
+    ours = _windows(keyed, own, ["doc_id", "key", "toks"], first).select("doc_id", "key", "at", "seed")
+    theirs = _windows(mine, own, ["item_id", "toks"], first).select("item_id", F.col("at").alias("item_at"), F.col("seed").alias("item_seed"))
+    hits = ours.join(theirs, F.col("seed") == F.col("item_seed")).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), F.col("item_id").alias("hit"), "at", "item_at").distinct()
+    hits = hits.join(mine.select("item_id", F.col("toks").alias("item_toks")), F.col("hit").eqNullSafe(F.col("item_id")))
+    return hits.join(keyed, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("doc_id")))
+
+
+def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 13, around: int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, agreeing (tokens), item_tokens: a row for each document and item of which it holds a passage."""
     span = len(masks[0])
     test = items.select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") >= 5)
@@ -55,10 +66,13 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, lea
     out = []
     for n, own, first in kinds:
         mine = test.where(F.size("toks") >= span if n == span else F.size("toks") == n)
-        table = _windows(mine, own, ["item_id", "toks"], first).select("item_id", F.col("at").alias("item_at"), F.col("seed").alias("item_seed"), F.col("toks").alias("item_toks"))
-        if table.select("item_id").count() <= most:
-            table = F.broadcast(table)
-        hits = _windows(d, own, ["doc_id", "toks"], first).join(table, F.col("seed") == F.col("item_seed"))
+        # a row for each window and mask: 8 bytes a token, and some for the rest
+        size = mine.agg(F.coalesce(F.sum((F.size("toks") - n + 1).cast("long") * len(own) * (8 * F.size("toks") + 80)), F.lit(0))).first()[0]
+        if size <= most:
+            table = _windows(mine, own, ["item_id", "toks"], first).select("item_id", F.col("at").alias("item_at"), F.col("seed").alias("item_seed"), F.col("toks").alias("item_toks"))
+            hits = _windows(d, own, ["doc_id", "toks"], first).join(F.broadcast(table), F.col("seed") == F.col("item_seed"))
+        else:
+            hits = _meet(d, mine, own, first)
         # the stretch of the item around the seed, cut to where the document reaches
         lead = F.least(F.col("item_at"), F.col("at"), F.lit(around))
         tail = F.least(F.size("item_toks") - F.col("item_at"), F.size("toks") - F.col("at"), F.lit(n + around))
