@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text as tx, validate as va
 from ..operators import datasets as ds
 from ..operators import enrich, extract, links, search, stego, tableview
-from ..sources import mail, sinks
+from ..sources import files, mail, sinks
 from ..sources.files import binary_chunks
 from ..streaming import ingest
 from . import sql
@@ -117,6 +117,35 @@ def pattern_cases(spark, d):
     return extract.matches(rows).where("category = own").select("case_no", "category", "value", "position")
 
 
+_MAILS = "m AS (SELECT c_nationkey::VARCHAR AS case_name, 'Email_Addresses' AS category, repeat('x', (c_custkey % 3)::INT) || 'user' || (c_custkey % 97) || '@mail.example.org' AS value FROM customer)"
+
+
+@query(f"WITH {_MAILS} SELECT DISTINCT case_name, category, value FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.case_name = m.case_name AND b.value <> m.value AND contains(b.value, m.value))")
+def email_parts(spark, d):
+    """Addresses that are no part of a longer one of their case."""
+    v = F.concat(F.repeat(F.lit("x"), (F.col("c_custkey") % 3).cast("int")), F.lit("user"), (F.col("c_custkey") % 97).cast("string"), F.lit("@mail.example.org"))
+    return extract.drop_part_emails(table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("case_name"), F.lit("Email_Addresses").alias("category"), v.alias("value")).distinct())
+
+
+@query(sql.over_findings("SELECT case_name, category, value, file AS file_name, position FROM merged"))
+def merge_in_batches(spark, d):
+    """The stream's merge, over two batches that take turns in file order."""
+    t = evidence(spark, d)
+    first = ingest.merge_batch(spark.createDataFrame([], ingest.KEPT), t.where("ord % 2 = 0"))
+    return ingest.merge_batch(first, t.where("ord % 2 = 1")).where(F.col("category").isin(*KINDS)).select("case_name", "category", "value", "file_name", "position")
+
+
+_LISTING = "l AS (SELECT 'Case' || s_suppkey AS own, 'Case' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.zip' WHEN 1 THEN '.txt' WHEN 2 THEN '.7z.tmp' ELSE '' END AS name, s_suppkey % 4 = 3 AS is_dir, s_suppkey % 5 = 0 AS done FROM supplier)"
+
+
+@query(f"WITH {_LISTING} SELECT own AS case_name, name FROM l WHERE NOT name LIKE '%.txt' AND NOT done")
+def pending_cases(spark, d):
+    k = F.col("s_suppkey")
+    own = F.concat(F.lit("Case"), k.cast("string"))
+    s = table(spark, d, "supplier").select(own.alias("own"), F.concat(own, F.when(k % 4 == 0, ".zip").when(k % 4 == 1, ".txt").when(k % 4 == 2, ".7z.tmp").otherwise("")).alias("name"), (k % 4 == 3).alias("is_dir"), (k % 5 == 0).alias("done"))
+    return files.pending_cases(s, s.where("done").select(F.col("own").alias("case_name")))
+
+
 @query(f"SELECT doc_id, md5({sql.deobfuscated('text')}) AS digest FROM documents WHERE text IS NOT NULL")
 def deobfuscate(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(tx.deobfuscate("text").cast("binary")).alias("digest"))
@@ -211,6 +240,16 @@ def report_rows(spark, d):
     return ds.report_rows(found(spark, d))
 
 
+@query(sql.over_findings("SELECT case_name, category, value, context AS details, file, position::VARCHAR AS position FROM f"))
+def live_indicators(spark, d):
+    return ds.live_indicators(found(spark, d))
+
+
+@query(f"WITH {URL_FOUND} SELECT DISTINCT case_name, 'URLs_by_Domain' AS category, lower(regexp_extract(value, '://([^/?#:]*)', 1)) AS value FROM f")
+def domain_rows(spark, d):
+    return ds.url_domains(url_found(spark, d)).select("case_name", "category", "value")
+
+
 @query(sql.over_findings("""
 SELECT case_name, category, CASE category WHEN 'IPv4' THEN 'Ipv4' ELSE replace(replace(category, '_', ' '), 'VisaMcDiscover', 'Visamcdiscover') END AS category_display, value, file, position::VARCHAR AS position, coalesce(ip_class, '') AS source, '' AS device FROM f
 """))
@@ -427,6 +466,14 @@ def graph_edges(spark, d):
     return links.graph(found(spark, d))[1]
 
 
+@query(sql.over_findings(f"""
+, n AS (SELECT DISTINCT case_name AS id, 'case' AS type, NULL AS category FROM f UNION ALL SELECT value, 'indicator', max(category) FROM f WHERE category IN ({_STRONG}) GROUP BY value)
+SELECT id, id AS label, type AS "group", CASE type WHEN 'case' THEN 20 ELSE 5 END AS value, CASE WHEN type = 'case' THEN '#007bff' WHEN category = 'Email_Addresses' THEN '#28a745' ELSE '#ffc107' END AS color, CASE WHEN type = 'case' THEN 'box' END AS shape FROM n
+"""))
+def network_view(spark, d):
+    return links.styled(*links.graph(found(spark, d)))[0]
+
+
 def _edges(spark, d) -> DataFrame:
     return _indicators(spark, d).select(F.col("project_name").alias("src"), F.col("indicator_value").alias("dst"), F.lit(1).alias("weight"))
 
@@ -555,6 +602,27 @@ def exposures(spark, d):
     return enrich.exposures(found(spark, d))
 
 
+@query(f"""WITH {_GEO_SQL}, {_IPF} SELECT case_name, ipf.ip AS value, file, CASE WHEN error IS NOT NULL THEN 'Enrichment Error: ' || error ELSE concat_ws(' | ', 'Country: ' || m.country, 'City: ' || m.city, 'AS: ' || m.asn) END AS enrichment
+FROM ipf LEFT JOIN g ON g.ip = ipf.ip WHERE NOT contains(ipf.ip, ':')""")
+def report_enrichment(spark, d):
+    return enrich.report_enrichment(_ip_found(spark, d), enrich.geo_lookup(_ips(spark, d), _blocks(spark))).select("case_name", "value", "file", "enrichment")
+
+
+@query(f"""WITH {_GEO_SQL}, b AS (SELECT DISTINCT {_IP} AS ip FROM events WHERE user_id % 2 = 0)
+SELECT g.ip, CASE WHEN b.ip IS NULL THEN m.country ELSE coalesce(m.country, 'ZZ') END AS country, CASE WHEN b.ip IS NULL THEN m.city ELSE coalesce(m.city, 'Elsewhere') END AS city, CASE WHEN b.ip IS NULL THEN error END AS error FROM g LEFT JOIN b ON b.ip = g.ip""")
+def geo_fallback(spark, d):
+    """A second table fills what the first doesn't know."""
+    other = table(spark, d, "events").where("user_id % 2 = 0").select(_event_ip().alias("ip"), F.lit("ZZ").alias("country"), F.lit("Elsewhere").alias("city")).distinct()
+    return enrich.first_known(enrich.geo_lookup(_ips(spark, d), _blocks(spark)), other).select("ip", "country", "city", "error")
+
+
+@query(f"""WITH {_ABUSE}, {_IPF} SELECT case_name, ipf.ip AS value, file, '{{"abuse_confidence":' || c || ',"total_reports":' || r || '}}' AS abuse FROM ipf LEFT JOIN ab ON ab.ip = ipf.ip""")
+def threat_intel(spark, d):
+    e = table(spark, d, "events")
+    abuse = e.where("event_id * 3 % 256 % 3 = 0").select(_event_ip().alias("ip"), (F.col("event_id") * 3 % 256 % 101).cast("int").alias("abuse_confidence"), (F.col("event_id") % 256 % 14).cast("int").alias("total_reports")).distinct()
+    return enrich.with_intel(_ip_found(spark, d), abuse=(abuse, "ip")).select("case_name", "value", "file", F.try_element_at("enrichments", F.lit("abuse")).alias("abuse"))
+
+
 _AREAS = ", ".join("(" + ", ".join(sql.q(x) for x in r) + ")" for r in fixed.AREA_CODES)
 
 
