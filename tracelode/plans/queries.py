@@ -704,7 +704,7 @@ def binary_parts(spark, d):
     p = table(spark, d, "pages").where("url is not null")
     body = F.concat("url", F.lit(" "), F.repeat(F.lit("abc "), (F.col("page_id") % 500).cast("int")))
     files = p.select(F.lit("case").alias("case_name"), F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file_name"), F.col("page_id").alias("ord"), body.cast("binary").alias("content"))
-    return binary_chunks(files, 512).select("file_name", "chunk_no", F.length("text").alias("characters"))
+    return binary_chunks(files, 512).select("file_name", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").cast("long").alias("characters"))
 
 
 @query("SELECT item_id, text AS hidden FROM benchmark WHERE text IS NOT NULL")

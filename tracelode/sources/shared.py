@@ -1,11 +1,28 @@
-"""What driver and executors share: the folder for intermediate tables."""
+"""What driver and executors share: the folder for intermediate tables, and this package's code."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: their Python workers import it wherever they were started."""
+    sc, name = spark.sparkContext, f"{PACKAGE.name}-{spark.sparkContext.applicationId}.zip"
+    if any(os.path.basename(f) == name for f in sc.listFiles):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{PACKAGE.name}-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(PACKAGE.parent))
+    sc.addPyFile(path)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
