@@ -8,7 +8,8 @@ Of pages with equal payloads of `least` bytes or more, that with the smallest pa
 are revisits, which carry the payload's digest and length but no payload. Equality is that of the SHA-256, found with one
 aggregation by digest, over digests and ids alone, and joined back to pages by id and digest.
 
-Bundles are files under a folder that all executors reach; a file gets its name when whole. They are read back with
+Bundles are files under a folder that all executors reach; a file gets its name when whole. Rows are ordered within their
+partition, so a task that is repeated after a lost executor writes the same files again. They are read back with
 Spark's binaryFile reader. Edge cases: null html is empty; null urls are empty; rows that repeat a page_id are a record
 each, and those with the smallest id of their payload are all responses; a null page_id sorts after the others;
 an empty table gives no bundle. Further columns are not read.
@@ -146,7 +147,8 @@ def write(pages: DataFrame, uri: str, least: int = 100, bundle: int = 16 << 20,
             yield end()
 
     rows = first_of_payload(pages, least).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", F.col("refers_to").cast("long").alias("refers_to"))
-    return rows.mapInArrow(run, "page_id long, bundle string, frame int, offset int")
+    # a repeated task meets its rows in the same order, so it writes the same bundles again and leaves none behind
+    return rows.sortWithinPartitions("page_id", "digest", "url").mapInArrow(run, "page_id long, bundle string, frame int, offset int")
 
 
 def read(spark, uri: str) -> DataFrame:
