@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import re
 import json
 import tarfile
 import zipfile
@@ -85,6 +86,13 @@ def test_search(spark):
     assert search.search(rows, ["o.e", "ignored"], regex=True).count() == 3 and search.search(rows, []).count() == 0
 
 
+def test_places_of_very_many_matches(spark):
+    for n in (extract.BLOCK - 1, extract.BLOCK, extract.BLOCK + 1, 20_000):
+        text = "".join(f"é{i % 7 * 'x'} the" for i in range(n))
+        got = search.search(spark.createDataFrame([("a", text)], "file_path string, text string"), ["the"]).select("match_position").collect()
+        assert [r[0] for r in got] == [m.start() for m in re.finditer("the", text)]
+
+
 def test_views(spark):
     rows = spark.createDataFrame([("10", "b"), ("9", "a"), (None, "c"), ("x", "a")], "v string, k string")
     assert [r.v for r in tableview.sorted_by(rows, "v").collect()] == ["9", "10", None, "x"]

@@ -152,8 +152,6 @@ def security_live(found: DataFrame, geo: DataFrame, abuse: DataFrame, devices: D
     return ip_threats(found, geo, abuse, devices).unionByName(url_threats(found, scans)).unionByName(exposures(found))
 
 
-
-
 def security_export(found: DataFrame) -> DataFrame:
     return found.where(F.col("category").isin(*fixed.SECURITY_EXPORT)).select("case_name", "category", "value", F.col("context").alias("details"), F.coalesce("file", F.lit("Unknown")).alias("file"))
 

@@ -572,10 +572,15 @@ SELECT case_name, indicator, CASE WHEN weak THEN 'vulnerable_device' WHEN bad TH
   (CASE WHEN weak THEN least(90, base + k * 10) WHEN bad THEN base WHEN geo IS NOT NULL THEN CASE WHEN country IN ('RU', 'CN', 'KP', 'IR', 'UA', 'BY') THEN 80 WHEN country IN ('US', 'GB', 'DE', 'FR', 'CA', 'AU') THEN 40 ELSE 60 END ELSE base END)::DOUBLE AS confidence
 FROM b""")
 def ip_threats(spark, d):
+    return enrich.ip_threats(_ip_found(spark, d), enrich.geo_lookup(_ips(spark, d), _blocks(spark)), *_ip_tables(spark, d))
+
+
+def _ip_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """What is known of addresses (abuse), and of devices there."""
     e = table(spark, d, "events")
     abuse = e.where("event_id * 3 % 256 % 3 = 0").select(_event_ip().alias("ip"), (F.col("event_id") * 3 % 256 % 101).cast("int").alias("abuse_confidence"), (F.col("event_id") % 256 % 14).cast("int").alias("total_reports")).distinct()
     devices = e.where("event_id % 256 % 5 = 0").select(_event_ip().alias("ip"), F.array_repeat(F.lit("CVE"), (F.col("event_id") % 256 % 6).cast("int")).alias("vulnerabilities")).distinct()
-    return enrich.ip_threats(_ip_found(spark, d), enrich.geo_lookup(_ips(spark, d), _blocks(spark)), abuse, devices)
+    return abuse, devices
 
 
 _SCANS = "s AS (SELECT url, min(page_id % 9) AS p, 60 AS n FROM pages WHERE page_id % 4 = 0 GROUP BY 1)"
@@ -587,11 +592,15 @@ SELECT case_name, indicator, CASE WHEN p > 0 THEN 'malware' WHEN p = 0 THEN 'cle
   CASE WHEN p > 0 THEN least(95.0, 70 + p * 100.0 / n) WHEN p = 0 THEN 20.0 WHEN regexp_matches(lower(indicator), 'phishing|malware|virus|trojan|botnet') THEN 85.0 WHEN regexp_matches(lower(indicator), 'bit\\.ly|tinyurl|t\\.co|goo\\.gl') THEN 60.0 WHEN regexp_matches(lower(indicator), '\\.tk|\\.ml|\\.ga|\\.cf') THEN 70.0 ELSE 30.0 END::DOUBLE AS confidence
 FROM u LEFT JOIN s ON s.url = u.indicator""")
 def url_threats(spark, d):
+    return enrich.url_threats(*_url_tables(spark, d))
+
+
+def _url_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """URLs found, and what scans say of some."""
     p = table(spark, d, "pages").where("url is not null")
     tail = F.when(F.col("page_id") % 7 == 1, "/phishing").when(F.col("page_id") % 7 == 2, "/bit.ly").when(F.col("page_id") % 7 == 3, "/x.tk").otherwise("")
     rows = p.select(F.lit("case").alias("case_name"), F.lit("URLs").alias("category"), F.concat("url", tail).alias("value"), F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file"))
-    scans = p.where("page_id % 4 = 0").groupBy("url").agg(F.min(F.col("page_id") % 9).alias("positives")).withColumn("total_scans", F.lit(60))
-    return enrich.url_threats(rows, scans)
+    return rows, p.where("page_id % 4 = 0").groupBy("url").agg(F.min(F.col("page_id") % 9).alias("positives")).withColumn("total_scans", F.lit(60))
 
 
 @query(sql.over_findings("""
@@ -602,6 +611,15 @@ def exposures(spark, d):
     return enrich.exposures(found(spark, d))
 
 
+@query(" UNION ALL BY NAME ".join(f"SELECT * FROM ({SQL[k]})" for k in ("ip_threats", "url_threats", "exposures")))
+def security_live(spark, d):
+    """The rows of all three rules, over findings of every kind at once."""
+    urls, scans = _url_tables(spark, d)
+    rows = found(spark, d).where("category in ('Email_Addresses', 'Phone_Numbers', 'SSN')").select("case_name", "category", "value", "file", "first_seen")
+    rows = rows.unionByName(_ip_found(spark, d), allowMissingColumns=True).unionByName(urls, allowMissingColumns=True)
+    return enrich.security_live(rows, enrich.geo_lookup(_ips(spark, d), _blocks(spark)), *_ip_tables(spark, d), scans)
+
+
 @query(f"""WITH {_GEO_SQL}, {_IPF} SELECT case_name, ipf.ip AS value, file, CASE WHEN error IS NOT NULL THEN 'Enrichment Error: ' || error ELSE concat_ws(' | ', 'Country: ' || m.country, 'City: ' || m.city, 'AS: ' || m.asn) END AS enrichment
 FROM ipf LEFT JOIN g ON g.ip = ipf.ip WHERE NOT contains(ipf.ip, ':')""")
 def report_enrichment(spark, d):
@@ -618,9 +636,7 @@ def geo_fallback(spark, d):
 
 @query(f"""WITH {_ABUSE}, {_IPF} SELECT case_name, ipf.ip AS value, file, '{{"abuse_confidence":' || c || ',"total_reports":' || r || '}}' AS abuse FROM ipf LEFT JOIN ab ON ab.ip = ipf.ip""")
 def threat_intel(spark, d):
-    e = table(spark, d, "events")
-    abuse = e.where("event_id * 3 % 256 % 3 = 0").select(_event_ip().alias("ip"), (F.col("event_id") * 3 % 256 % 101).cast("int").alias("abuse_confidence"), (F.col("event_id") % 256 % 14).cast("int").alias("total_reports")).distinct()
-    return enrich.with_intel(_ip_found(spark, d), abuse=(abuse, "ip")).select("case_name", "value", "file", F.try_element_at("enrichments", F.lit("abuse")).alias("abuse"))
+    return enrich.with_intel(_ip_found(spark, d), abuse=(_ip_tables(spark, d)[0], "ip")).select("case_name", "value", "file", F.try_element_at("enrichments", F.lit("abuse")).alias("abuse"))
 
 
 _AREAS = ", ".join("(" + ", ".join(sql.q(x) for x in r) + ")" for r in fixed.AREA_CODES)
@@ -635,6 +651,16 @@ def area_codes(spark, d):
     return enrich.with_area(table(spark, d, "customer").select("c_custkey", v.alias("value")), enrich.area_codes(spark))
 
 
+@query("""
+WITH p AS (SELECT c_custkey, lpad((c_custkey * 48271 % 1000000000)::VARCHAR, 9, '0') AS value FROM customer), b AS (SELECT lpad((n_nationkey * 10 * 48271 % 1000000000)::VARCHAR, 9, '0') AS r, n_name AS bank FROM nation)
+SELECT c_custkey, value, bank FROM p LEFT JOIN b ON r = value WHERE list_sum([substr(value, i::BIGINT + 1, 1)::INT * [3, 7, 1][i % 3 + 1] for i in range(9)]) % 10 = 0
+""")
+def routing_banks(spark, d):
+    nine = lambda n: F.lpad((n * 48271 % 1000000000).cast("string"), 9, "0")
+    banks = table(spark, d, "nation").select(nine(F.col("n_nationkey").cast("long") * 10).alias("routing_number"), F.col("n_name").alias("bank"))
+    return enrich.routing_info(table(spark, d, "customer").select("c_custkey", nine(F.col("c_custkey")).alias("value")), banks).select("c_custkey", "value", "bank")
+
+
 # --- search, views, messages, bytes ----------------------------------------------------------------------------------
 
 _TERMS = ["license", "token =", "the and"]
@@ -653,6 +679,22 @@ def string_search(spark, d):
     return search.search(texts, _TERMS, extensions=[".txt"])
 
 
+_REGEX = "licen[cs]e|[0-9]{3}-[0-9]{4}"
+
+
+@query(f"""SELECT file_path, {sql.q(_REGEX)} AS search_string, p AS match_position, trim(replace(replace(text[greatest(p - 50, 0) + 1 : p + n + 50], chr(10), ' '), chr(13), '')) AS context, 0 AS archive_depth
+FROM (SELECT file_path, text, length(m[i]) AS n, (list_sum([length(x) for x in parts[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::INT AS p FROM (
+  SELECT file_path, text, parts, m, unnest(range(1, len(parts))) AS i FROM (SELECT 'doc_' || doc_id || '.txt' AS file_path, text, regexp_split_to_array(text, {sql.q(_REGEX)}, 'i') AS parts, regexp_extract_all(text, {sql.q(_REGEX)}, 0, 'i') AS m FROM documents)))""")
+def regex_search(spark, d):
+    texts = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), "text")
+    return search.search(texts, [_REGEX], regex=True)
+
+
+@query(sql.over_findings("SELECT case_name, category, value, context AS details, file FROM f WHERE contains(lower(category), 'card') AND (contains(lower(value), 'visa') OR contains(lower(context), 'visa'))"))
+def static_filter(spark, d):
+    return tableview.static_filter(ds.live_indicators(found(spark, d)), "Card", search="VISA").select("case_name", "category", "value", "details", "file")
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(lower(c_name), '00') ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 50")
 def table_page(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
