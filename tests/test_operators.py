@@ -2,8 +2,8 @@
 
 import gzip
 import io
-import re
 import json
+import re
 import tarfile
 import zipfile
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelode.functions import text as tx
 from tracelode.operators import datasets as ds
 from tracelode.operators import enrich, extract, links, search, stego, tableview
-from tracelode.sources import files, mail, sinks
+from tracelode.sources import files, mail, shared, sinks
 from tracelode.streaming import ingest
 
 TEXT = "case_name string, file_name string, ord long, text string"
@@ -195,3 +195,10 @@ def test_stream(spark, tmp_path):
     occ = extract.merged(extract.in_file(extract.accepted(extract.matches(texts(spark))), "case_name", "file_name", "ord"))
     assert {(r.case_name, r.category, r.value, r.file_name, r.position) for r in last.collect()} == {(r.case_name, r.category, r.value, r.file, r.position) for r in occ.collect()}
     assert ingest.card_alerts(texts(spark)).count() == 1 and tx.file_class(F.lit(".TXT")) is not None
+
+
+def test_package_is_sent_once(spark):
+    shared.ship(spark)
+    shared.ship(spark)
+    sent = [f for f in spark.sparkContext.listFiles if f.rsplit("/", 1)[-1].startswith("tracelode-")]
+    assert len(sent) == 1
