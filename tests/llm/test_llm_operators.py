@@ -217,6 +217,23 @@ def test_nearest_ties_and_bad_vectors(spark):
     assert {(r.query_id, r.vec_id) for r in two} == {(0, 1), (1, 0)}
 
 
+def test_nearest_of_a_lone_outlier(spark, monkeypatch):
+    """A query in a cell of its own, and one in a cell of three, get k rows: further cells are visited."""
+    rng = np.random.default_rng(2)
+    centers = np.eye(8)
+    x = np.concatenate([np.repeat(centers[:6], 80, 0) + rng.normal(0, 0.01, (480, 8)), centers[6:7], centers[7] + rng.normal(0, 0.01, (3, 8))])
+
+    def fitted(*_, **__):  # a cell for each centre, of which recall asks for one
+        return ann.Index(centers.astype(np.float32), np.zeros((8, 256, 1), np.float32), 1)
+
+    monkeypatch.setattr(ann, "fit", fitted)
+    out = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 480, 481)).toPandas()
+    assert {q: sorted(g["rank"]) for q, g in out.groupby("query_id")} == {q: [1, 2, 3, 4, 5] for q in (0, 480, 481)}
+    assert out[out["query_id"] == 481].sort_values("rank").vec_id[:2].isin([482, 483]).all()
+    few = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centers[:4])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    assert few.count() == 3  # all there are
+
+
 # 6, 7 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ a table of distances from its residual to every sub-centroid gives an asymmetric
 many small tasks; each keeps the best k classes of its block, and the last step ranks those.
 
 The centroids are fitted on about `sample` classes, chosen by a hash. The number of cells to visit is the smallest that reaches `recall`
-against brute force within that sample, for queries drawn from it: vectors without structure need many cells.
+against brute force within that sample, for queries drawn from it: vectors without structure need many cells. A query whose
+cells hold fewer than k other vectors visits further ones, in order of distance, until they hold k or no cell is left.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part, as query or candidate; rows
 with a null id neither; a vector of another length than the most common takes no part; ties go to the smaller id; with
@@ -128,14 +129,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16, re
             x = units(np.stack(b["v"]))
             own = index.nearest(x, 1)[:, 0] if len(b) else np.zeros(0, int)
             codes = index.encode(x - index.coarse[own])
-            yield pd.DataFrame({"cell": own.astype(np.int32), "class_id": b["class_id"], "v": b["v"], "code": [c.tobytes() for c in codes]})
+            yield pd.DataFrame({"cell": own.astype(np.int32), "class_id": b["class_id"], "ids": b["ids"], "v": b["v"], "code": [c.tobytes() for c in codes]})
+
+    lists = cut(known.select("class_id", "v", F.size("ids").alias("ids")).mapInPandas(place, "cell int, class_id long, ids int, v array<double>, code binary"))
+    held = np.zeros(len(index.coarse), np.int64)  # ids in each cell, up to k + 1 of a class: one row per cell
+    for r in lists.groupBy("cell").agg(F.sum("ids").alias("ids")).collect():
+        held[r.cell] = r.ids
 
     def visit(batches):
         for b in batches:
-            near = index.nearest(units(np.stack(b["v"])), probes)
-            yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "asker": np.repeat(b["asker"].to_numpy(), probes), "q": [v for v in b["v"] for _ in range(probes)]})
+            far = index.nearest(units(np.stack(b["v"])), len(held)) if len(b) else np.zeros((0, len(held)), int)
+            # the cells before the one with which k + 1 ids are seen: the query's own is one of them
+            need = (np.cumsum(held[far], 1) < k + 1).sum(1) + 1
+            many = np.minimum(np.maximum(need, probes), len(held))
+            near = [row[:m] for row, m in zip(far, many.tolist(), strict=True)]
+            yield pd.DataFrame({"cell": np.concatenate([*near, np.zeros(0, int)]).astype(np.int32), "asker": np.repeat(b["asker"].to_numpy(), many), "q": [v for v, m in zip(b["v"], many.tolist(), strict=True) for _ in range(m)]})
 
-    lists = cut(known.select("class_id", "v").mapInPandas(place, "cell int, class_id long, v array<double>, code binary"))
     # queries that are equal ask once: the class of the vector asks, for its members
     asking = rows.where(is_query).select("vec_id", "v").join(known.select("class_id", F.col("v").alias("cv")), F.col("v") == F.col("cv")).select("class_id", "vec_id", "v").distinct()
     members = cut(asking)
