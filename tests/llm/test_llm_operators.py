@@ -184,6 +184,32 @@ def test_leaks_against_brute_force(spark, docs):
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_random_substitutions(spark):
+    """Items of 1 to 60 tokens with as many random substitutions as are accepted, and one more, against brute force."""
+    rng = random.Random(4)
+    lengths = [1, 2, 3, 4, *range(5, 25), 30, 40, 44, 52, 60]
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in lengths}
+    rows = []
+    for n in lengths:
+        least = min(13, -(-4 * n // 5))
+        for extra in (0, 0, 0, 0, 1):
+            keep = set(rng.sample(range(n), least - extra))
+            rows.append([f"n{rng.randrange(10**6)}" for _ in range(5)] + [w if k in keep else "other" for k, w in enumerate(items[n])] + ["end"] * rng.randrange(4))
+    rows.append([w if k % 4 else "other" for k, w in enumerate(items[20])])  # one in every four
+    want = set()
+    for d, w in enumerate(rows):
+        for n, item in items.items():
+            for shift in range(-n, len(w)):
+                at = [k for k in range(n) if 0 <= shift + k < len(w) and w[shift + k] == item[k]]
+                if any(sum(a <= b < a + 44 for b in at) >= min(13, -(-4 * n // 5)) for a in at):
+                    want.add((d, n))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")
+    test = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert len(want) > 100 and (len(rows) - 1, 20) in want
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, test, most=most).collect()} == want
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,18 +1,22 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions alone.
 
-A seed is a fixed mask over consecutive tokens; positions at 0 are ignored, so a passage with substituted words still
-shares a seed hash with its original as long as one window keeps the positions at 1. Test items are hashed at every
-position under every mask; documents likewise. Documents meet the items by an equality join on the hash. Around each hit
-the document's tokens are laid against the item's on the hit's diagonal, and the tokens that agree, within `around`
-positions of the seed on both sides, must be at least min(`least`, 80 % of the item).
+A document holds a passage of an item if, with the document's tokens laid against the item's on some diagonal, at least
+min(`least`, 80 % of the item) tokens agree within a stretch of `span` positions. A seed is a fixed mask over tokens;
+positions at 0 are ignored. The seeds miss none of these passages: 13 agreeing tokens in 44 positions have 12 gaps that add
+up to 43 at most, so two neighbours among them stand 1, 2 or 3 apart, and there is a mask for each of these distances.
+(Shorter items must agree more densely.) Items of one token are a seed of one token.
+
+Items are hashed at every position under every mask; documents likewise. Documents meet the items by an equality join on
+the hash, and each hit is verified on its diagonal: first a third token must agree nearby, since three neighbours of the 13
+always stand within 8 positions, then all of them are counted.
 
 The items' hashes are broadcast, each with its item's tokens, if that takes at most `most` bytes (summed up first). Beyond
 that the join shuffles by hash, with ids and positions alone on either side; the tokens come back to the hits by a join on
 the document and its tokens' hash.
 
-Tokens are runs of letters and digits, lower-cased. Items shorter than the masks are matched as a whole, if they have 5
-tokens or more; shorter ones are ignored. Null or empty texts have no tokens. Repeated rows give one link; a null doc_id
-gives links with a null doc_id, and `drop_leaked` keeps such a row. Further columns are not read.
+Tokens are runs of letters and digits, lower-cased. Items of fewer than 5 tokens must agree in all of them. Null or empty
+texts have no tokens. Repeated rows give one link; a null doc_id gives links with a null doc_id, and `drop_leaked` keeps
+such a row. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import shielded
 
-MASKS = ("111010110011", "110011010111")
+#: Two agreeing tokens 1, 2 or 3 apart. Masks begin and end with 1.
+MASKS = ("11", "101", "1001")
+SPAN = 44
 BROADCAST_BYTES = 128 << 20
 
 
@@ -39,11 +45,13 @@ def seeds(mask_no: int, mask: str, at: Column, toks: str = "toks") -> Column:
 
 
 def _windows(rows: DataFrame, masks: tuple[str, ...], keep: list[str], first: int) -> DataFrame:
-    """`keep`, at and seed, for every position of every row; masks of one length, numbered from `first`."""
-    n = len(masks[0])
+    """`keep`, at and seed, for every position of every row under every mask that ends within it; masks are numbered from `first`."""
+    n = min(map(len, masks))
     places = F.when(F.size("toks") >= n, F.sequence(F.lit(0), F.size("toks") - n))  # null, so no row, for fewer than n tokens
     each = rows.select(*keep, F.explode(places).alias("at"))
-    return each.select(*keep, "at", F.explode(F.array(*(seeds(first + k, m, F.col("at")) for k, m in enumerate(masks)))).alias("seed"))
+    # a null seed meets nothing
+    own = (F.when(F.col("at") + len(m) <= F.size("toks"), seeds(first + k, m, F.col("at"))) for k, m in enumerate(masks))
+    return each.select(*keep, "at", F.explode(F.array(*own)).alias("seed"))
 
 
 def _meet(d: DataFrame, mine: DataFrame, own: tuple[str, ...], first: int) -> DataFrame:
@@ -56,32 +64,41 @@ def _meet(d: DataFrame, mine: DataFrame, own: tuple[str, ...], first: int) -> Da
     return hits.join(keyed, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("doc_id")))
 
 
-def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 13, around: int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 13, span: int = SPAN, most: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, agreeing (tokens), item_tokens: a row for each document and item of which it holds a passage."""
-    span = len(masks[0])
-    test = items.select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") >= 5)
-    short = sorted(r[0] for r in test.where(F.size("toks") < span).select(F.size("toks")).distinct().collect())  # fewer than `span` values
-    kinds = [(span, masks, 0)] + [(n, ("1" * n,), 1000 + n) for n in short]
+    test = items.select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") >= 1)
     d = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    kinds = [(masks, 0, F.size("toks") > 1)]
+    if not test.where(F.size("toks") == 1).isEmpty():
+        kinds.append((("1",), 1000, F.size("toks") == 1))
     out = []
-    for n, own, first in kinds:
-        mine = test.where(F.size("toks") >= span if n == span else F.size("toks") == n)
-        # a row for each window and mask: 8 bytes a token, and some for the rest
-        size = mine.agg(F.coalesce(F.sum((F.size("toks") - n + 1).cast("long") * len(own) * (8 * F.size("toks") + 80)), F.lit(0))).first()[0]
+    for own, first, which in kinds:
+        mine = test.where(which)
+        # a row for each position and mask: 8 bytes a token, and some for the rest
+        size = mine.agg(F.coalesce(F.sum(F.size("toks").cast("long") * len(own) * (8 * F.size("toks") + 80)), F.lit(0))).first()[0]
         if size <= most:
-            table = _windows(mine, own, ["item_id", "toks"], first).select("item_id", F.col("at").alias("item_at"), F.col("seed").alias("item_seed"), F.col("toks").alias("item_toks"))
+            table = _windows(mine, own, ["item_id", "toks"], first).select("item_id", F.col("at").alias("item_at"), F.col("seed").alias("item_seed"), F.col("toks").alias("item_toks")).where("item_seed is not null")
             hits = _windows(d, own, ["doc_id", "toks"], first).join(F.broadcast(table), F.col("seed") == F.col("item_seed"))
         else:
             hits = _meet(d, mine, own, first)
-        # the stretch of the item around the seed, cut to where the document reaches
-        lead = F.least(F.col("item_at"), F.col("at"), F.lit(around))
-        tail = F.least(F.size("item_toks") - F.col("item_at"), F.size("toks") - F.col("at"), F.lit(n + around))
+        enough = F.least(F.lit(least), F.ceil(F.size("item_toks") * 0.8)).cast("int")
+        # compiled into the join, before a row is made of a hit: few pass
+        near = [F.get("toks", F.col("at") + k) == F.get("item_toks", F.col("item_at") + k) for k in range(-6, 10) if k]
+        third = reduce(lambda a, b: a + b, (F.when(e, 1).otherwise(0) for e in near)) >= 2  # the seed's second token is one of them
+        hits = hits.where(third | (enough < 3))
+        # the stretch of the item around the seed, cut to where the document reaches; the texts' own tokens end here
+        lead = F.least(F.col("item_at"), F.col("at"), F.lit(span - 1))
+        tail = F.least(F.size("item_toks") - F.col("item_at"), F.size("toks") - F.col("at"), F.lit(span))
         ours = F.slice("toks", F.col("at") - lead + 1, lead + tail)
         theirs = F.slice("item_toks", F.col("item_at") - lead + 1, lead + tail)
-        out.append(hits.select("doc_id", "item_id", F.size("item_toks").alias("item_tokens"), F.size(F.filter(F.zip_with(ours, theirs, lambda x, y: x == y), lambda e: e)).alias("agreeing")))
-    # the condition stands after the aggregation: before it, it would move into the join, whose stage then isn't compiled
-    best = reduce(DataFrame.unionAll, out).groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("item_tokens").alias("item_tokens"))
-    return best.where(F.col("agreeing") >= F.least(F.lit(least), F.ceil(F.col("item_tokens") * 0.8)))
+        hits = hits.select("doc_id", "item_id", F.size("item_toks").alias("item_tokens"), enough.alias("enough"), ours.alias("ours"), theirs.alias("theirs"))
+        places = F.filter(F.transform(F.zip_with("ours", "theirs", lambda x, y: x == y), lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+        # the most that agree within `span`; the stretch is shorter than two spans
+        most_agree = F.when(F.size("ours") <= span, F.size(places)).otherwise(F.array_max(F.transform(places, lambda i: F.size(F.filter(places, lambda j: (j >= i) & (j < i + span))))))
+        # made by a generator: as a condition it would move into the join, whose stage then isn't compiled
+        found = F.filter(F.array(F.struct(most_agree.alias("agreeing"), "item_tokens", "enough")), lambda r: r["agreeing"] >= r["enough"])
+        out.append(hits.select("doc_id", "item_id", F.inline(found)))
+    return reduce(DataFrame.unionAll, out).groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("item_tokens").alias("item_tokens"))
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
