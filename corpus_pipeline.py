@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelode.llm import decontaminate, mixing, packing, quality, simhash
 from tracelode.llm.common import load, shared_dir
@@ -31,8 +32,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of token ids."""
-    return packing.pack(docs)
+    """Rows of token ids, in the order of the files and their rows: reading deals files out by size."""
+    at = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return packing.pack(at.orderBy("__file", "__row"))
 
 
 STAGES = [("quality classifier", good), ("SimHash near-dedup", distinct), ("benchmark decontamination", unleaked), ("mixing", mixed), ("token-ID output", packed)]

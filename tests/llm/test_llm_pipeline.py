@@ -1,5 +1,9 @@
 """The pipeline's stages against plain versions of what each must do."""
 
+import os
+import random
+import shutil
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -31,3 +35,29 @@ def test_stages(spark):
             assert set(ids) <= {r.doc_id for r in before.collect()}
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first()[0] > 0
     assert quality.FEATURES
+
+
+def test_packing_keeps_the_order_of_unequal_files(spark, tmp_path):
+    """Files of rising size, which reading takes largest first: packed rows still rise with the position."""
+    folder, start, rng = str(tmp_path / "mixed"), 0, random.Random(3)
+    for k, n in enumerate((20, 60, 150, 400)):
+        rows = [(start + i, " ".join(str(rng.random()) for _ in range(40))) for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"one{k}"))
+        os.makedirs(folder, exist_ok=True)
+        shutil.copy(next((tmp_path / f"one{k}").glob("part-*.parquet")), f"{folder}/part-{k:05d}.parquet")
+        start += n
+    confs = {"spark.sql.files.maxPartitionBytes": "40k", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        got = corpus_pipeline.packed(spark, spark.read.parquet(folder), SF).select("pack_id", "doc_ids").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    parts = {}
+    for r in got:
+        parts.setdefault(r.pack_id >> 33, []).extend(r.doc_ids)
+    spans = [(min(parts[p]), max(parts[p])) for p in sorted(parts)]
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sorted(set(sum(parts.values(), []))) == list(range(start))
