@@ -37,6 +37,31 @@ def test_stages(spark):
     assert quality.FEATURES
 
 
+def test_stages_on_messy_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, clashing names: nothing crashes, and what may stay stays."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key int, a int, b int, __at int, __file int, doc_ids int"
+    plain = " ".join(f"word{i % 23} and then" for i in range(60))
+    texts = [(1, plain), (1, plain + " other " * 30), (2, plain), (None, "no id " + plain[::-1]), (None, None), (3, None), (4, ""), (5, "x" * 50_000), (6, plain), (6, plain)]
+    rows = [(i, t, None, None if k % 3 == 0 else "s", None, 1, 2, 3, 4, 5, 6) for k, (i, t) in enumerate(texts)]
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/stage{k}")
+        docs = spark.read.parquet(f"{folder}/stage{k}")
+        assert docs.count() > 0
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    none = str(tmp_path / "none")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
 def test_packing_keeps_the_order_of_unequal_files(spark, tmp_path):
     """Files of rising size, which reading takes largest first: packed rows still rise with the position."""
     folder, start, rng = str(tmp_path / "mixed"), 0, random.Random(3)

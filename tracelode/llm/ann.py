@@ -1,33 +1,43 @@
 """Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals.
 
-Vectors that are equal are one class (their six smallest ids are kept, more can't be asked for by k = 5), so a vector that
-a third of the rows share costs as much as any other. Classes are assigned to the nearest of about sqrt(n) coarse
-centroids; the residual is coded by `parts` sub-quantisers of 256 centroids. A query visits the nearest cells; in each,
-a table of distances from its residual to every sub-centroid gives an asymmetric distance for each code, and the
-`rerank` best are scored exactly on the original vectors. Cells are cut into blocks, queries into groups, so a hot cell is
-many small tasks; each keeps the best k classes of its block, and the last step ranks those.
-
-The centroids are fitted on about `sample` classes, chosen by a hash. The number of cells to visit is the smallest that reaches `recall`
-against brute force within that sample, for queries drawn from it: vectors without structure need many cells. A query whose
-cells hold fewer than k other vectors visits further ones, in order of distance, until they hold k or no cell is left.
+Vectors that are equal are one class (their k + 1 smallest ids are kept, more can't be asked for), so a vector that a third of
+the rows share costs as much as any other. Classes are assigned to the nearest of about sqrt(n) coarse centroids; the
+residual is coded by `parts` sub-quantisers of 256 centroids. A query visits the nearest cells. There a table of its products
+with every sub-centroid gives the asymmetric distance of each code, sixteen or more additions a code and no vector read. Of all
+visited cells together, the `rerank` classes nearest by code are scored exactly on the original vectors.
+
+So that a cell needn't send all it holds, each query has a limit: its distance, by codes as well, from the m-th nearest of
+the fitting sample, with m such that 1.5 times `rerank` classes of all are expected below it, and 8 at least. Cells are cut into
+blocks and queries into groups, so a hot cell is many small tasks.
+
+The centroids are fitted on about 32 sqrt(n) classes, chosen by a hash, but `sample` at least and `most_sampled` at most; an eighth
+of them can be cells, so cells grow with n up to `most_sampled` / 8. The number of cells to visit is the smallest whose recall
+against brute force within that sample, for queries drawn from it, is `recall` at least, less 2.5 standard errors of a mean
+over as many queries as are asked: few queries visit more, and vectors without structure need many cells. A query whose cells
+hold fewer than k other vectors visits further ones, in order of distance, until they hold k or no cell is left; of these
+first cells the nearest k + 1 classes are kept whatever the limit.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part, as query or candidate; rows
-with a null id neither; a vector of another length than the most common takes no part; ties go to the smaller id; with
-fewer candidates than k all are returned; repeated rows (same id and vector) count once. Further columns are not read.
+with a null id neither. Vectors of different lengths have no cosine: each length is searched for itself. Components of any size
+are scored (vectors are scaled by a power of two first). Ties go to the smaller id; with fewer candidates than k all are
+returned; repeated rows (same id and vector) count once; a row of the query's id with another vector is a candidate, and a
+query of its own. Further columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, sampled
 
-SAMPLE = 8192
+SAMPLE, MOST_SAMPLED = 8192, 65536
 SALTS = 32
 
 
@@ -36,10 +46,12 @@ class Index:
     coarse: np.ndarray
     books: np.ndarray  # parts x 256 x width
     probes: int
+    near: np.ndarray  # the sample, as its codes say
+    rank: int  # of the sample's vector that limits a query
 
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.coarse**2).sum(1)[None] - 2 * x @ self.coarse.T
-        return np.argsort(d, 1, kind="stable")[:, :n]
+    def away(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances from unit vectors to the cells' centroids."""
+        return 1 + (self.coarse**2).sum(1)[None] - 2 * x @ self.coarse.T
 
     def encode(self, r: np.ndarray) -> np.ndarray:
         width = self.books.shape[2]
@@ -48,139 +60,184 @@ class Index:
             codes[:, p] = ((book**2).sum(1)[None] - 2 * r[:, p * width : (p + 1) * width] @ book.T).argmin(1)
         return codes
 
-    def distances(self, r: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances from one residual to codes."""
-        width = self.books.shape[2]
-        table = ((self.books - r.reshape(len(self.books), 1, width)) ** 2).sum(2)
-        out = np.zeros(len(codes), np.float32)
-        for p in range(len(self.books)):
-            out += table[p][codes[:, p]]
-        return out
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], 1)
+
+    def terms(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What a class adds to each distance, whatever the query: |b|^2 + 2 b c of its coded residual b and centroid c."""
+        b = self.coded(codes)
+        return (b * (b + 2 * self.coarse[own])).sum(1)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """queries x parts x 256: what each sub-centroid adds to a query's distances."""
+        return -2 * np.einsum("npw,pjw->npj", q.reshape(len(q), len(self.books), -1), self.books)
+
+    def limits(self, q: np.ndarray) -> np.ndarray:
+        """Each query's distance from the sample's vector of that rank."""
+        d = 1 + (self.near**2).sum(1)[None] - 2 * q @ self.near.T
+        m = min(self.rank, len(self.near)) - 1
+        return np.partition(d, m, 1)[:, m]
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
+        own = np.concatenate([((c**2).sum(1)[None] - 2 * x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)])
         n = np.bincount(own, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        c[n > 0] = sums[n > 0] / n[n > 0, None]
+        order = np.argsort(own, kind="stable")
+        some = np.flatnonzero(n)
+        sums = np.add.reduceat(x[order], (np.cumsum(n) - n)[some], 0)
+        c[some] = sums / n[some, None]
     return c
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in doubles, divided by a power of two so that no square over- or underflows: exact, and the cosine stays."""
+    x = np.asarray(x, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(x: np.ndarray, n: int, parts: int = 16, recall: float = 0.96, k: int = 5, seed: int = 3) -> Index:
-    """Learns from a sample of vectors, for an index of n of them."""
+def fit(x: np.ndarray, n: int, parts: int = 32, recall: float = 0.945, k: int = 5, rerank: int = 50, asked: int = 1000, seed: int = 3) -> Index:
+    """Learns from a sample of vectors, for an index of n of them that is asked so many times."""
     rng = np.random.default_rng(seed)
-    x = units(x.astype(np.float64))
-    cells = max(1, min(len(x) // 8, int(np.sqrt(n)), 4096))
+    x = units(x)
+    cells = max(1, min(len(x) // 8, int(np.sqrt(n))))
     coarse = _means(x, cells, rng)
     while x.shape[1] % parts:
         parts -= 1
-    own = ((coarse**2).sum(1)[None] - 2 * x @ coarse.T).argmin(1)
+    nearest = lambda y: np.concatenate([((coarse**2).sum(1)[None] - 2 * y[i : i + 4096] @ coarse.T).argmin(1) for i in range(0, len(y), 4096)])
+    own = nearest(x)
     r, width = x - coarse[own], x.shape[1] // parts
-    books = np.stack([np.resize(b := _means(r[:, p * width : (p + 1) * width], min(256, len(x)), rng, 8), (256, width)) if len(x) < 256 else _means(r[:, p * width : (p + 1) * width], 256, rng, 8) for p in range(parts)])
-    index = Index(coarse, books, cells)
+    some = r[rng.permutation(len(r))[:4096]]
+    books = np.stack([np.resize(_means(some[:, p * width : (p + 1) * width], min(256, len(some)), rng, 6), (256, width)) for p in range(parts)])
+    index = Index(coarse, books, cells, x, max(8, int(np.ceil(1.5 * rerank * len(x) / n))))
+    index.near = coarse[own] + index.coded(index.encode(r))
     ask = rng.permutation(len(x))[:256]
     sims = x[ask] @ x.T
     sims[np.arange(len(ask)), ask] = -9
-    best = np.argsort(-sims, 1)[:, :k]
-    rank = np.argsort(np.argsort(((coarse**2).sum(1)[None] - 2 * x[ask] @ coarse.T), 1, kind="stable"), 1)
-    seen = rank[np.arange(len(ask))[:, None], own[best]]  # how many cells a query must visit to see each neighbour
-    index.probes = int(np.sort(seen, axis=None)[min(seen.size - 1, int(np.ceil(recall * seen.size)))]) + 1
+    best = np.argsort(-sims, 1)[:, : min(k, len(x) - 1)]
+    if best.size:
+        rank = np.argsort(np.argsort(index.away(x[ask]), 1, kind="stable"), 1)
+        seen = rank[np.arange(len(ask))[:, None], own[best]]  # how many cells a query must visit to see each neighbour
+        found = (seen[:, :, None] < np.arange(1, cells + 1)).mean(1)  # each query's recall for so many cells
+        sure = found.mean(0) - 2.5 * found.std(0) / np.sqrt(max(1, asked)) >= recall
+        index.probes = int(sure.argmax()) + 1 if sure.any() else cells
     return index
 
 
 def clean(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """vec_id, v (doubles) of the rows that take part."""
-    v = F.col(vec).cast("array<double>")
+    """vec_id, v (floats if the input has floats, else doubles) of the rows that take part."""
+    kind = vectors.schema[vec].dataType
+    v = F.col(vec) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else F.col(vec).cast("array<double>")
     fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (dims[0] if dims else 0))
+    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def classes(rows: DataFrame, k: int = 5) -> DataFrame:
     """class_id (smallest id), ids (the k+1 smallest), v, of each different vector. Salted, so no vector's ids meet in one place."""
     some = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), 1, k + 1)
-    salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(F.min("vec_id").alias("m"), F.collect_set("vec_id").alias("ids"))
+    salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(F.collect_set("vec_id").alias("ids"))
     one = salted.select("v", some(F.col("ids")).alias("ids")).groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    return one.select(F.element_at(some(F.col("ids")), 1).alias("class_id"), some(F.col("ids")).alias("ids"), "v")
+    return one.select(some(F.col("ids")).alias("ids"), "v")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16, rerank: int = 400, sample: int = SAMPLE, block: int = 4096, group: int = 512, vec: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, vec: str = "embedding", **how) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest other rows of each row where `is_query` (a condition on vec_id) holds."""
     rows = cut(clean(vectors, vec))
-    known = cut(classes(rows, k))
+    lengths = sorted(r[0] for r in rows.select(F.size("v").alias("n")).distinct().collect())  # a row for each length
+    found = [_search(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k, **how) for n in lengths]
+    return reduce(DataFrame.unionAll, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank: int = 50, recall: float = 0.945, sample: int = SAMPLE, most_sampled: int = MOST_SAMPLED, block: int = 4096, group: int = 512) -> DataFrame:
+    """The search among vectors of one length."""
+    # a class has a number of its own: ids may stand in several
+    known = cut(classes(rows, k).select(F.monotonically_increasing_id().alias("class_id"), "ids", "v"))
     n = known.count()
-    kinds = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], kinds)
-    few = sampled(known, sample, F.col("class_id")).orderBy("class_id").select("v").toArrow().column(0)
-    index = fit(np.array(few.to_pylist()), n, parts, k=k)
-    probes = index.probes
+    size = int(min(most_sampled, max(sample, 32 * n**0.5)))
+    few = sampled(known, size, F.element_at("ids", 1)).orderBy("v").select("v").toArrow().column(0)
+    asked = rows.where(is_query).count()
+    index = fit(np.array(few.to_pylist()), n, parts, recall, k, rerank, asked)
+    cells = len(index.coarse)
 
     def place(batches):
         for b in batches:
-            x = units(np.stack(b["v"]))
-            own = index.nearest(x, 1)[:, 0] if len(b) else np.zeros(0, int)
-            codes = index.encode(x - index.coarse[own])
-            yield pd.DataFrame({"cell": own.astype(np.int32), "class_id": b["class_id"], "ids": b["ids"], "v": b["v"], "code": [c.tobytes() for c in codes]})
-
-    lists = cut(known.select("class_id", "v", F.size("ids").alias("ids")).mapInPandas(place, "cell int, class_id long, ids int, v array<double>, code binary"))
-    held = np.zeros(len(index.coarse), np.int64)  # ids in each cell, up to k + 1 of a class: one row per cell
+            if len(b):
+                x = units(np.stack(b["v"]))
+                own = index.away(x).argmin(1)
+                codes = index.encode(x - index.coarse[own])
+                yield pd.DataFrame({"cell": own.astype(np.int32), "class_id": b["class_id"], "ids": b["ids"], "code": [c.tobytes() for c in codes], "term": index.terms(own, codes)})
+
+    lists = cut(known.select("class_id", "v", F.size("ids").alias("ids")).mapInPandas(place, "cell int, class_id long, ids int, code binary, term float"))
+    held = np.zeros(cells, np.int64)  # ids in each cell, up to k + 1 of a class: one row per cell
     for r in lists.groupBy("cell").agg(F.sum("ids").alias("ids")).collect():
         held[r.cell] = r.ids
 
     def visit(batches):
-        for b in batches:
-            far = index.nearest(units(np.stack(b["v"])), len(held)) if len(b) else np.zeros((0, len(held)), int)
-            # the cells before the one with which k + 1 ids are seen: the query's own is one of them
-            need = (np.cumsum(held[far], 1) < k + 1).sum(1) + 1
-            many = np.minimum(np.maximum(need, probes), len(held))
-            near = [row[:m] for row, m in zip(far, many.tolist(), strict=True)]
-            yield pd.DataFrame({"cell": np.concatenate([*near, np.zeros(0, int)]).astype(np.int32), "asker": np.repeat(b["asker"].to_numpy(), many), "q": [v for v, m in zip(b["v"], many.tolist(), strict=True) for _ in range(m)]})
+        for whole in batches:
+            for b in (whole[i : i + 256] for i in range(0, len(whole), 256)):
+                q = units(np.stack(b["v"]))
+                d = index.away(q)
+                far = np.argsort(d, 1, kind="stable")
+                # the cells before the one with which k + 1 ids are seen: the query's own is one of them
+                need = np.minimum((np.cumsum(held[far], 1) < k + 1).sum(1) + 1, cells)
+                many = np.maximum(need, min(index.probes, cells))
+                row, at = np.repeat(np.arange(len(b)), many), np.concatenate([np.arange(m) for m in many])
+                cell, raw = far[row, at], [x.tobytes() for x in q]
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "asker": b["asker"].to_numpy()[row], "q": [raw[i] for i in row], "base": d[row, cell].astype(np.float32), "most": index.limits(q)[row].astype(np.float32), "must": at < need[row]})
 
     # queries that are equal ask once: the class of the vector asks, for its members
-    asking = rows.where(is_query).select("vec_id", "v").join(known.select("class_id", F.col("v").alias("cv")), F.col("v") == F.col("cv")).select("class_id", "vec_id", "v").distinct()
-    members = cut(asking)
-    probe = members.select(F.col("class_id").alias("asker"), "v").dropDuplicates(["asker"]).mapInPandas(visit, "cell int, asker long, q array<double>")
+    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(known.select("class_id", F.col("v").alias("cv")), F.col("v") == F.col("cv"))
+    members = cut(asking.select(F.col("class_id").alias("asker"), "query_id", "v").distinct())
+    probe = members.select("asker", "v").dropDuplicates(["asker"]).mapInPandas(visit, "cell int, asker long, q binary, base float, most float, must boolean")
     # how many blocks and groups each cell has: one row per cell
     sizes = lists.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = probe.groupBy("cell").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
     both = sizes.join(asked, "cell")
     part = lambda key, many: F.pmod(F.xxhash64(key), many.cast("long")).cast("int")
-    left = lists.join(both, "cell").withColumn("block", part("class_id", F.col("blocks"))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cell", "block", "grp", "class_id", "v", "code")
-    right = probe.join(both, "cell").withColumn("grp", part("asker", F.col("groups"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "grp", "asker", "q")
+    left = lists.join(both, "cell").withColumn("block", part("class_id", F.col("blocks"))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cell", "block", "grp", "class_id", "code", "term")
+    right = probe.join(both, "cell").withColumn("grp", part("asker", F.col("groups"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "grp", "asker", "q", "base", "most", "must")
 
-    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"asker": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return none
-        a = a.sort_values("class_id", kind="stable")
-        ids, x = a["class_id"].to_numpy(), np.stack(a["v"])
+            return pd.DataFrame({"asker": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float32")})
         codes = np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1)
-        lens = np.sqrt(np.einsum("ij,ij->i", x, x))
-        out = []
-        for asker, q in zip(b["asker"], b["q"], strict=True):
-            q = np.asarray(q)
-            d = index.distances(units(q[None])[0] - index.coarse[key[0]], codes)
-            best = np.argsort(d, kind="stable")[:rerank] if len(d) > rerank else np.arange(len(d))
-            s = np.einsum("ij,j->i", x[best], q) / (lens[best] * np.sqrt(np.einsum("i,i->", q, q)))
-            top = np.lexsort((ids[best], -s))[: k + 1]
-            out.append((asker, ids[best][top], s[top]))
-        return pd.DataFrame({"asker": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "class_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+        q = np.frombuffer(b"".join(b["q"]), np.float32).reshape(len(b), -1)
+        d = b["base"].to_numpy()[:, None] + a["term"].to_numpy()[None]
+        table = index.tables(q)
+        for p in range(codes.shape[1]):
+            d += np.take(table[:, p], codes[:, p], 1)
+        keep = d <= b["most"].to_numpy()[:, None]
+        must = np.flatnonzero(b["must"].to_numpy())
+        if len(must):
+            top = np.argpartition(d[must], k, 1)[:, : k + 1] if len(a) > k + 1 else np.tile(np.arange(len(a)), (len(must), 1))
+            keep[must[:, None], top] = True
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"asker": b["asker"].to_numpy()[i], "class_id": a["class_id"].to_numpy()[j], "d": d[i, j]})
 
     where = ["cell", "block", "grp"]
-    found = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(compare, "asker long, class_id long, score double")
-    # each block's best, to the best k+1 classes of each asker: arrays of a few entries, combined before the shuffle
-    top = found.groupBy("asker").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "class_id"))), 1, k + 1).alias("top"))
-    pairs = top.select("asker", F.inline("top")).join(known.select("class_id", "ids"), "class_id")
-    ids = pairs.select("asker", "far", F.explode("ids").alias("vec_id")).groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id"))).alias("near"))
-    each = members.select(F.col("class_id").alias("asker"), F.col("vec_id").alias("query_id")).join(ids, "asker")
-    best = each.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    found = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(compare, "asker long, class_id long, d float")
+    # the best by code of all cells together, and the k + 1 that a query is sure of are among them
+    top = found.groupBy("asker").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "class_id"))), 1, max(rerank, k + 1)).alias("top"))
+    pairs = top.select("asker", F.explode("top.class_id").alias("class_id"))
+    askers = known.select(F.col("class_id").alias("asker"), F.col("v").alias("q"))
+    exact = pairs.join(askers, "asker").join(known.select("class_id", "ids", "v"), "class_id")
+
+    def score(batches):
+        for b in batches:
+            if len(b):
+                x, q = scaled(np.stack(b["v"])), scaled(np.stack(b["q"]))
+                s = np.einsum("ij,ij->i", x, q) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", q, q))
+                yield pd.DataFrame({"asker": b["asker"], "class_id": b["class_id"], "ids": b["ids"], "far": -s})
+
+    scored = exact.select("asker", "class_id", "ids", "v", "q").mapInPandas(score, "asker long, class_id long, ids array<long>, far double")
+    near = scored.select("asker", "class_id", "far", F.explode("ids").alias("vec_id")).groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id", "class_id"))).alias("near"))
+    best = members.select("asker", "query_id").join(near, "asker")
+    best = best.select("query_id", F.slice(F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["class_id"] != F.col("asker"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

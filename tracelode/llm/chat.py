@@ -1,6 +1,6 @@
 """Chat formatting from event logs, with DataFrame functions alone.
 
-A log is a row per event: conv_id, seq, message_id, kind, role, text. Kinds: `message` (a whole message), `delta` (a
+A log is a row per event: conv_id, seq (anything that sorts), message_id, kind, role, text. Kinds: `message` (a whole message), `delta` (a
 streamed piece, appended), `edit` (the message's new text), `regenerate` (what the message had is dropped, pieces
 follow), `delete`. `fold` groups a log by conversation and message, sorts each message's events by seq and keeps what
 stands from its last message, edit or regenerate event on; a message stands where its first event stands.
@@ -11,9 +11,11 @@ the assistant's. Control strings inside a text or role get a backslash after the
 backslashes there already get one more, so unescaping takes one away and nothing else. The loss mask is the spans of
 the assistant's texts in code points of the output.
 
-Edge cases: null text and null role are empty; null conv_id is a conversation of its own; ties in seq are broken by
-kind, role and text; a message logged whole n times with one id stands n times; empty logs give no rows. Further columns
-are not read.
+A conversation is one row of output, so its events are one task's work; logs are shuffled once, by conversation.
+
+Edge cases: null text and null role are empty; very long texts are formatted whole; null conv_id is a conversation of its own;
+ties in seq are broken by kind, role and text; a message logged whole n times with one id stands n times, and rows that repeat in
+`from_turns` are messages of their own; a null seq or turn comes first; empty logs give no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, seq, role, text of the messages that an event log comes to; a row each."""
     e = F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    one = events.groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(e)).alias("e"))
+    # dealt by conversation once: what follows, rendering included, groups within these partitions
+    one = events.repartition("conv_id").groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(e)).alias("e"))
     starts = F.filter(F.transform("e", lambda x, i: F.when(x["kind"].isin("message", "edit", "regenerate"), i + 1)), lambda i: i.isNotNull())
     one = one.withColumn("kept", F.slice("e", F.coalesce(F.array_max(starts), F.lit(1)), F.size("e")))
     whole = F.size(F.filter("e", lambda x: x["kind"] == "message"))
@@ -95,7 +98,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """Whole messages as an event log: each row logs one `message` event at its turn."""
-    text = F.coalesce("text", F.lit(""))
-    ident = F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.hex(F.xxhash64("role", text)))
-    return conversations.select("conv_id", F.col("turn").alias("seq"), ident.alias("message_id"), F.lit("message").alias("kind"), "role", text.alias("text"))
+    """The event log that such messages may have come from: a message of its own for each row, logged at its turn, last event first.
+
+    Half of the messages are streamed: the beginning of a draft, a regeneration, then the text in three pieces of code points. The
+    others are logged whole as a draft, to which a piece is appended, and edited into what they are."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.xxhash64("conv_id", "turn", text).alias("h"))
+    rows = rows.withColumn("message_id", F.concat_ws(":", F.col("turn").cast("string"), F.monotonically_increasing_id().cast("string")))
+    third, draft = F.ceil(F.length("text") / 3).cast("int"), F.left(F.reverse("text"), F.lit(24))
+    event = lambda step, kind, said: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+    piece = lambda k: F.substring("text", third * k + 1, third)
+    streamed = F.array(event(4, "delta", piece(2)), event(3, "delta", piece(1)), event(2, "delta", piece(0)), event(1, "regenerate", F.lit("")), event(0, "delta", draft))
+    edited = F.array(event(2, "edit", F.col("text")), event(1, "delta", F.lit("...")), event(0, "message", draft))
+    each = rows.select("conv_id", "turn", "message_id", "role", F.inline(F.when(F.col("h") % 2 == 0, streamed).otherwise(edited)))
+    return each.select("conv_id", F.struct("turn", "step").alias("seq"), "message_id", "kind", "role", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "sampled", "shared_dir", "shielded", "word_count"]
+__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "row_key", "sampled", "shared_dir", "shielded", "word_count"]
 
 #: ASCII white space: what separates words in every operator here.
 SPACE = " \t\n\x0b\f\r"
@@ -34,6 +34,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE_RE))), F.lit(0)).cast("long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell rows apart by id and text; never null. Rows with both equal have one key."""
+    parts = [doc_id.isNull(), doc_id, text.isNull(), text]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("row"), *reversed(parts)).alias("b"))
+
+
 def sampled(rows: DataFrame, size: int, key: Column) -> DataFrame:
     """About `size` rows (all, if there are fewer): those whose key's hash lies below a share. The same rows in every run, and no sort."""
     n, span = rows.count(), 1 << 40

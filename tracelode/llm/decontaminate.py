@@ -15,8 +15,8 @@ that the join shuffles by hash, with ids and positions alone on either side; the
 the document and its tokens' hash.
 
 Tokens are runs of letters and digits, lower-cased. Items of fewer than 5 tokens must agree in all of them. Null or empty
-texts have no tokens. Repeated rows give one link; a null doc_id gives links with a null doc_id, and `drop_leaked` keeps
-such a row. Further columns are not read.
+texts have no tokens. Very long texts are compared at every position, in rows of their own. Repeated rows give one link; rows
+with a null doc_id give links with a null doc_id. An empty table on either side gives no links. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shielded
+from .common import row_key, shielded
 
 #: Two agreeing tokens 1, 2 or 3 apart. Masks begin and end with 1.
 MASKS = ("11", "101", "1001")
@@ -102,8 +102,9 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, lea
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` that hold no passage of an item."""
+    """The rows of `docs` that hold no passage of an item, whatever their ids: rows are told apart by id and text."""
     rows, named = shielded(docs)
-    own = F.col(named["doc_id"])
-    bad = leaks(rows.select(own.alias("doc_id"), F.col(named["text"]).alias("text")), items, **how).select(F.col("doc_id").alias("leaked")).distinct()
-    return rows.join(bad, own == F.col("leaked"), "left_anti").toDF(*docs.columns)
+    key = row_key(F.col(named["doc_id"]), F.col(named["text"]))
+    bad = leaks(rows.select(key.alias("doc_id"), F.col(named["text"]).alias("text")), items, **how).select(F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")).distinct()
+    keyed = rows.withColumn("key", key).select("*", "key.a", "key.b").drop("key")
+    return keyed.join(bad, ["a", "b"], "left_anti").drop("a", "b").toDF(*docs.columns)

@@ -6,11 +6,13 @@ stochastic gradient descent in numpy. A temperature, fitted on the part of the s
 calibrates the probabilities; the rejection threshold is the largest that keeps `keep` of that part's right answers.
 
 The sample is about `sample` labelled rows, chosen by a hash of their id. Executors turn its texts into
-shares by bucket, so the driver's memory is bounded by `sample * buckets` times 6 bytes whatever the texts' lengths. Scoring folds the
-two tables into one number per bucket and language and sums those over the whole text.
+shares by bucket, of each text its `most_grams` most frequent ones, so the driver holds `sample * most_grams` times 6 bytes at most
+(74 MB), whatever the texts' lengths. Scoring folds the two tables into one number per bucket and language and sums those over
+the whole text, in blocks.
 
-Edge cases: null text, or text without a letter, is `und` with score 0; empty texts likewise; without any labelled row
-everything is `und`. Repeated rows are scored alike. Further columns are not read.
+Edge cases: null text, or text without a letter, is `und` with score 0; empty texts likewise; very long texts are read whole, in
+blocks of 4 MB; without any labelled row everything is `und`; an empty table gives no rows. Repeated rows are scored alike.
+Further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import flat_bytes, pieces, sampled
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 SAMPLE = 3000
+MOST_GRAMS = 4096
+BLOCK = 4 << 20
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
@@ -70,25 +74,29 @@ class Model:
         rows = len(at) - 1
         sums, counts = np.zeros((rows, len(self.langs))), np.zeros(rows)
         for order in ORDERS:
-            found = buckets_of(raw, order)
             lo, hi = at[:-1], np.maximum(at[:-1], at[1:] - order + 1)
             counts += hi - lo
-            for j in range(len(self.langs)):
-                run = np.concatenate([[0.0], np.cumsum(self.table[:, j][found], dtype=np.float64)])
-                sums[:, j] += run[np.minimum(hi, len(found))] - run[np.minimum(lo, len(found))]
+            for a in range(0, len(raw), BLOCK):  # n-grams that start in this block
+                found = buckets_of(raw[a : a + BLOCK + order - 1], order)
+                begin, end = np.clip(lo - a, 0, len(found)), np.clip(hi - a, 0, len(found))
+                for j in range(len(self.langs)):
+                    run = np.concatenate([[0.0], np.cumsum(self.table[:, j][found], dtype=np.float64)])
+                    sums[:, j] += run[end] - run[begin]
         return self.probabilities(sums, counts)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """lang, and each text's n-grams: their buckets (2 bytes each) and shares (4-byte floats), as bytes."""
+def counted(docs: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """lang, and each text's n-grams, the `most_grams` most frequent: their buckets (2 bytes each) and shares (4-byte floats), as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 4 << 20):
             raw, at = lowered(b.column(1))
             bucket, share = [], []
             for lo, hi in zip(at, at[1:], strict=False):
-                c = np.bincount(np.concatenate([buckets_of(raw[lo:hi], n) for n in ORDERS]), minlength=BUCKETS)
+                c = sum(np.bincount(buckets_of(raw[a : min(hi, a + BLOCK + n - 1)], n), minlength=BUCKETS) for n in ORDERS for a in range(lo, hi, BLOCK))
                 own = np.flatnonzero(c)
+                if len(own) > most_grams:
+                    own = np.sort(own[np.argsort(-c[own], kind="stable")[:most_grams]])
                 bucket.append(own.astype("<u2").tobytes())
                 share.append((c[own] / max(1, c.sum())).astype("<f4").tobytes())
             yield pa.record_batch([b.column(0), pa.array(bucket, pa.binary()), pa.array(share, pa.binary())], names=["lang", "bucket", "share"])

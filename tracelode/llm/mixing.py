@@ -6,15 +6,16 @@ piecewise-linear weight over training time 0 to 1. Its integral, scaled to the s
 cumulative demand; a document copy that stands at some share of what the source gives takes the training position at
 which the cumulative demand reaches that share. Documents are then sorted by position.
 
-Within a source, documents stand in the order of a hash. Whole passes come first; the rest of the target is met by a
-last pass that stops at a hash value. That value comes from two histograms of 1024 bins each, the second within the
-bin of the first in which the rest ends, so no source is ever sorted or held in one place, and whether a document is
-taken depends on its own row and its source's one row.
-
-Edge cases: null text has size 0; a null source is a source of its own, last; a document of size 0 is taken along
-with its pass but takes no words; in a source without words every document stands once. Equal ids hash alike, so they
-are taken alike; null ids as well. An empty table gives an empty result. Further columns pass through `mix`,
-whatever their names.
+Within a source, documents stand in the order of a hash of id and text. Whole passes come first; the rest of the target is met by a
+last pass that stops at a hash value. That value comes from four histograms of 1024 bins each, every one within the bin of
+the one before in which the rest ends; the last is over a hash of the row's number, so rows that repeat each other are told apart
+as well. No source is ever sorted or held in one place, and whether a document is taken depends on its own row and
+its source's one row. What is computed per source goes through one task where sources are ranked: a row for each.
+
+Edge cases: null text has size 0; very long texts count whole; a null source is a source of its own, last; a document of size 0
+is taken along with its pass but takes no words; in a source without words every document stands once. Of rows with equal ids
+and texts so many are taken as the target asks, no matter which. An empty table gives an empty result. Further columns
+pass through `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.0)))
 
 
-def hashed(doc_id: Column) -> Column:
-    """20 bits that order the documents of a source."""
-    return F.xxhash64(doc_id.cast("string"), F.lit("mixing")).bitwiseAND(F.lit(BINS * BINS - 1))
+def hashed(doc_id: Column, text: Column) -> Column:
+    """40 bits that order the documents of a source: 30 of id and text, and 10 of the row's number, which part repeated rows."""
+    own = F.xxhash64(doc_id.cast("string"), F.lit("mixing"), text).bitwiseAND(F.lit(BINS**3 - 1))
+    return own * BINS + F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(BINS - 1))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0) -> DataFrame:
@@ -63,30 +65,38 @@ def _running(words: Column) -> Column:
     return F.aggregate(words, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
+def _few(plans: DataFrame) -> DataFrame:
+    """A row for each source: broadcast if all of them take 64 MB at most."""
+    return F.broadcast(plans) if plans.count() * 10 * BINS <= 64 << 20 else plans
+
+
 def plan(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, schedules: tuple = SCHEDULES) -> DataFrame:
     """One row per source with its target, whole passes, the hash at which the last pass stops, the words before each bin and its schedule.
 
-    `sized` has doc_id, source, size."""
-    rows = sized.withColumn("h", hashed(F.col("doc_id")))
+    `sized` has source, size and h."""
     s = targets(sized, weights, cap)
     s = s.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long"))
     s = s.withColumn("rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
-    s = s.withColumnRenamed("source", "of").join(_histogram(rows, F.floor(F.col("h") / BINS), "bins"), F.col("of").eqNullSafe(F.col("source"))).drop("of")
-    s = s.withColumn("before", _running(F.col("bins")))
-    # the bin in which the rest ends: the last that begins at or before it
-    s = cut(s.withColumn("cut_bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.size(F.filter("before", lambda x: x <= F.col("rest"))) - 1))))
-    near = s.select(F.col("source").alias("of"), "cut_bin")
-    inner = rows.join(near, F.col("of").eqNullSafe(F.col("source")) & (F.floor(F.col("h") / BINS) == F.col("cut_bin"))).select("source", "h", "size")
-    fine = _histogram(inner, F.col("h") % BINS, "fine").withColumnRenamed("source", "of")
-    s = s.join(fine, F.col("of").eqNullSafe(F.col("source")), "left").drop("of")
-    fine_before = _running(F.coalesce("fine", F.array()))
-    start = F.element_at("before", F.col("cut_bin") + 1)
-    # a bin of the second histogram is taken if its middle lies before the rest's end
-    mids = F.zip_with(F.slice(fine_before, 1, BINS), F.coalesce("fine", F.array()), lambda b, w: b + w / 2)
-    s = s.withColumn("cut_at", F.when(F.col("rest") <= 0, F.lit(0)).otherwise(F.col("cut_bin") * BINS + F.size(F.filter(mids, lambda x: x + start < F.col("rest")))).cast("long"))
+    s = s.withColumnRenamed("source", "of").join(_histogram(sized, F.shiftright("h", 30), "bins"), F.col("of").eqNullSafe(F.col("source"))).drop("of")
     knots = F.array(*(F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in k)) for k in schedules))
-    s = s.withColumn("knots", F.element_at(knots, (F.col("place") % len(schedules) + 1).cast("int")))
-    return cut(s.select("source", "source_size", "target", "passes", "cut_at", "before", "knots"))
+    s = s.withColumn("before", _running(F.col("bins"))).withColumn("knots", F.element_at(knots, (F.col("place") % len(schedules) + 1).cast("int")))
+    # the bin in which the rest ends: the last that begins at or before it
+    first = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.size(F.filter("before", lambda x: x <= F.col("rest"))) - 1))
+    s = cut(s.withColumn("at", first.cast("long")).withColumn("left", F.col("rest") - F.element_at("before", first + 1)))
+    near = s.select(F.col("source").alias("of"), "at", "left")
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    for shift in (20, 10, 0):
+        rows = sized.join(_few(near), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", shift + 10) == F.col("at")))
+        one = rows.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        one = one.withColumn("start", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        if shift:
+            last = F.max_by(F.struct("bin", (F.col("left") - F.col("start")).alias("left")), F.when(F.col("start") <= F.col("left"), F.col("bin")))
+            near = cut(one.groupBy("source").agg(last.alias("l")).select(F.col("source").alias("of"), F.col("l.bin").alias("at"), "l.left"))
+    # a bin of the last histogram is taken if its middle lies before the rest's end
+    ends = one.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("start") + F.col("words") / 2 < F.col("left"), F.col("bin") + 1)), F.min("bin")).alias("cut_at"))
+    s = s.join(ends.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+    stop = F.when(F.col("rest") <= 0, F.lit(0)).otherwise(F.coalesce("cut_at", F.shiftleft("at", 30))).cast("long")
+    return cut(s.select("source", "source_size", "target", "passes", stop.alias("cut_at"), "before", "knots"))
 
 
 def position(share: Column, knots: Column) -> Column:
@@ -108,36 +118,36 @@ def position(share: Column, knots: Column) -> Column:
 
 
 def taken(docs: DataFrame, plans: DataFrame) -> DataFrame:
-    """The rows of `docs` (with column __size) and __source_size, __target, __copies, __positions (one for each copy)."""
+    """The rows of `docs` (with columns __size and __h) and __source_size, __target, __copies, __positions (one for each copy)."""
     p = plans.select(*(F.col(c).alias(f"__{c}") for c in plans.columns))
-    h = hashed(F.col("doc_id"))
-    rows = docs.join(p, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__h", h)
+    rows = docs.join(_few(p), F.col("source").eqNullSafe(F.col("__source")))
     rows = rows.withColumn("__copies", F.col("__passes") + F.when(F.col("__h") < F.col("__cut_at"), 1).otherwise(0))
-    bin_ = F.floor(F.col("__h") / BINS).cast("int")
+    bin_ = F.shiftright("__h", 30).cast("int")
     low, high = F.element_at("__before", bin_ + 1), F.element_at("__before", bin_ + 2)
-    at = low + (high - low) * ((F.col("__h") % BINS + 0.5) / BINS)  # words of the source before this document, within a bin by its hash
+    at = low + (high - low) * ((F.col("__h").bitwiseAND(F.lit((1 << 30) - 1)) + 0.5) / (1 << 30))  # words of the source before this document, within a bin by its hash
     share = lambda k: F.when(F.col("__target") > 0, F.least(F.lit(1.0), (k * F.col("__source_size") + at) / F.col("__target"))).otherwise(F.lit(0.0))
     each = F.transform(F.when(F.col("__copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: position(share(k), F.col("__knots")))
     return rows.withColumn("__positions", each).drop("__source", "__passes", "__cut_at", "__before", "__knots", "__h")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words), first_position (null if it isn't taken)."""
+    """Per document: doc_id, size, source_size, target, taken (words), positions (of its copies, rising); sorted by the first position, what isn't taken last."""
     s = cut(sized(docs))
-    out = taken(s.withColumnRenamed("size", "__size"), plan(s, **how))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.try_element_at("__positions", F.lit(1)).alias("first_position"))
+    out = taken(s.withColumnsRenamed({"size": "__size", "h": "__h"}), plan(s, **how)).orderBy(F.try_element_at("__positions", F.lit(1)).asc_nulls_last(), "doc_id")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__positions").alias("positions"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The documents as training meets them: each taken copy a row with the columns of `docs`, sorted by position.
 
-    What the plan needs is read first (doc_id, source and size); the rows themselves are shuffled once, by range."""
+    What the plan needs is read first (source, size and hash); the rows themselves are shuffled once, by range."""
     own, named = shielded(docs)
-    rows = own.select(*own.columns, F.col(named["doc_id"]).alias("doc_id"), F.col(named["source"]).alias("source"))
-    plans = plan(cut(sized(own.select(F.col(named["doc_id"]).alias("doc_id"), F.col(named["source"]).alias("source"), F.col(named["text"]).alias("text")))), **how)
+    doc_id, source, text = (F.col(named[c]) for c in ("doc_id", "source", "text"))
+    rows = own.select(*own.columns, source.alias("source"), hashed(doc_id, text).alias("__h"))
+    plans = plan(cut(sized(own.select(doc_id.alias("doc_id"), source.alias("source"), text.alias("text")))), **how)
     each = taken(rows, plans).withColumn("__at", F.explode("__positions"))
-    return each.orderBy("__at", F.xxhash64(F.col("doc_id").cast("string")), "doc_id").select(*own.columns).toDF(*docs.columns)
+    return each.orderBy("__at", F.xxhash64(doc_id.cast("string")), doc_id).select(*own.columns).toDF(*docs.columns)

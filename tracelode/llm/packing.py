@@ -8,17 +8,22 @@ the possible remaining capacities finds that row in log(length) steps.
 
 Output, a row per packed row: pack_id, n_tokens, ids (little-endian, 2 bytes each, or 4 for vocabularies beyond 65536;
 padded), positions (as ids: 0 at each segment's start), cu_seqlens (0, then the end of each segment), doc_ids, pieces
-(the number of each segment's piece), all in the segments' order. `write_shards` writes the matrices as files.
+(the number of each segment's piece), all in the segments' order. `write_shards` writes them as .npz files, which numpy opens:
+matrices `ids` and `positions`, `cu_seqlens` of all rows with `row_splits`, and `segments`, an Arrow stream with what has no
+fixed width. `read_shards` gives the rows back from these files; `packed_files` does both.
 
 Windows follow the input's partitions, which are the same for every attempt of a task, so a lost executor's rows come
-again alike. Edge cases: null and empty texts are a segment of the end mark alone; a null doc_id stays null; repeated rows
-are packed again; an empty table gives no rows. Further columns are not read.
+again alike. The tokenizer's file must be there on every machine.
+
+Edge cases: null and empty texts are a segment of the end mark alone; very long texts are split over as many rows as they need
+(a task holds one text's tokens at a time); a null doc_id stays null, and ids may be of any type; repeated rows are packed again;
+an empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import io
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,15 +32,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import pieces
+from .common import cut, pieces, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the 50k byte-level vocabulary cuts text before merging (a fixed value of that vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-SCHEMA = "pack_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, pieces array<int>"
+SCHEMA = "pack_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{id}>, pieces array<int>"
+SHARD_ROWS = 2048
 _LOADED: dict[str, object] = {}
 
 
@@ -116,8 +123,8 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end_id
         kind = np.dtype("<u2") if max(enc.n_vocab, end_id + 1, pad_id + 1) <= 1 << 16 else np.dtype("<u4")
         where = np.dtype("<u2") if length <= 1 << 16 else np.dtype("<u4")
         ends = np.array([end_id], kind)
-        segs: list[tuple[int | None, int, np.ndarray]] = []
-        held = 0
+        segs: list[tuple[object, int, np.ndarray]] = []
+        held, id_type = 0, pa.int64()
 
         def flush() -> pa.RecordBatch:
             nonlocal made
@@ -133,10 +140,11 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end_id
                 for c, v in (("pack_id", (part << 33) + made), ("n_tokens", n), ("ids", ids.tobytes()), ("positions", pos.tobytes()), ("cu_seqlens", np.cumsum([0, *lens])), ("doc_ids", [s[0] for s in own]), ("pieces", [s[1] for s in own])):
                     out[c].append(v)
                 made += 1
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(id_type), pa.list_(pa.int32()))
             return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
         for b in pieces(batches, "text", 1 << 20):
+            id_type = b.schema.field(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([np.array(enc.encode_ordinary(text or ""), kind), ends])
                 for k, a in enumerate(range(0, len(ids), length)):
@@ -148,7 +156,7 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end_id
         if segs:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -157,25 +165,69 @@ def unpacked(packed: DataFrame) -> DataFrame:
     return packed.select("pack_id", F.inline(seg)).withColumnsRenamed({"doc_ids": "doc_id", "pieces": "piece"})
 
 
-def write_shards(packed: DataFrame, uri: str) -> DataFrame:
-    """Writes each partition's id matrix and positions as two flat files under `uri`, which every executor must reach.
+def write_shards(packed: DataFrame, uri: str, length: int = 2048, rows: int = SHARD_ROWS) -> DataFrame:
+    """Writes each partition's rows of `length` tokens, so many to a file, under `uri`, which every executor must reach: shard (file name), rows.
 
-    Returns shard, rows, ids_path, positions_path. A file gets its name only when whole, so a repeated task leaves no half."""
+    A file gets its name, that of its partition and number, only when whole, so a repeated task leaves no half and no second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
-        part, n = TaskContext.get().partitionId(), 0
-        names = [f"{root}/{kind}-{part:05d}.bin" for kind in ("ids", "positions")]
-        temps = [f"{x}.{uuid.uuid4().hex}" for x in names]
-        with fs.open_output_stream(temps[0]) as ids, fs.open_output_stream(temps[1]) as pos:
-            for b in batches:
-                for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids.write(i)
-                    pos.write(p)
-                    n += 1
-        for t, x in zip(temps, names, strict=True):
-            fs.move(t, x)
-        yield pa.record_batch([pa.array([part]), pa.array([n]), *(pa.array([os.path.basename(x)]) for x in names)], names=["shard", "rows", "ids_path", "positions_path"])
-
-    return packed.select("ids", "positions").mapInArrow(run, "shard long, rows long, ids_path string, positions_path string")
+        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def end() -> pa.RecordBatch:
+            t, flat, stream = pa.Table.from_batches(held), io.BytesIO(), io.BytesIO()
+            rest = t.drop_columns(["ids", "positions"])
+            with pa.ipc.new_stream(stream, rest.schema) as w:
+                w.write_table(rest)
+            raw = {c: t[c].to_pylist() for c in ("ids", "positions", "cu_seqlens")}
+            matrix = {c: np.frombuffer(b"".join(raw[c]), f"<u{len(raw[c][0]) // length}").reshape(len(t), length) for c in ("ids", "positions")}
+            splits = np.cumsum([0, *map(len, raw["cu_seqlens"])])
+            np.savez(flat, **matrix, cu_seqlens=np.concatenate([np.array(x, np.int32) for x in raw["cu_seqlens"]]), row_splits=splits, segments=np.frombuffer(stream.getvalue(), np.uint8))
+            name = f"packed-{part:05d}-{number:05d}.npz"
+            half = f"{root}/.{name}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(half) as f:
+                f.write(flat.getvalue())
+            fs.move(half, f"{root}/{name}")
+            return pa.record_batch([pa.array([name]), pa.array([len(t)], pa.int64())], names=["shard", "rows"])
+
+        for whole in batches:
+            at = 0
+            while at < len(whole):
+                b = whole.slice(at, rows - n)
+                held, n, at = [*held, b], n + len(b), at + len(b)
+                if n == rows:
+                    yield end()
+                    number, held, n = number + 1, [], 0
+        if n:
+            yield end()
+
+    return packed.mapInArrow(run, "shard string, rows long")
+
+
+def read_shards(spark: SparkSession, uri: str, schema: StructType) -> DataFrame:
+    """The packed rows (of `schema`, that of `pack`) as the files under `uri` hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0):
+                with np.load(io.BytesIO(raw.as_buffer())) as z:
+                    t = pa.ipc.open_stream(z["segments"].tobytes()).read_all()
+                    for c in ("ids", "positions"):
+                        t = t.append_column(c, pa.array([row.tobytes() for row in z[c]], pa.binary()))
+                yield from t.select(names).to_batches()
+
+    names = schema.names
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "packed-*.npz").load(uri)
+    return files.select("content").mapInArrow(run, schema)
+
+
+def packed_files(docs: DataFrame, uri: str | None = None, length: int = 2048, **how) -> DataFrame:
+    """Packs, writes the files and reads them back; `uri` is by default a new folder in the shared one."""
+    spark = docs.sparkSession
+    root = uri or f"{shared_dir(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    packed = pack(docs, length, **how)
+    if cut(write_shards(packed, root, length)).isEmpty():
+        return spark.createDataFrame([], packed.schema)
+    return read_shards(spark, root, packed.schema)

@@ -9,7 +9,8 @@ additions of looked-up bins, vectorised. A logistic fit on rows that boosting do
 Labels are taken from about `sample` ids, chosen by a hash; they are broadcast (12 bytes each). Of rows that repeat an id,
 one is learned from. Labels that contradict each other for one id count as 1; null labels don't count.
 
-Edge cases: null and empty texts have all features 0 and are scored; without labels, or with one class alone, the score
+Edge cases: null and empty texts have all features 0 and are scored; very long texts are described whole, a batch of about 8 MB at
+a time; an empty table gives no rows; without labels, or with one class alone, the score
 is that class's share (0.5 without any). Repeated rows are scored alike. Further columns are not read by `scored`
 and pass through `keep_good`.
 """

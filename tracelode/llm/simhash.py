@@ -8,9 +8,16 @@ without the one bit in which it differs. The variant's sides are told apart by t
 brings each pair together once for each such segment, and the join itself verifies the distance and keeps a pair at
 its first such segment alone. Equal fingerprints are one node from the start: copies are never expanded into pairs.
 
-Edge cases: null and empty texts have fingerprint zero and link like any other; repeated rows are kept; rows with a
-null id take part, and the component's id is the smallest non-null id (null if there is none). Other columns of the
-input are not read.
+Pairs that meet grow with the square of the distinct fingerprints, spread over 2^20 keys for each of 64 variants: about n^2 / 65,000
+of n in random places (15 million for a million, which is little; 1.5 billion for 10 million). Pairs that link are all
+written, m^2 / 2 for m distinct fingerprints that are all within the distance of each other.
+
+Keys that very many edges share are few, and are joined by a broadcast of their own (bounded by a share of all edges); what is
+joined back by component is written first, so that adaptive execution can split a large component.
+
+Edge cases: null and empty texts have fingerprint zero and link like any other; very long texts are read whole, a batch of about
+8 MB at a time; `simhash_groups` keeps repeated rows; rows with a null id take part, and the component's id is the smallest
+non-null id (null if there is none); an empty table gives an empty table. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, pieces, shielded
+from .common import cut, pieces, row_key, shielded
 
 SEED = 42
 
@@ -51,14 +59,18 @@ def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    """The columns of `docs` but its last, text, and fp (the fingerprint's 64 bits as a long)."""
+    kept = docs.drop("text").schema
+    names = [*kept.names, "fp"]
+    rows = docs.select(*kept.names, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            found = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            *own, text = b.columns
+            found = np.array([fingerprint(t, shingle) for t in text.cast(pa.large_binary()).to_pylist()], np.uint64)
+            yield pa.record_batch([*own, pa.array(found.view(np.int64))], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, T.StructType([*kept.fields, T.StructField("fp", T.LongType())]))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -102,44 +114,64 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     return same.unionAll(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
 
 
+def _by_key(rows: DataFrame, found: DataFrame, many: int | None) -> DataFrame:
+    """`rows` joined with `found` (u, m, n: how many rows have that u) on u; keys of more than `many` rows, if there are any, by a broadcast."""
+    if many is None:
+        return rows.join(found.select("u", "m"), "u")
+    hot = found.where(F.col("n") > many).select("u", "m")
+    direct = rows.join(F.broadcast(hot), "u")
+    rest = rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(found.where(F.col("n") <= many).select("u", "m"), "u")
+    return direct.select(*rows.columns, "m").unionAll(rest.select(*rows.columns, "m"))
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) of the undirected edges u, v, by alternating large and small stars.
 
     Every round is a minimum by key, combined before the shuffle, and a join on that key; its edges are written to
-    the shared folder. Ends when a round changes nothing."""
+    the shared folder. Ends when what is left are stars: no node is both hub and leaf, none is a leaf of two hubs."""
     now = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    seen = None
     for _ in range(most):
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hub"), F.lit(0).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("hub"), F.lit(1).alias("leaf")))).alias("e")).select("e.*")
+        nodes = ends.groupBy("node").agg(F.max("hub").alias("hub"), F.sum("leaf").alias("leaf"), F.count("*").alias("n"))
+        mixed, size, most_edges = nodes.agg(F.count_if((F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("hub") > 0))), F.sum("leaf"), F.max("n")).first()
+        if not mixed:
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        many = max(1000, size // 1000)  # so at most 2000 keys have more
+        many = many if most_edges > many else None
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))  # here v < u
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _by_key(both.where("v > u"), low, many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))  # here v < u
+        small = _by_key(large, low, many).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == seen:
-            return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
-        seen = state
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def _rooted(prints: DataFrame, best: Column, distance: int) -> DataFrame:
+    """fp, root and best (an aggregate of the rows of a fingerprint), a row for each distinct fingerprint."""
+    nodes = cut(prints.groupBy("fp").agg(best.alias("best")))
+    roots = components(links(nodes.select("fp"), distance))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row of `docs`."""
-    prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), distance))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    prints = cut(fingerprints(docs.select("doc_id", "text"), shingle))
+    rooted = cut(_rooted(prints, F.min("doc_id"), distance))
+    smallest = cut(rooted.groupBy("root").agg(F.min("best").alias("component_id")))
+    named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of `docs` without all but one document, that of the smallest doc_id, of each group.
+    """The rows of `docs` without all but one document of each group: that of the smallest doc_id, null ids last.
 
-    A doc_id that stands in several rows stays once. Rows with a null doc_id can't be told apart by id; they stay."""
+    A document is what has one doc_id and text: rows that repeat both stay once, rows that share the id alone are compared by
+    text like any others. Texts are shuffled once, after repeated rows are put together within each partition."""
     rows, named = shielded(docs)
-    own = F.col(named["doc_id"])
-    groups = simhash_groups(rows.select(own.alias("doc_id"), F.col(named["text"]).alias("text")), shingle, distance)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = rows.join(gone, own == F.col("gone"), "left_anti").withColumn("alone", F.when(own.isNull(), F.monotonically_increasing_id()))
-    return left.dropDuplicates([named["doc_id"], "alone"]).drop("alone").toDF(*docs.columns)
+    own, text = F.col(named["doc_id"]), F.col(named["text"])
+    prints = cut(fingerprints(rows.select(own.alias("doc_id"), row_key(own, text).alias("key"), text.alias("text")), shingle))
+    rooted = _rooted(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), distance)
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key.a").alias("a"), F.col("best.key.b").alias("b"))
+    keyed = rows.withColumn("key", row_key(own, text)).select("*", "key.a", "key.b").drop("key")
+    return keyed.dropDuplicates(["a", "b"]).join(kept, ["a", "b"], "left_semi").drop("a", "b").toDF(*docs.columns)
