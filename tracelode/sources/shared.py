@@ -25,14 +25,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or what was set as checkpoint folder.
+
+    Where neither is set, a temporary folder in local mode (tests), and an error on a cluster, whose machines would not share it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelode-"))
     return named or sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of intermediate files that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises a table in the shared folder: later plans start from it, and lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
