@@ -91,3 +91,6 @@ THREAT_LOW = ["US", "GB", "DE", "FR", "CA", "AU"]
 URL_MALWARE = ["phishing", "malware", "virus", "trojan", "botnet"]
 URL_SHORT = ["bit.ly", "tinyurl", "t.co", "goo.gl"]
 URL_CHEAP = [".tk", ".ml", ".ga", ".cf"]
+
+# The rates at which a fractal's colours change with the steps.
+WAVES = {"red": 0.09, "green": 0.05, "blue": 0.03}

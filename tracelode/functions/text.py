@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,12 +20,19 @@ def universal_newlines(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), "\r\n?", "\n")
 
 
+def _where(text: Column, test: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
+    """`then(text)` where the text passes a test, cheaper than `then` is; the text is computed once."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(test(t), then(t)).otherwise(t)), 0)
+
+
 def deobfuscate(text: Column | str) -> Column:
     """Undoes the usual ways of hiding addresses: [.] (dot) [dot], [@] (at) [at], hxxp, digits and dots spaced out."""
     marks = [(r"\[\.\]", "."), (r"\(dot\)", "."), (r"\[dot\]", "."), (r"\[@\]", "@"), (r"\(at\)", "@"), (r"\[at\]", "@")]
-    out = reduce(lambda c, m: F.regexp_replace(c, rf"(?iU)\s?{m[0]}\s?", m[1]), marks, _col(text))
-    out = F.regexp_replace(out, "(?iU)hxxp", "http")
-    return F.regexp_replace(out, r"(?U)(\d+)\s+\.\s+(\d+)\s+\.\s+(\d+)\s+\.\s+(\d+)", "$1.$2.$3.$4")
+    any_mark = "(?i)" + "|".join(m[0] for m in marks)
+    # most texts hold none of these: one pass finds out
+    out = _where(_col(text), lambda t: (F.contains(t, F.lit("[")) | F.contains(t, F.lit("("))) & t.rlike(any_mark), lambda t: reduce(lambda c, m: F.regexp_replace(c, rf"(?iU)\s?{m[0]}\s?", m[1]), marks, t))
+    out = _where(out, lambda t: t.rlike("(?i)hxxp"), lambda t: F.regexp_replace(t, "(?iU)hxxp", "http"))
+    return _where(out, lambda t: t.rlike(r"(?U)\d\s+\.\s"), lambda t: F.regexp_replace(t, r"(?U)(\d+)\s+\.\s+(\d+)\s+\.\s+(\d+)\s+\.\s+(\d+)", "$1.$2.$3.$4"))
 
 
 def render_context(file: Column | str, position: Column | str, ip_class: Column | str, issuer: Column | str) -> Column:
@@ -71,11 +79,18 @@ def format_size(size: Column | str) -> Column:
     return out
 
 
+def _split_name(path: Column) -> tuple[Column, Column]:
+    """The last path part, and its extension: from the last dot on, if something other than dots stands before it. In time that grows with the length."""
+    base = F.substring_index(path, "/", -1)
+    after = F.substring_index(base, ".", -1)
+    before = F.left(base, F.length(base) - F.length(after) - 1)
+    return base, F.when(F.contains(base, F.lit(".")) & (F.btrim(before, F.lit(".")) != ""), F.concat(F.lit("."), after)).otherwise("")
+
+
 def sanitize_filename(name: Column | str, most: int = 255) -> Column:
     """The last path part with the characters that file systems refuse as `_`, shortened before its extension."""
     name = _col(name)
-    base = F.regexp_replace(F.regexp_extract(name, r"(?s)([^/]*)\z", 1), r'[<>:"/\\|?*\x00]', "_")
-    ext = F.regexp_extract(base, r"(?s)\A.*[^.].*(\.[^.]*)\z", 1)
+    base, ext = _split_name(F.concat(F.lit("/"), F.regexp_replace(F.substring_index(name, "/", -1), r'[<>:"/\\|?*\x00]', "_")))
     stem = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
     short = F.concat(F.substring(stem, F.lit(1), F.lit(most) - F.length(ext) - 1), ext)
     cut = F.when(F.length(base) > most, short).otherwise(base)
@@ -113,8 +128,7 @@ def escape_html(text: Column | str, most: int = 10000) -> Column:
 def short_name(path: Column | str, most: int = 200) -> Column:
     """A long path's last part as the first 20 characters of its name, eight of the path's MD5, and its extension."""
     path = _col(path)
-    base = F.regexp_extract(path, r"(?s)([^/]*)\z", 1)
-    ext = F.regexp_extract(base, r"(?s)\A.*[^.].*(\.[^.]*)\z", 1)
+    base, ext = _split_name(path)
     stem = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
     return F.when(F.length(path) > most, F.concat(F.left(stem, F.lit(20)), F.lit("_"), F.substring(F.md5(path.cast("binary")), 1, 8), ext)).otherwise(base)
 

@@ -105,13 +105,13 @@ NON_GLOBAL = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.1
 
 
 def non_global_ip(ip: Column | str) -> Column:
-    """Whether an address is private, loopback, reserved or multicast; true for what isn't an address."""
+    """Whether an address is private, loopback, reserved or multicast; true for what isn't an address as it is written (no leading zeros)."""
     ranges = []
     for net in NON_GLOBAL:
         base, bits = net.split("/")
         first = reduce(lambda acc, x: acc * 256 + int(x), base.split("."), 0)
         ranges.append((first, first + (1 << (32 - int(bits))) - 1))
-    number = F.when(~F.contains(_col(ip), F.lit(":")), ip_number(ip))
+    number = F.when(~F.contains(_col(ip), F.lit(":")) & valid_ip(ip), ip_number(ip))
     return F.coalesce(bound(number, lambda n: reduce(lambda a, b: a | b, (n.between(*r) for r in ranges))), F.lit(True))
 
 

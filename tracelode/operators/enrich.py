@@ -18,10 +18,10 @@ def area_codes(spark) -> DataFrame:
 
 
 def with_area(phones: DataFrame, codes: DataFrame, value: str = "value") -> DataFrame:
-    """Phone numbers with the state, city and time zone of their area code (`codes`: a row for each of under 1000 codes)."""
+    """Phone numbers with the state, city and time zone of their area code (`codes`: area_code, state, city, timezone)."""
     d = va.digits(value)
     code = F.when(d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 3)).otherwise(F.substring(d, 1, 3))
-    return phones.withColumn("area_code", code).join(F.broadcast(codes), "area_code", "left")
+    return phones.withColumn("area_code", code).join(codes, "area_code", "left")
 
 
 def routing_info(numbers: DataFrame, banks: DataFrame, value: str = "value") -> DataFrame:
@@ -102,10 +102,10 @@ def report_enrichment(found: DataFrame, geo: DataFrame) -> DataFrame:
 def ip_threats(found: DataFrame, geo: DataFrame, abuse: DataFrame, devices: DataFrame) -> DataFrame:
     """case_name, indicator, type, severity, source, confidence for every address, by abuse reports, known weaknesses and country.
 
-    `abuse`: ip, abuse_confidence, total_reports; `devices`: ip, vulnerabilities (array)."""
+    `abuse`: ip, abuse_confidence, total_reports; `devices`: ip, vulnerabilities (array). Of several rows for an address the worst counts."""
     ips = found.where(F.col("category").isin(*IP_CATEGORIES)).select("case_name", F.col("value").alias("indicator"), F.coalesce("file", F.lit("Unknown")).alias("source"), F.split_part("value", F.lit(":"), F.lit(1)).alias("bare"))
-    a = abuse.select(F.col("ip").alias("__a"), F.col("abuse_confidence").alias("c"), F.col("total_reports").alias("reports"))
-    d = devices.select(F.col("ip").alias("__d"), F.size("vulnerabilities").alias("weak"))
+    a = abuse.groupBy(F.col("ip").alias("__a")).agg(F.max("abuse_confidence").alias("c"), F.max("total_reports").alias("reports"))
+    d = devices.groupBy(F.col("ip").alias("__d")).agg(F.max(F.size("vulnerabilities")).alias("weak"))
     g = geo.select(F.col("ip").alias("__g"), "country")
     j = ips.join(a, F.col("bare") == F.col("__a"), "left").join(d, F.col("bare") == F.col("__d"), "left").join(g, F.col("bare") == F.col("__g"), "left")
     bad, some = (F.col("c") > 75) | (F.col("reports") > 10), (F.col("c") > 25) | (F.col("reports") > 0)

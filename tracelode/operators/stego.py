@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 DELIMITER = "<-END-OF-MESSAGE->"
 
 
@@ -36,22 +38,34 @@ def extract(images: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
     return images.withColumn("data", F.when(at > 0, data)).withColumn("error", F.when(at == 0, "Message delimiter not found"))
 
 
+def parse_complex(text: Column | str) -> Column:
+    """struct(real, imaginary) of a number written like 0.285+0.01j, spaces left out; null if it isn't one."""
+    bare = F.lower(F.replace(F.col(text) if isinstance(text, str) else text, F.lit(" "), F.lit("")))
+    bare = F.regexp_replace(bare, r"^\((.*)\)$", "$1")
+    number = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?"
+    real = F.regexp_extract(bare, rf"^([+-]?{number})(?:[+-](?:{number})?j)?$", 1)
+    part = F.regexp_extract(bare, rf"^(?:[+-]?{number}(?=[+-]))?([+-]?(?:{number})?)j$", 1)
+    unit = F.when(part.isin("", "+"), "1").when(part == "-", "-1").otherwise(part)
+    imaginary = F.when(bare.endswith("j"), unit.try_cast("double")).otherwise(F.lit(0.0))
+    whole = bare.rlike(rf"^(?:[+-]?{number}(?:[+-](?:{number})?j)?|[+-]?(?:{number})?j)$")
+    return F.when(whole, F.struct(F.coalesce(F.when(real != "", real.try_cast("double")), F.lit(0.0)).alias("real"), imaginary.alias("imaginary")))
+
+
 def julia(spark, width: int, height: int, real: float, imaginary: float, most: int = 100, span: float = 1.5) -> DataFrame:
-    """x, y, steps: the iteration (from 0) in which each point of the plane leaves radius 2, or `most`; a row per pixel, so pixels are spread over tasks."""
+    """x, y, steps: the iteration (from 0) after which each point of the plane is beyond radius 2, or `most`; a row per pixel, so pixels are spread over tasks."""
     px = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
     zx, zy = (F.col("x") / (width - 1) * 2 - 1) * span, (F.col("y") / (height - 1) * 2 - 1) * span
+
     def step(acc: Column, _: Column) -> Column:
-        inside = acc["a"] * acc["a"] + acc["b"] * acc["b"] <= 4
         a, b = acc["a"] * acc["a"] - acc["b"] * acc["b"] + real, 2 * acc["a"] * acc["b"] + imaginary
-        return F.struct(F.when(inside, a).otherwise(acc["a"]).alias("a"), F.when(inside, b).otherwise(acc["b"]).alias("b"), (acc["n"] + inside.cast("int")).alias("n"))
-    begin = F.struct(zx.cast("double").alias("a"), zy.cast("double").alias("b"), F.lit(0).alias("n"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)
-    px = px.withColumn("e", end)
-    stays = F.col("e.a") * F.col("e.a") + F.col("e.b") * F.col("e.b") <= 4
-    return px.select("x", "y", F.when(stays, most).otherwise(F.greatest(F.col("e.n") - 1, F.lit(0))).alias("steps"))
+        stays = F.when(acc["in"], a * a + b * b <= 4).otherwise(False)
+        return F.struct(F.when(acc["in"], a).otherwise(acc["a"]).alias("a"), F.when(acc["in"], b).otherwise(acc["b"]).alias("b"), stays.alias("in"), (acc["n"] + stays.cast("int")).alias("n"))
+
+    begin = F.struct(zx.cast("double").alias("a"), zy.cast("double").alias("b"), F.lit(True).alias("in"), F.lit(0).alias("n"))
+    return px.select("x", "y", F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)["n"].alias("steps"))
 
 
 def palette(steps: Column, most: int = 100) -> Column:
     """struct(red, green, blue) of a point's steps, each a cosine wave cut to a byte; points that stay are black."""
     wave = lambda rate: F.when(steps == most, 0).otherwise((F.floor(9 * (1 - F.cos(steps * rate)) * 127.5) % 256).cast("int"))
-    return F.struct(wave(0.09).alias("red"), wave(0.05).alias("green"), wave(0.03).alias("blue"))
+    return F.struct(*(wave(rate).alias(name) for name, rate in fixed.WAVES.items()))

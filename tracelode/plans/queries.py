@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx, validate as va
 from ..operators import datasets as ds
 from ..operators import enrich, extract, links, search, stego, tableview
 from ..sources import files, mail, sinks
 from ..sources.files import binary_chunks
+from ..sources.shared import shared_dir, spread
 from ..streaming import ingest
 from . import sql
 
@@ -36,17 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as evidence: a case per source, a file per document."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).where("text is not null")
     return d.select(F.col("source").alias("case_name"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.col("doc_id").alias("ord"), tx.deobfuscate("text").alias("text"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of every category. The SQL says 16 of the 21: documents hold none of the others in the given tables."""
+    """The findings of every category."""
     return extract.findings(evidence(spark, sf_dir))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return p.select(F.regexp_extract("url", "://([^/:?#]+)", 1).alias("case_name"), F.concat(F.lit("page_"), "page_id", F.lit(".html")).alias("file_name"), F.col("page_id").alias("ord"), F.concat_ws("\n", "url", "html").alias("text"))
 
 
@@ -91,27 +97,39 @@ _extract("URLs", sql.urls(), pages=True)
 
 
 def device_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text for each customer with an address and port, a hardware address, an Ethereum address and a social security number, some of them not quite."""
+    """A text for each customer with an address and port, a hardware address, an Ethereum address, a social security number and a URL, some of them not quite."""
     k = F.col("c_custkey")
     hexed = F.sha1(k.cast("string").cast("binary"))
     ip = F.concat_ws(".", *((k * m % n).cast("string") for m, n in ((7, 280), (3, 256), (5, 256), (11, 256))))
     mac = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2))), ":")
     nine = F.lpad((k * 48271 % 1000000000).cast("string"), 9, "0")
-    text = F.concat(F.lit("at "), ip, F.lit(":"), (k * 97 % 70000).cast("string"), F.lit(" if "), mac, F.when(k % 4 == 0, "f").otherwise(""), F.lit(" to 0x"), hexed, F.when(k % 5 == 0, "0").otherwise(""), F.lit(" no "), F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 2), F.substring(nine, 6, 4)))
+    text = F.concat(F.lit("at "), ip, F.lit(":"), (k * 97 % 70000).cast("string"), F.lit(" if "), mac, F.when(k % 4 == 0, "f").otherwise(""), F.lit(" to 0x"), hexed, F.when(k % 5 == 0, "0").otherwise(""), F.lit(" no "), F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 2), F.substring(nine, 6, 4)), F.lit(" via http://h"), (k % 50).cast("string"), F.when(k % 6 == 0, "").otherwise(".example.net"), F.lit("/p"), k.cast("string"))
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("case_name"), F.format_string("c_%d.txt", k).alias("file_name"), k.alias("ord"), text.alias("text"))
 
 
-def _extract_devices(category: str) -> None:
-    """Without SQL: RE2 has no look-around. tests/test_categories.py holds it against plain Python."""
+_HEX, _NINE = "sha1(c_custkey::VARCHAR)", "lpad((c_custkey * 48271 % 1000000000)::VARCHAR, 9, '0')"
+DEVICES = f"""t AS (SELECT c_nationkey::VARCHAR AS case_name, 'c_' || c_custkey || '.txt' AS file_name, c_custkey AS ord,
+  'at ' || concat_ws('.', c_custkey * 7 % 280, c_custkey * 3 % 256, c_custkey * 5 % 256, c_custkey * 11 % 256) || ':' || (c_custkey * 97 % 70000) || ' if ' || array_to_string([{_HEX}[2 * i - 1:2 * i] for i in range(1, 7)], ':') || CASE WHEN c_custkey % 4 = 0 THEN 'f' ELSE '' END
+  || ' to 0x' || {_HEX} || CASE WHEN c_custkey % 5 = 0 THEN '0' ELSE '' END || ' no ' || {_NINE}[1:3] || '-' || {_NINE}[4:5] || '-' || {_NINE}[6:9] || ' via http://h' || (c_custkey % 50) || CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '.example.net' END || '/p' || c_custkey AS text FROM customer)"""
 
+
+def _extract_devices(category: str, oracle: str) -> None:
     def run(spark, d):
         return extract.matches(device_texts(spark, d), [category]).groupBy("case_name", "file_name", "value").agg(F.count("*").alias("n"))
 
-    query(None, f"extract_{category.lower()}")(run)
+    query(f"WITH {DEVICES}, occ AS ({oracle}) SELECT case_name, file_name, value, count(*) AS n FROM occ WHERE value <> '' GROUP BY ALL", f"extract_{category.lower()}")(run)
+
+
+_extract_devices("IPv4_with_Port", sql.with_port())
+for _c in ("MAC_Addresses", "Ethereum_Addresses", "SSN"):
+    _extract_devices(_c, sql.plain(_c))
+
 
+@query(f"WITH {sql.found(DEVICES)} SELECT case_name, category, value, file, position, ip_class, issuer, context FROM f")
+def device_findings(spark, d):
+    """Findings of texts that hold what documents don't."""
+    return extract.findings(device_texts(spark, d)).select("case_name", "category", "value", "file", "position", "ip_class", "issuer", "context")
 
-for _c in ("IPv4_with_Port", "MAC_Addresses", "Ethereum_Addresses", "SSN"):
-    _extract_devices(_c)
 
 #: Literal texts for every category, with what must be found: value and position.
 CASES = [
@@ -212,16 +230,24 @@ def number_checks(spark, d):
     return table(spark, d, "customer").select("c_custkey", va.routing_checksum(nine).alias("routing"), va.valid_ssn(nine).alias("ssn"), va.valid_phone(ten).alias("phone"))
 
 
-@query("""
-SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS domain,
-  CASE WHEN url = '' THEN 'unnamed_file' WHEN regexp_extract(url, '([^/]*)$', 1) = '' THEN 'sanitized_file' ELSE regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[<>:"/\\\\|?*]', '_', 'g') END AS file_name,
-  NOT regexp_matches(url, '[<>:"/\\\\|?*]') AND length(url) <= 100 AS project_ok,
-  NOT regexp_matches(url, '\\b(?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|EXEC|UNION|WAITFOR)\\b|--|;|/\\*|\\*/', 'i') AS search_ok,
-  replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped
-FROM pages WHERE length(url) BETWEEN 1 AND 250
-""".replace("\\\\|", "\\\\|"))
+_URL_PARTS = r"""u AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN NULL WHEN page_id % 10 = 1 THEN '' WHEN page_id % 10 = 2 THEN url || '/' || repeat('long', 80) || '.html' WHEN page_id % 10 = 3 THEN url || repeat('?x<y', 3000) WHEN page_id % 10 = 4 THEN url || ' UNION' ELSE url END AS url FROM pages),
+b AS (SELECT *, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[<>:"/\\|?*]', '_', 'g') AS base FROM u), e AS (SELECT *, regexp_extract(base, '^.*[^.].*(\.[^.]*)$', 1) AS ext FROM b),
+c AS (SELECT *, CASE WHEN length(base) > 255 THEN left(left(base, length(base) - length(ext)), 254 - length(ext)) || ext ELSE base END AS short FROM e)"""
+_CHECKS = r"""
+SELECT page_id, lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS domain,
+  CASE WHEN coalesce(url, '') = '' THEN 'unnamed_file' WHEN short IN ('', '.', '..') THEN 'sanitized_file' ELSE short END AS file_name,
+  coalesce(url <> '' AND length(url) <= 100 AND NOT regexp_matches(url, '[<>:"/\\|?*]') AND NOT contains(url, '..'), FALSE) AS project_ok,
+  coalesce(url <> '' AND length(url) <= 1000 AND NOT regexp_matches(url, '\b(?:SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|EXEC|UNION|WAITFOR)\b|--|;|/\*|\*/', 'i'), FALSE) AS search_ok,
+  left(replace(replace(replace(replace(replace(coalesce(url, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), 10000) AS escaped
+FROM c"""
+
+
+@query(f"WITH {_URL_PARTS} {_CHECKS}")
 def text_checks(spark, d):
-    return table(spark, d, "pages").where("length(url) between 1 and 250").select(
+    """Names and terms made of every page's address: as it is, missing, empty, long, very long, with a word that is refused."""
+    k = F.col("page_id") % 10
+    url = F.when(k == 0, None).when(k == 1, "").when(k == 2, F.concat("url", F.lit("/" + "long" * 80 + ".html"))).when(k == 3, F.concat("url", F.lit("?x<y" * 3000))).when(k == 4, F.concat("url", F.lit(" UNION"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", url.alias("url")).select(
         "page_id", tx.domain_of("url").alias("domain"), tx.sanitize_filename("url").alias("file_name"), tx.project_name_check("url")["ok"].alias("project_ok"), tx.search_term_check("url")["ok"].alias("search_ok"), tx.escape_html("url").alias("escaped")
     )
 
@@ -743,7 +769,7 @@ _MAIL = "SELECT 'conv_' || conv_id || '_' || turn || '.eml' AS archive, 0 AS mes
 
 
 def _mail(spark, d) -> DataFrame:
-    c = table(spark, d, "conversations").where("text is not null")
+    c = spread(table(spark, d, "conversations")).where("text is not null")
     raw = F.concat(F.lit("From: "), "role", F.lit("@example.org\nTo: you@example.org\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\nDate: Mon, 01 Jan 2024 00:00:00 +0000\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text")
     return c.select(F.concat_ws("_", F.lit("conv"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".eml"))).alias("file_path"), raw.cast("binary").alias("content"))
 
@@ -779,7 +805,15 @@ def hidden_messages(spark, d):
     return stego.extract(stego.embed(images).drop("data", "error")).select("item_id", F.col("data").cast("string").alias("hidden"))
 
 
-@query()
+@query("""
+WITH RECURSIVE z AS (
+  SELECT x, y, (x::DOUBLE / 95 * 2 - 1) * 1.5::DOUBLE AS a, (y::DOUBLE / 63 * 2 - 1) * 1.5::DOUBLE AS b, 0 AS n, TRUE AS inside FROM range(96) r(x), range(64) s(y)
+  UNION ALL
+  SELECT x, y, a2, b2, n + CASE WHEN a2 * a2 + b2 * b2 <= 4 THEN 1 ELSE 0 END, a2 * a2 + b2 * b2 <= 4 FROM (SELECT x, y, n, a * a - b * b + (-0.4)::DOUBLE AS a2, 2 * a * b + 0.6::DOUBLE AS b2 FROM z WHERE inside AND n < 100)
+), s AS (SELECT x::INT AS x, y::INT AS y, max(n)::INT AS steps FROM z GROUP BY ALL)
+SELECT x, y, steps, (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.09::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS red, (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.05::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS green,
+  (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.03::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS blue FROM s
+""")
 def fractal(spark, d):
     px = stego.julia(spark, 96, 64, -0.4, 0.6)
     return px.select("x", "y", "steps", stego.palette(F.col("steps")).alias("c")).select("x", "y", "steps", "c.*")
@@ -790,6 +824,149 @@ def csv_rows(spark, d):
     return sinks.csv_rows(found(spark, d))
 
 
-@query()
+@query(sql.over_findings("""
+, j AS (SELECT case_name, category, to_json(category)::VARCHAR || ':{' || string_agg(to_json(value)::VARCHAR || ':' || to_json(context)::VARCHAR, ',' ORDER BY value, context) || '}' AS j FROM f WHERE category <> 'URLs' GROUP BY case_name, category)
+SELECT case_name, '{' || string_agg(j, ',' ORDER BY j) || '}' AS json FROM j GROUP BY 1
+"""))
 def nested_json(spark, d):
     return sinks.nested(found(spark, d))
+
+
+# --- files made of table rows ----------------------------------------------------------------------------------------
+
+
+@query(sql.over_findings("SELECT case_name, category, value, context FROM f WHERE category <> 'URLs'"))
+def stored_findings(spark, d):
+    """The case documents, written and read back."""
+    root = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}/cases"
+    sinks.write_findings(found(spark, d), root)
+    back = files.stored_findings(spark, f"{root}/*/*.txt")
+    return back.select(F.regexp_replace("case_name", "^case_name=", "").alias("case_name"), "category", "value", "context")
+
+
+@query("SELECT file_path, search_string, match_position, context FROM (" + " UNION ALL ".join(_search_sql(t) for t in _TERMS) + ")")
+def search_report(spark, d):
+    """Search results as the report's table, written and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    sinks.search_csv(string_search(spark, d), path)
+    return spark.read.option("header", True).option("escape", '"').schema("file_path string, search_string string, match_position int, context string").csv(path)
+
+
+_MADE = "m AS (SELECT item_id, coalesce(text, '') AS text FROM benchmark)"
+
+
+@F.pandas_udf(T.BinaryType())
+def _zip(text: pd.Series) -> pd.Series:
+    """An archive with the text as m.txt, and with another archive that holds it as deep/n.txt."""
+
+    def one(t: str) -> bytes:
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as z:
+            z.writestr("deep/n.txt", t)
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("in.zip", inner.getvalue())
+            z.writestr("m.txt", t)
+            z.writestr("../out.txt", t)
+        return outer.getvalue()
+
+    return text.map(one)
+
+
+def _made_files(spark, d) -> DataFrame:
+    """Benchmark texts as files by turns: a text, an archive of archives, a database."""
+    b = table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    ext = F.element_at(F.array(F.lit(".txt"), F.lit(".zip"), F.lit(".db")), (F.col("item_id") % 3 + 1).cast("int"))
+    name = F.concat(F.lit("item_"), F.col("item_id").cast("string"), ext)
+    content = F.when(ext == ".zip", _zip("text")).otherwise(F.col("text").cast("binary"))
+    path = F.concat(F.lit("/cases/one/"), name)
+    return b.select(F.lit("one").alias("case_name"), path.alias("file_path"), name.alias("file_name"), ext.alias("ext"), tx.file_class(ext).alias("file_class"), F.octet_length(content).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), content.alias("content"), path.alias("ord"))
+
+
+@query(f"WITH {_MADE}, z AS (SELECT * FROM m WHERE item_id % 3 = 1) SELECT '/cases/one/item_' || item_id || '.zip::m.txt' AS file_path, 1 AS depth, length(text)::BIGINT AS characters FROM z UNION ALL SELECT '/cases/one/item_' || item_id || '.zip::in.zip::deep/n.txt', 2, length(text)::BIGINT FROM z")
+def archive_members(spark, d):
+    got = files.unpack(_made_files(spark, d)).where("error is null")
+    return got.select("file_path", "depth", F.length(files.decode_utf8("content")).cast("long").alias("characters"))
+
+
+@query(f"""WITH {_MADE} SELECT 'item_' || item_id || '.txt' AS file_name, 0 AS chunk_no, md5({sql.deobfuscated('text')}) AS digest FROM m WHERE item_id % 3 = 0
+UNION ALL SELECT unnest(['m.txt', 'n.txt']), 0, md5({sql.deobfuscated('text')}) FROM m WHERE item_id % 3 = 1 UNION ALL SELECT 'item_' || item_id || '.db_chunk_1', 1, md5(text) FROM m WHERE item_id % 3 = 2 AND text <> ''""")
+def all_files(spark, d):
+    """Every file by its class: texts, archives by their members, the rest in chunks."""
+    return files.everything(_made_files(spark, d)).select("file_name", "chunk_no", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_TERM_IN_FILES = "the"
+
+
+@query(f"""WITH {_MADE}, t AS (SELECT '/cases/one/item_' || item_id || CASE item_id % 3 WHEN 0 THEN '.txt' ELSE '.db' END AS file_path, 0 AS archive_depth, text FROM m WHERE item_id % 3 <> 1
+  UNION ALL SELECT 'item_' || item_id || '.zip::m.txt', 1, text FROM m WHERE item_id % 3 = 1 UNION ALL SELECT 'item_' || item_id || '.zip::in.zip', 2, text FROM m WHERE item_id % 3 = 1)
+SELECT file_path, '{_TERM_IN_FILES}' AS search_string, p AS match_position, trim(replace(replace(text[greatest(p - 50, 0) + 1 : p + 3 + 50], chr(10), ' '), chr(13), '')) AS context, archive_depth
+FROM (SELECT file_path, archive_depth, text, (list_sum([length(x) for x in parts[1:i]]) + (i - 1) * 3)::INT AS p FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT *, string_split(lower(text), '{_TERM_IN_FILES}') AS parts FROM t)))""")
+def search_archives(spark, d):
+    return search.search_files(_made_files(spark, d), [_TERM_IN_FILES])
+
+
+_ONE_LINE = "regexp_replace(regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g'), '^From ', 'from ')"
+
+
+@query(f"""SELECT 'conv_' || coalesce(conv_id, -1) || '.mbox' AS archive, (row_number() OVER (PARTITION BY coalesce(conv_id, -1) ORDER BY turn, role, {_ONE_LINE}) - 1)::INT AS message_index, role || '@example.org' AS "from", 'Turn ' || turn AS subject, {_ONE_LINE} AS body_plain
+FROM conversations WHERE turn IS NOT NULL AND role IS NOT NULL""")
+def mbox_messages(spark, d):
+    """A mailbox for each conversation."""
+    c = table(spark, d, "conversations").where("turn is not null and role is not null")
+    said = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " "), r"\AFrom ", "from ")
+    raw = F.concat(F.lit("From someone\nFrom: "), "role", F.lit("@example.org\nTo: you@example.org\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "said")
+    box = c.withColumn("said", said).groupBy(F.coalesce("conv_id", F.lit(-1)).alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "said", raw.alias("raw")))).alias("m"))
+    boxes = box.select(F.concat(F.lit("conv_"), F.col("id").cast("string"), F.lit(".mbox")).alias("file_path"), F.array_join("m.raw", "\n").cast("binary").alias("content"))
+    return mail.messages(boxes).select("archive", "message_index", "from", "subject", "body_plain")
+
+
+@query("""WITH s AS (SELECT 'Case' || s_nationkey AS case_name, '/e/' || s_name AS file_path, CASE s_suppkey % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.zip' ELSE '' END AS ext FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY case_name ORDER BY file_path) - 1 AS n FROM s)
+SELECT file_path, 'P_' || CASE WHEN n < 26 THEN chr((65 + n)::INT) WHEN n < 702 THEN chr((65 + n // 26 - 1)::INT) || chr((65 + n % 26)::INT) END || ext AS new_name FROM r""")
+def collected_names(spark, d):
+    k = F.col("s_suppkey") % 3
+    path = F.concat(F.lit("/e/"), "s_name")
+    return sinks.collected_names(table(spark, d, "supplier").select(F.concat(F.lit("Case"), F.col("s_nationkey").cast("string")).alias("case_name"), path.alias("file_path"), F.when(k == 0, ".txt").when(k == 1, ".zip").otherwise("").alias("ext"), path.alias("ord")), "P")
+
+
+_SEVEN = "['IPv4_Suspect', 'Malicious_URL', 'CVE', 'Suspicious_Process', 'YARA_Match', 'IPv4', 'URLs']"
+
+
+@query(f"SELECT event_type AS case_name, {_SEVEN}[event_id % 7 + 1] AS category, 'v' || event_id AS value, props AS details, 'Unknown' AS file FROM events WHERE event_id % 7 < 5")
+def security_export(spark, d):
+    kinds = F.array(*(F.lit(c) for c in (*fixed.SECURITY_EXPORT, "IPv4", "URLs")))
+    e = table(spark, d, "events").select(F.col("event_type").alias("case_name"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("category"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("value"), F.col("props").alias("context"), F.lit(None).cast("string").alias("file"))
+    return enrich.security_export(e)
+
+
+@query("SELECT 'case' AS case_name, 'GPS' AS type, value AS ip, '' AS country, '' AS city, '' AS asn, c_custkey || '.5' AS lat, (-c_nationkey) || '.0' AS lon, 'Low' AS risk, 1::BIGINT AS indicators, coalesce(file, '') AS files, 'EXIF' AS source FROM (SELECT c_custkey, c_nationkey, c_custkey || '.5,' || (-c_nationkey) AS value, CASE WHEN c_custkey % 3 > 0 THEN 'f' || c_custkey % 3 || '.jpg' END AS file FROM customer)")
+def gps_export(spark, d):
+    """Coordinates found in images, as the geographic dataset shows them; those that are no numbers are left out."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(F.lit("case").alias("case_name"), F.lit("GPS_Coordinates").alias("category"), F.concat(k.cast("string"), F.lit(".5,"), (-F.col("c_nationkey")).cast("string")).alias("value"), F.when(k % 3 > 0, F.concat(F.lit("f"), (k % 3).cast("string"), F.lit(".jpg"))).alias("file"))
+    bad = spark.createDataFrame([("case", "GPS_Coordinates", "north,east", "f.jpg"), ("case", "GPS_Coordinates", "1.5", "f.jpg")], "case_name string, category string, value string, file string")
+    out = enrich.geographic_export(c.unionByName(bad), enrich.geo_lookup(_ips(spark, d), _blocks(spark)))
+    return out.select("case_name", "type", "ip", "country", "city", "asn", "lat", "lon", "risk", "indicators", F.array_join("files", ", ").alias("files"), "source")
+
+
+@query("""WITH w AS (SELECT c_custkey, '1' || upper(md5(c_custkey::VARCHAR)) AS value FROM customer)
+SELECT c_custkey, value, CASE WHEN c_custkey % 3 = 0 THEN '{"abuse_count":' || (c_custkey % 9) || ',"risk_level":"' || CASE WHEN c_custkey % 2 = 0 THEN 'high' ELSE 'low' END || '"}' END AS abuse, CASE WHEN c_custkey % 5 = 0 THEN '{"reports_count":' || (c_custkey % 4) || '}' END AS chain FROM w""")
+def crypto_threats(spark, d):
+    """What two tables say of wallet addresses; rows with an error don't count."""
+    k = F.col("c_custkey")
+    value = F.concat(F.lit("1"), F.upper(F.md5(k.cast("string").cast("binary"))))
+    w = table(spark, d, "customer").select("c_custkey", value.alias("value"))
+    abuse = w.where(k % 3 == 0).select(F.col("value").alias("address"), (k % 9).alias("abuse_count"), F.when(k % 2 == 0, "high").otherwise("low").alias("risk_level"))
+    chain = w.select(F.col("value").alias("address"), (k % 4).alias("reports_count"), F.when(k % 5 != 0, "not found").alias("error"))
+    got = enrich.with_intel(w, abuse=(abuse, "address"), chain=(chain, "address"))
+    said = lambda n: F.try_element_at("enrichments", F.lit(n)).alias(n)
+    return got.select("c_custkey", "value", said("abuse"), F.regexp_replace(F.try_element_at("enrichments", F.lit("chain")), ',"error":null', "").alias("chain"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN NULL WHEN p_partkey % 7 = 2 THEN 0.0 ELSE p_size * 0.25 * CASE WHEN p_partkey % 7 IN (1, 4) THEN -1 ELSE 1 END END::DOUBLE AS real,
+  CASE p_partkey % 7 WHEN 6 THEN NULL WHEN 3 THEN 0.0 WHEN 4 THEN -1.0 WHEN 5 THEN 1.0 ELSE p_size / 2.0 END::DOUBLE AS imaginary FROM part""")
+def complex_numbers(spark, d):
+    """Numbers in all the ways they are written: with both parts, one of them, a bare unit, and not numbers at all."""
+    a, b, k = (F.col("p_size") * F.lit(0.25)).cast("string"), (F.col("p_size") / 2.0).cast("string"), F.col("p_partkey") % 7
+    text = F.when(k == 0, F.concat(a, F.lit(" + "), b, F.lit("j"))).when(k == 1, F.concat(F.lit("(-"), a, F.lit("+"), b, F.lit("J)"))).when(k == 2, F.concat(b, F.lit("j"))).when(k == 3, a).when(k == 4, F.concat(F.lit("-"), a, F.lit("-j"))).when(k == 5, F.concat(a, F.lit("e0+j"))).otherwise(F.concat(a, F.lit("i"), b))
+    return table(spark, d, "part").select("p_partkey", stego.parse_complex(text).alias("z")).select("p_partkey", "z.real", "z.imaginary")

@@ -11,6 +11,15 @@ LC = "a-zA-Z0-9._%+-"
 PLAIN = ["IPv6", "Onion_Addresses", "Credit_Card_VisaMcDiscover", "Credit_Card_Amex", "Credit_Card_Numbers", "Bitcoin_Addresses", "Monero_Addresses", "IBAN", "Phone_Numbers", "ISO_Timestamps", "Unix_Timestamps_Recent", "Unix_Timestamps", "Device_IDs_UUIDs", "User_Agents"]
 
 
+#: Further categories, whose look-arounds say nothing that word borders don't, or are written out as alternatives.
+REWRITTEN = {
+    "Ethereum_Addresses": r"\b0x[a-fA-F0-9]{40}\b",
+    "SSN": r"\b(?:00[1-9]|0[1-9]\d|[1-5]\d\d|6[0-57-9]\d|66[0-57-9]|7[0-6]\d|77[0-2])[- ]?(?:0[1-9]|[1-9]\d)[- ]?(?:[1-9]\d{3}|0[1-9]\d\d|00[1-9]\d|000[1-9])\b",
+    "MAC_Addresses": r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b",
+}
+PORT = r"(?:[1-9]\d{0,3}|[1-5]\d{4}|6[0-4]\d{3}|65[0-4]\d{2}|655[0-2]\d|6553[0-5])"
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -54,16 +63,16 @@ TEXTS = f"t AS (SELECT source AS case_name, 'doc_' || doc_id || '.txt' AS file_n
 
 
 def plain(category: str, source: str = "t") -> str:
-    """case_name, file_name, ord, category, value, position of a category that RE2 takes as it is."""
-    p = q(fixed.PATTERNS[category])
+    """case_name, file_name, ord, category, value, position of a category that RE2 takes as it is, or rewritten."""
+    p = q(REWRITTEN.get(category) or fixed.PATTERNS[category])
     return f"""SELECT case_name, file_name, ord, '{category}' AS category, trim(m[i]) AS value,
   (list_sum([length(x) for x in parts[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::INT AS position
 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT case_name, file_name, ord, regexp_extract_all(text, {p}, 0, 'i') AS m, regexp_split_to_array(text, {p}, 'i') AS parts FROM {source} WHERE regexp_matches(text, {p}, 'i')))"""
 
 
-def ipv4(source: str = "t") -> str:
-    each = f"regexp_extract_all(regexp_replace(text, '([^\\w.])', '\\1\\1', 'g'), '(?:^|[^\\w.])({IP})(?:$|[^\\w.])', 1, 'm')"
-    return f"SELECT case_name, file_name, ord, 'IPv4' AS category, value, (instr(text, value) - 1)::INT AS position FROM (SELECT *, unnest({each}) AS value FROM {source} WHERE text IS NOT NULL)"
+def ipv4(source: str = "t", category: str = "IPv4", tail: str = "") -> str:
+    each = f"regexp_extract_all(regexp_replace(text, '([^\\w.])', '\\1\\1', 'g'), '(?:^|[^\\w.])({IP}{tail})(?:$|[^\\w.])', 1, 'm')"
+    return f"SELECT case_name, file_name, ord, '{category}' AS category, value, (instr(text, value) - 1)::INT AS position FROM (SELECT *, unnest({each}) AS value FROM {source} WHERE text IS NOT NULL)"
 
 
 def emails(source: str = "t") -> str:
@@ -86,10 +95,25 @@ def irrelevant(c: str = "category", v: str = "value") -> str:
 
 
 CARDS = ", ".join(q(c) for c in fixed.CARDS)
-#: The findings of documents, as common table expressions: t, occ, ok, fin.
-FOUND = f"""{TEXTS}, occ AS (
+
+
+def with_port(source: str = "t") -> str:
+    """Colons part an address from its port, so they aren't doubled as other separators are."""
+    each = f"regexp_extract_all(regexp_replace(text, '([^\\w.:])', '\\1\\1', 'g'), '(?:^|[^\\w.])({IP}:{PORT})(?:$|[^\\w.])', 1, 'm')"
+    return f"SELECT case_name, file_name, ord, 'IPv4_with_Port' AS category, value, (instr(text, value) - 1)::INT AS position FROM (SELECT *, unnest({each}) AS value FROM {source} WHERE text IS NOT NULL)"
+
+
+def placed_urls(source: str = "t") -> str:
+    return f"SELECT u.case_name, u.file_name, u.ord, u.category, u.value, (instr({source}.text, u.value) - 1)::INT AS position FROM ({urls(source)}) u JOIN {source} USING (case_name, file_name, ord)"
+
+
+def found(texts: str) -> str:
+    """The findings of texts (t), as common table expressions: t, occ, ok, fin, f."""
+    return f"""{texts}, occ AS (
 {' UNION ALL '.join(plain(c) for c in PLAIN)}
-UNION ALL {ipv4()} UNION ALL {emails()}
+UNION ALL {' UNION ALL '.join(plain(c) for c in REWRITTEN)}
+UNION ALL {ipv4()} UNION ALL {with_port()} UNION ALL {emails()}
+UNION ALL SELECT case_name, file_name, ord, category, value, position FROM ({placed_urls()})
 ), ok AS (
   SELECT case_name, file_name, ord, category, value, min(position) AS position FROM occ
   WHERE value <> '' AND NOT {irrelevant()} AND (category NOT IN ({CARDS}) OR {luhn_ok('value')}) GROUP BY ALL
@@ -105,5 +129,8 @@ UNION ALL {ipv4()} UNION ALL {emails()}
 )"""
 
 
+FOUND = found(TEXTS)
+
+
 def over_findings(select: str) -> str:
     return f"WITH {FOUND} {select}"

@@ -5,21 +5,23 @@ file by file within tasks."""
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx
 
-FILE = "case_name string, file_path string, file_name string, ext string, file_class string, size long, mtime timestamp, content binary, ord long"
+FILE = "case_name string, file_path string, file_name string, ext string, file_class string, size long, mtime timestamp, content binary, ord string"
 CHUNK = 8192
 ARCHIVES = fixed.EXTENSIONS["archives"]
 
@@ -30,18 +32,15 @@ def _named(path: Column) -> tuple[Column, Column]:
 
 
 def list_files(spark: SparkSession, root: str, case_name: str | None = None) -> DataFrame:
-    """Every file under a folder. The case is the given one or the first folder below the root; ord is the path's place in path order.
-
-    `ord` is found by ranking within hash-free range order per case: cases are ranked apart, never all files in one place."""
+    """Every file under a folder. The case is the given one or the first folder below the root; `ord`, by which a case's files are
+    ordered, is the path itself: nothing is ranked, and no content is shuffled."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     base = "/" + root.removeprefix("file:").strip("/") if "://" not in root or root.startswith("file:") else root.rstrip("/")
     rest = F.substring(path, F.lit(len(base) + 2), F.length(path))
     case = F.lit(case_name) if case_name else F.when(F.contains(rest, F.lit("/")), F.split_part(rest, F.lit("/"), F.lit(1))).otherwise(F.lit(os.path.basename(base)))
     name, ext = _named(path)
-    rows = raw.select(case.alias("case_name"), path.alias("file_path"), name.alias("file_name"), ext.alias("ext"), tx.file_class(ext).alias("file_class"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    order = rows.select("case_name", "file_path").withColumn("ord", F.row_number().over(Window.partitionBy("case_name").orderBy("file_path")).cast("long"))
-    return rows.join(order, ["case_name", "file_path"]).select("case_name", "file_path", "file_name", "ext", "file_class", "size", "mtime", "content", "ord")
+    return raw.select(case.alias("case_name"), path.alias("file_path"), name.alias("file_name"), ext.alias("ext"), tx.file_class(ext).alias("file_class"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content", path.alias("ord"))
 
 
 def valid_inputs(files: DataFrame) -> DataFrame:
@@ -69,10 +68,14 @@ def texts(files: DataFrame, undo: bool = True) -> DataFrame:
     return files.where(readable).select("case_name", "file_name", "ord", (tx.deobfuscate(body) if undo else body).alias("text"))
 
 
+def _printable(raw: bytes) -> str:
+    return "".join(c for c in raw.decode("utf-8", "ignore") if c.isprintable() or c.isspace())
+
+
 @F.pandas_udf(T.StringType())
 def printable(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8 without bad bytes and without what is neither printable nor white space."""
-    return content.map(lambda b: "".join(c for c in bytes(b or b"").decode("utf-8", "ignore") if c.isprintable() or c.isspace()))
+    return content.map(lambda b: _printable(bytes(b or b"")))
 
 
 def binary_chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -98,82 +101,139 @@ def _safe(name: str) -> bool:
     return bool(name) and not name.startswith("/") and "\x00" not in name and ".." not in name.split("/")
 
 
-def _members(name: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
+def _members(name: str, raw: bytes, most: int) -> Iterator[tuple[str, bytes | None]]:
+    """The members of one archive; None for one of more than `most` bytes, of which no more is read."""
     low = name.lower()
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             if any(i.flag_bits & 1 for i in z.infolist()):
                 raise ValueError("encrypted")
-            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and _safe(i.filename))
+            for i in z.infolist():
+                if not i.is_dir() and _safe(i.filename):
+                    with z.open(i) as f:
+                        data = f.read(most + 1) if i.file_size <= most else None
+                    yield i.filename, None if data is None or len(data) > most else data
     elif low.endswith((".tar", ".tar.gz", ".tgz")):
         with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile() and _safe(m.name))
+            yield from ((m.name, t.extractfile(m).read() if m.size <= most else None) for m in t if m.isfile() and _safe(m.name))
     elif low.endswith(".gz"):
-        yield os.path.basename(name)[:-3], gzip.decompress(raw)
+        with gzip.open(io.BytesIO(raw)) as f:
+            data = f.read(most + 1)
+        yield os.path.basename(name)[:-3], None if len(data) > most else data
     else:
         raise ValueError("no reader for this kind of archive")
 
 
+def _opened(path: str, raw: bytes, deepest: int, most: int) -> Iterator[tuple[str, bytes | None, int, str | None]]:
+    """(path, content, depth, error) of what an archive holds that is no archive, nested ones opened in turn.
+
+    What can't be opened or is too large is a row with an error; the archive's other members follow."""
+    stack = [(path, raw, 0)]
+    while stack:
+        path, raw, depth = stack.pop()
+        try:
+            if depth >= deepest:
+                raise ValueError("nested too deep")
+            for member, data in _members(path, raw, most):
+                inner = f"{path}::{member}"
+                if data is None:
+                    yield inner, None, depth + 1, "member too large"
+                elif os.path.splitext(member)[1].lower() in ARCHIVES:
+                    stack.append((inner, data, depth + 1))
+                else:
+                    yield inner, data, depth + 1, None
+        except Exception as e:  # a damaged archive is a result, not a failure
+            yield path, None, depth, str(e)[:200] or type(e).__name__
+
+
+def _split_name(path: str) -> tuple[str, str]:
+    name = os.path.basename(path.rsplit("::", 1)[-1])
+    return name, os.path.splitext(name)[1].lower()
+
+
 def unpack(files: DataFrame, deepest: int = 16, most_bytes: int = 500 << 20) -> DataFrame:
     """The members of archives, nested ones opened in turn: the columns of `files`, depth and error.
 
     A row per member that is no archive, its path `outer.zip::inner/path` at every level; a row with an error for what
-    can't be opened. `deepest` and `most_bytes` (of one member) bound what an archive may unpack to."""
+    can't be opened. `deepest` and `most_bytes` (of one member) bound what an archive may unpack to: no more than that is read of a
+    member, and its archive's other members are read none the less."""
     names = ["case_name", "file_path", "file_name", "ext", "size", "mtime", "content", "ord", "depth", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                out, stack = [], [(r.file_path, bytes(r.content), 0)]
-                while stack:
-                    path, raw, depth = stack.pop()
-                    try:
-                        if depth >= deepest:
-                            raise ValueError("nested too deep")
-                        for member, data in _members(path, raw):
-                            inner, ext = f"{path}::{member}", os.path.splitext(member)[1].lower()
-                            if len(data) > most_bytes:
-                                raise ValueError("member too large")
-                            if ext in ARCHIVES:
-                                stack.append((inner, data, depth + 1))
-                            else:
-                                out.append((r.case_name, inner, os.path.basename(member), ext, len(data), r.mtime, data, r.ord, depth + 1, None))
-                    except Exception as e:  # a damaged archive is a result, not a failure
-                        out.append((r.case_name, path, os.path.basename(path), os.path.splitext(path)[1].lower(), len(raw), r.mtime, None, r.ord, depth, str(e)[:200] or type(e).__name__))
-                yield pd.DataFrame(out, columns=names)
+                for path, data, depth, error in _opened(r.file_path, bytes(r.content), deepest, most_bytes):
+                    yield pd.DataFrame([(r.case_name, path, *_split_name(path), len(data or b""), r.mtime, data, r.ord, depth, error)], columns=names)
 
     some = files.where(F.col("ext").isin(*ARCHIVES)).select("case_name", "file_path", "mtime", "content", "ord")
-    got = some.mapInPandas(run, "case_name string, file_path string, file_name string, ext string, size long, mtime timestamp, content binary, ord long, depth int, error string")
+    kind = files.schema["ord"].dataType.simpleString()
+    got = some.mapInPandas(run, f"case_name string, file_path string, file_name string, ext string, size long, mtime timestamp, content binary, ord {kind}, depth int, error string")
     return got.withColumn("file_class", tx.file_class("ext"))
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """case_name, file_name, ord, text, error of pdf, docx and xlsx files, where their libraries are installed; null text and the reason otherwise."""
-
-    def read(ext: str, raw: bytes) -> str:
-        if ext == ".pdf":
-            import pypdf
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _word_text(raw: bytes) -> str:
+    """The paragraphs of a word-processing document's body, a line each."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
+    said = {f"{_WORD}t": lambda e: e.text or "", f"{_WORD}tab": lambda e: "\t", f"{_WORD}br": lambda e: "\n"}
+    return "\n".join("".join(said[e.tag](e) for r in p.iter(f"{_WORD}r") for e in r if e.tag in said) for p in body.findall(f"{_WORD}p"))
+
+
+def _sheet_text(raw: bytes) -> str:
+    """The sheets of a workbook, each as a table under its name."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
+            path, rows = targets[sheet.get(f"{_REL}id")].lstrip("/"), []
+            for row in ElementTree.fromstring(z.read(path if path.startswith("xl/") else f"xl/{path}")).iter(f"{_SHEET}row"):
+                cells: dict[int, object] = {}
+                for c in row.iter(f"{_SHEET}c"):
+                    col = functools.reduce(lambda n, x: n * 26 + ord(x) - 64, "".join(x for x in c.get("r", "A") if x.isalpha()), 0) - 1
+                    value, kind = c.findtext(f"{_SHEET}v"), c.get("t", "n")
+                    cells[col] = shared[int(value)] if kind == "s" and value else "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if kind == "inlineStr" else value if kind in ("str", "e") or value is None else value == "1" if kind == "b" else float(value) if "." in value or "E" in value else int(value)
+                rows.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
+            width = max(map(len, rows), default=0)
+            rows = [r + [None] * (width - len(r)) for r in rows]
+            head = [f"Unnamed: {k}" if v is None else v for k, v in enumerate(rows[0])] if rows else []
+            out.append(f"Sheet: {sheet.get('name')}\n{pd.DataFrame(rows[1:], columns=head).to_string()}\n\n")
+    return "".join(out)
+
+
+def _document_text(ext: str, raw: bytes) -> str:
+    """The text of a document; word-processing files and workbooks are read as the zipped XML that they are, pdf files with pypdf where it is installed."""
+    if ext == ".pdf":
+        import pypdf
+
+        return "\n".join(p.extract_text() for p in pypdf.PdfReader(io.BytesIO(raw)).pages)
+    if ext == ".docx":
+        return _word_text(raw)
+    if ext == ".xlsx":
+        return _sheet_text(raw)
+    raise ValueError("read as binary")
 
-            return "\n".join(p.extract_text() for p in pypdf.PdfReader(io.BytesIO(raw)).pages)
-        if ext == ".docx":
-            import docx
 
-            return "\n".join(p.text for p in docx.Document(io.BytesIO(raw)).paragraphs)
-        if ext == ".xlsx":
-            return "".join(f"Sheet: {n}\n{s.to_string()}" for n, s in pd.read_excel(io.BytesIO(raw), sheet_name=None).items())
-        raise ValueError("read as binary")
+def documents(files: DataFrame) -> DataFrame:
+    """case_name, file_name, ord, text, error of pdf, docx and xlsx files; null text and the reason for what can't be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples():
                 try:
-                    out.append((r.case_name, r.file_name, r.ord, read(r.ext, bytes(r.content)), None))
+                    out.append((r.case_name, r.file_name, r.ord, _document_text(r.ext, bytes(r.content)), None))
                 except Exception as e:
                     out.append((r.case_name, r.file_name, r.ord, None, str(e)[:200]))
             yield pd.DataFrame(out, columns=["case_name", "file_name", "ord", "text", "error"])
 
-    return files.where("file_class = 'documents'").select("case_name", "file_name", "ext", "ord", "content").mapInPandas(run, "case_name string, file_name string, ord long, text string, error string")
+    kind = files.schema["ord"].dataType.simpleString()
+    return files.where("file_class = 'documents'").select("case_name", "file_name", "ext", "ord", "content").mapInPandas(run, f"case_name string, file_name string, ord {kind}, text string, error string")
 
 
 def image_properties(files: DataFrame) -> DataFrame:
@@ -203,16 +263,44 @@ def image_properties(files: DataFrame) -> DataFrame:
     return files.where("file_class = 'images'").select("case_name", "file_name", "content").mapInPandas(run, "case_name string, file string, category string, value string")
 
 
-def everything(files: DataFrame) -> DataFrame:
-    """case_name, file_name, ord, chunk_no, text of all files, by class: texts and mail as they are, archives by their members, the rest (and what can't be read otherwise) as binary chunks."""
-    inner = unpack(files).where("error is null").select(*files.columns)
-    all_ = files.where(~F.coalesce(F.col("ext").isin(*ARCHIVES), F.lit(False))).unionByName(inner)
-    plain = texts(all_).withColumn("chunk_no", F.lit(0))
-    docs = documents(all_)
-    read = docs.where("error is null").select("case_name", "file_name", "ord", "text").withColumn("chunk_no", F.lit(0))
-    failed = all_.join(docs.where("error is not null").select("case_name", "file_name", "ord"), ["case_name", "file_name", "ord"], "left_semi")
-    other = all_.where(F.col("file_class").isin("data", "audio", "video") | (F.col("ext") == ".msg"))
-    return plain.unionByName(read).unionByName(binary_chunks(failed.unionByName(other)))
+def _parts(name: str, ext: str, raw: bytes) -> Iterator[tuple[str, int, str, bool]]:
+    """(name, chunk number, text, whether it is de-obfuscated) of one file that is no archive, by its class."""
+    kind = next((k for k, v in fixed.EXTENSIONS.items() if ext in v), None)
+    if kind == "text" or ext in (".eml", ".mbox"):
+        yield name, 0, raw.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"), True
+        return
+    if kind == "documents":
+        try:
+            yield name, 0, _document_text(ext, raw), False
+            return
+        except Exception:  # read as binary
+            kind = "data"
+    if kind in ("data", "audio", "video") or ext == ".msg":
+        for k in range(0, len(raw), CHUNK):
+            text = _printable(raw[k : k + CHUNK])
+            if text.strip(" "):
+                yield f"{name}_chunk_{k // CHUNK + 1}", k // CHUNK + 1, text, False
+
+
+def everything(files: DataFrame, deepest: int = 16, most_bytes: int = 500 << 20) -> DataFrame:
+    """case_name, file_name, ord, chunk_no, text of all files, by class: texts and mail as they are, archives by their members, the rest (and what can't be read otherwise) as binary chunks.
+
+    One pass: each file is read and each archive opened once."""
+    names = ["case_name", "file_name", "ord", "chunk_no", "text", "plain"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                raw = bytes(r.content)
+                held = _opened(r.file_path, raw, deepest, most_bytes) if r.ext in ARCHIVES else [(r.file_path, raw, 0, None)]
+                for path, data, _, error in held:
+                    out = [(r.case_name, n, r.ord, k, t, p) for n, k, t, p in _parts(*_split_name(path), data)] if error is None else []
+                    if out:
+                        yield pd.DataFrame(out, columns=names)
+
+    kind = files.schema["ord"].dataType.simpleString()
+    got = files.select("case_name", "file_path", "ext", "ord", "content").mapInPandas(run, f"case_name string, file_name string, ord {kind}, chunk_no int, text string, plain boolean")
+    return got.select("case_name", "file_name", "ord", "chunk_no", F.when(F.col("plain"), tx.deobfuscate("text")).otherwise(F.col("text")).alias("text"))
 
 
 def stored_findings(spark: SparkSession, path: str) -> DataFrame:

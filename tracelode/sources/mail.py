@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.header
 from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def _message(raw: bytes) -> tuple:
                 if not bodies.get(key):
                     bodies[key] = data.decode("utf-8", "ignore")
         try:
-            sent = pd.Timestamp(parsedate_to_datetime(msg.get("Date"))).tz_convert("UTC").tz_localize(None) if msg.get("Date") else None
+            sent = parsedate_to_datetime(msg.get("Date")) if msg.get("Date") else None
+            sent = sent if sent is None or sent.tzinfo else sent.replace(tzinfo=datetime.UTC)
         except (TypeError, ValueError):
             sent = None
         return _header(msg.get("From")), _header(msg.get("To")), _header(msg.get("Subject")), msg.get("Date"), sent, bodies.get("text/plain", ""), bodies.get("text/html", ""), files, None
@@ -56,24 +58,38 @@ def _split(raw: bytes) -> list[bytes]:
     return [p.split(b"\n", 1)[1] if b"\n" in p else b"" for p in parts[1:]]
 
 
+#: Messages leave a task in batches of so many, or of about so many bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_ARROW = (
+    pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.string(),
+    pa.list_(pa.struct([("filename", pa.string()), ("size", pa.int32())])), pa.string(),
+)
+
+
 def messages(files: DataFrame) -> DataFrame:
-    """The messages of .eml and .mbox files (file_path, ext, content), message_index from 0; other formats give a row with an error."""
+    """The messages of .eml and .mbox files (file_path, content), message_index from 0; other formats give a row with an error."""
     names = [f.split(" ")[0] for f in MESSAGE.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True), _ARROW, strict=True)], names=names)
+
         for b in batches:
-            for r in b.itertuples():
-                raw = bytes(r.content or b"")
-                if r.kind in ("eml", "mbox"):
-                    out = [(r.file_path, i, *_message(m)) for i, m in enumerate([raw] if r.kind == "eml" else _split(raw))]
-                else:
-                    out = [(r.file_path, 0, "", "", "", None, None, "", "", [], f"format not supported: {r.kind}")]
-                df = pd.DataFrame(out, columns=names)
-                df["sent"] = pd.to_datetime(df["sent"])
-                yield df
+            for path, kind, raw in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = raw or b""
+                for i, m in enumerate([raw] if kind == "eml" else _split(raw) if kind == "mbox" else [None]):
+                    out.append((path, i, *(_message(m) if m is not None else ("", "", "", None, None, "", "", [], f"format not supported: {kind}"))))
+                    held += len(m or b"")
+                    if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield batch()
+                        out, held = [], 0
+        if out:
+            yield batch()
 
     some = files.select("file_path", mail_format(F.col("file_path")).alias("kind"), "content").where("kind is not null")
-    return some.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in (f.split(" ", 1) for f in MESSAGE.split(", "))))
+    return some.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in (f.split(" ", 1) for f in MESSAGE.split(", "))))
 
 
 def archives(files: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows just read from files, dealt out over all cores where they come in fewer splits than there are cores: a small table is
+    one row group, and so one task, however much work each row is. Larger tables stay as they are read, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
+
+
 def removed(spark: SparkSession, uri: str) -> None:
     """Deletes a folder of intermediate files that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -58,7 +58,8 @@ def append_indicators(rows: DataFrame, path: str) -> None:
 
 def collected_names(files: DataFrame, project: str) -> DataFrame:
     """file_path and new_name (`project_A.ext`, B, ... in path order) of extracted files, ranked within their case."""
-    return files.select("file_path", F.concat(F.lit(f"{project}_"), tx.letter_suffix(F.col("ord") - 1), "ext").alias("new_name"))
+    place = F.row_number().over(Window.partitionBy("case_name").orderBy("ord"))  # paths and extensions alone are shuffled
+    return files.select("case_name", "file_path", "ext", "ord").select("file_path", F.concat(F.lit(f"{project}_"), tx.letter_suffix(place - 1), "ext").alias("new_name"))
 
 
 def write_metadata(spark, document: dict, path: str) -> None:
