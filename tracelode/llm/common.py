@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import cut, shared_dir, spread
 
-__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "row_key", "sampled", "shared_dir", "shielded", "word_count"]
+__all__ = ["SPACE", "SPACE_RE", "crc_mod", "cut", "flat_bytes", "load", "pieces", "platt", "row_key", "sampled", "shared_dir", "shielded", "spread", "word_count"]
 
 #: ASCII white space: what separates words in every operator here.
 SPACE = " \t\n\x0b\f\r"

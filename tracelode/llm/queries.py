@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, warc
-from .common import crc_mod, load
+from .common import crc_mod, load, spread
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(load(spark, sf_dir, "documents"))
+    return mixing.mixture(spread(load(spark, sf_dir, "documents")))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +47,20 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     return langid.identify(docs, langid.train(docs.where(~held_out)), {"held_out": held_out})
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     model = quality.train(docs, load(spark, sf_dir, "labels"), learn_from=~held_out)
     return quality.scored(docs.withColumn("held_out", held_out), model, "doc_id", "held_out")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(load(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(spread(load(spark, sf_dir, "documents")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
