@@ -94,3 +94,17 @@ URL_CHEAP = [".tk", ".ml", ".ga", ".cf"]
 
 # The rates at which a fractal's colours change with the steps.
 WAVES = {"red": 0.09, "green": 0.05, "blue": 0.03}
+
+# From which confidence or number of reports on an address is malicious, or suspicious (more than these).
+ABUSE_BAD, ABUSE_SOME = (75, 10), (25, 0)
+# How sure the rule for addresses is: for malicious and suspicious ones what is added to the abuse confidence, and
+# the most; for others; for each known weakness, and the most; by country; and the number of weaknesses that is severe (more than).
+SURE_BAD, SURE_SOME, SURE_OTHER = (60, 95), (50, 80), 60
+SURE_WEAK, WEAK_SEVERE = (10, 90), 3
+SURE_HIGH, SURE_MIDDLE, SURE_LOW = 80, 60, 40
+# The same for URLs: what is added to the share of positive scans, and the most; positives that are severe (more
+# than); clean ones; by malware words, shorteners, cheap domains; and others.
+SURE_SCAN, SCANS_SEVERE, SURE_CLEAN = (70, 95.0), 5, 20.0
+SURE_MALWARE, SURE_SHORT, SURE_CHEAP, SURE_NOTHING = 85.0, 60.0, 70.0, 30.0
+# How sure the rule for exposed data is, for the worst categories and for the others.
+SURE_WORST, SURE_EXPOSED = 90.0, 70.0

@@ -108,15 +108,17 @@ def ip_threats(found: DataFrame, geo: DataFrame, abuse: DataFrame, devices: Data
     d = devices.groupBy(F.col("ip").alias("__d")).agg(F.max(F.size("vulnerabilities")).alias("weak"))
     g = geo.select(F.col("ip").alias("__g"), "country")
     j = ips.join(a, F.col("bare") == F.col("__a"), "left").join(d, F.col("bare") == F.col("__d"), "left").join(g, F.col("bare") == F.col("__g"), "left")
-    bad, some = (F.col("c") > 75) | (F.col("reports") > 10), (F.col("c") > 25) | (F.col("reports") > 0)
-    base = F.when(bad, F.least(F.lit(95), F.lit(60) + F.col("c"))).when(some, F.least(F.lit(80), F.lit(50) + F.col("c"))).otherwise(60)
+    over = lambda limits: (F.col("c") > limits[0]) | (F.col("reports") > limits[1])
+    upto = lambda rule, n: F.least(F.lit(rule[1]), rule[0] + n)
+    bad, some = over(fixed.ABUSE_BAD), over(fixed.ABUSE_SOME)
+    base = F.when(bad, upto(fixed.SURE_BAD, F.col("c"))).when(some, upto(fixed.SURE_SOME, F.col("c"))).otherwise(fixed.SURE_OTHER)
     weak = F.coalesce(F.col("weak") > 0, F.lit(False))
     kind = F.when(weak, "vulnerable_device").when(bad, "malicious_ip").otherwise("suspicious_ip")
     j = j.withColumn("kind", kind).withColumn("base", base)
     placed = (F.col("kind") == "suspicious_ip") & F.col("__g").isNotNull()
     high, low = F.col("country").isin(*fixed.LIVE_HIGH), F.col("country").isin(*fixed.THREAT_LOW)
-    severity = F.when(weak, F.when(F.col("weak") > 3, "high").otherwise("medium")).when(bad, "high").when(placed & high, "high").when(placed & low, "low").otherwise("medium")
-    sure = F.when(weak, F.least(F.lit(90), F.col("base") + F.col("weak") * 10)).when(bad, F.col("base")).when(placed, F.when(high, 80).when(low, 40).otherwise(60)).otherwise(F.col("base"))
+    severity = F.when(weak, F.when(F.col("weak") > fixed.WEAK_SEVERE, "high").otherwise("medium")).when(bad, "high").when(placed & high, "high").when(placed & low, "low").otherwise("medium")
+    sure = F.when(weak, F.least(F.lit(fixed.SURE_WEAK[1]), F.col("base") + F.col("weak") * fixed.SURE_WEAK[0])).when(bad, F.col("base")).when(placed, F.when(high, fixed.SURE_HIGH).when(low, fixed.SURE_LOW).otherwise(fixed.SURE_MIDDLE)).otherwise(F.col("base"))
     return j.select("case_name", "indicator", F.col("kind").alias("type"), severity.alias("severity"), "source", sure.cast("double").alias("confidence"))
 
 
@@ -129,11 +131,11 @@ def url_threats(found: DataFrame, scans: DataFrame) -> DataFrame:
     has = lambda words: F.coalesce(*(F.when(F.contains(low, F.lit(w)), True) for w in words), F.lit(False))
     scanned, hit = F.col("__u").isNotNull(), F.col("positives") > 0
     pick = lambda found_, clean, bad, short, cheap, other: F.when(scanned & hit, found_).when(scanned, clean).when(has(fixed.URL_MALWARE), bad).when(has(fixed.URL_SHORT), short).when(has(fixed.URL_CHEAP), cheap).otherwise(other)
-    sure = F.least(F.lit(95.0), 70 + F.try_divide(F.col("positives") * 100.0, "total_scans"))
+    sure = F.least(F.lit(fixed.SURE_SCAN[1]), fixed.SURE_SCAN[0] + F.try_divide(F.col("positives") * 100.0, "total_scans"))
     return j.select(
         "case_name", "indicator", pick(F.lit("malware"), F.lit("clean_url"), F.lit("malware"), F.lit("suspicious_url"), F.lit("suspicious_url"), F.lit("suspicious_url")).alias("type"),
-        pick(F.when(F.col("positives") > 5, "high").otherwise("medium"), F.lit("low"), F.lit("high"), F.lit("medium"), F.lit("medium"), F.lit("low")).alias("severity"), "source",
-        pick(sure, F.lit(20.0), F.lit(85.0), F.lit(60.0), F.lit(70.0), F.lit(30.0)).alias("confidence"),
+        pick(F.when(F.col("positives") > fixed.SCANS_SEVERE, "high").otherwise("medium"), F.lit("low"), F.lit("high"), F.lit("medium"), F.lit("medium"), F.lit("low")).alias("severity"), "source",
+        pick(sure, *map(F.lit, (fixed.SURE_CLEAN, fixed.SURE_MALWARE, fixed.SURE_SHORT, fixed.SURE_CHEAP, fixed.SURE_NOTHING))).alias("confidence"),
     )
 
 
@@ -144,7 +146,7 @@ def exposures(found: DataFrame, every: bool = False) -> DataFrame:
         last = rows.groupBy("case_name", "category").agg(F.max_by(F.struct("value", "file"), F.struct("first_seen", "value")).alias("l"))
         rows = last.select("case_name", "category", "l.value", "l.file")
     worst = F.col("category").isin("Credit_Cards", "SSN")
-    return rows.select("case_name", F.col("value").alias("indicator"), F.lit("data_exposure").alias("type"), F.when(worst, "high").otherwise("medium").alias("severity"), F.coalesce("file", F.lit("Unknown")).alias("source"), F.when(worst, 90.0).otherwise(70.0).alias("confidence"))
+    return rows.select("case_name", F.col("value").alias("indicator"), F.lit("data_exposure").alias("type"), F.when(worst, "high").otherwise("medium").alias("severity"), F.coalesce("file", F.lit("Unknown")).alias("source"), F.when(worst, fixed.SURE_WORST).otherwise(fixed.SURE_EXPOSED).alias("confidence"))
 
 
 def security_live(found: DataFrame, geo: DataFrame, abuse: DataFrame, devices: DataFrame, scans: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ from ..sources.shared import cut
 FLAGS = "(?dimU)"
 #: Matches of a text whose widths are summed up together.
 BLOCK = 128
-#: A test without which a category can't match, cheap enough to run first: most texts fail it.
+#: Tests that several categories share, made once for each text: three digits in a row, a long word, digits around a dot.
+SHARED = {"digits": r"(?U)\d{3}", "long": r"(?:^|\s)\S{26}", "dotted": r"\d\.\d"}
+#: The shared test and another one without which a category can't match. Most texts fail one; they begin with what is rare, so that they are cheap.
 NEEDS = {
-    "IPv4": r"\d\.\d", "IPv4_with_Port": r"\d\.\d+:\d", "IPv6": "::|:[0-9a-fA-F]{1,4}:", "URLs": "://", "Onion_Addresses": r"(?i)\.onion", "Email_Addresses": "@",
-    "Credit_Card_VisaMcDiscover": r"\d{13}", "Credit_Card_Amex": r"\d{15}", "Credit_Card_Numbers": r"(?U)\d{4}[-\s]?\d{4}|3[47]\d{13}", "Bitcoin_Addresses": "(?iU)\\b(?:bc1|[13])[a-z0-9]{25}",
-    "Ethereum_Addresses": "(?i)0x[a-f0-9]{40}", "Monero_Addresses": "(?i)4[0-9AB][1-9a-z]{93}", "IBAN": r"(?iU)[A-Z]{2}\d{2}\w{4}\d{7}", "SSN": r"(?U)\d{3}[- ]?\d{2}[- ]?\d{4}", "Phone_Numbers": r"(?U)\d{3}[-.\s]?\d{4}|\d[-.\s]?\d{3,}[-.\s]?\d{3}",
-    "ISO_Timestamps": r"(?U)\d{4}-\d{2}-\d{2}", "Unix_Timestamps_Recent": r"(?U)1\d{9}", "Unix_Timestamps": r"(?U)\d{10}", "Device_IDs_UUIDs": "(?i)[0-9a-f]{4}-[1345][0-9a-f]{3}-", "MAC_Addresses": "(?i)[0-9a-f]{2}[:-][0-9a-f]{2}[:-]", "User_Agents": "(?i)User-Agent",
+    "IPv4": ("dotted", None), "IPv4_with_Port": ("dotted", r"\d\.\d+:\d"), "IPv6": (None, "::|:[0-9a-fA-F]{1,4}:"), "URLs": (None, "://"), "Onion_Addresses": (None, r"\.[oO][nN]"), "Email_Addresses": (None, "@"),
+    "Credit_Card_VisaMcDiscover": ("digits", r"\d{13}"), "Credit_Card_Amex": ("digits", r"\d{15}"), "Credit_Card_Numbers": ("digits", r"(?U)\d{4}[-\s]?\d{4}|3[47]\d{13}"), "Bitcoin_Addresses": ("long", "(?iU)\\b(?:bc1|[13])[a-z0-9]{25}"),
+    "Ethereum_Addresses": ("long", "0[xX][a-fA-F0-9]{40}"), "Monero_Addresses": ("long", "(?iU)4[0-9AB][1-9a-z]{93}"), "IBAN": ("digits", r"(?iU)[A-Z]{2}\d{2}\w{4}\d{7}"), "SSN": ("digits", r"(?U)\d{3}[- ]?\d{2}[- ]?\d{4}"), "Phone_Numbers": ("digits", r"(?U)\d{3}[-.\s]?\d{4}|\d[-.\s]?\d{3,}[-.\s]?\d{3}"),
+    "ISO_Timestamps": ("digits", r"(?U)\d{4}-\d{2}-\d{2}"), "Unix_Timestamps_Recent": ("digits", r"(?U)1\d{9}"), "Unix_Timestamps": ("digits", r"(?U)\d{10}"), "Device_IDs_UUIDs": (None, "-[1345][0-9a-fA-F]{3}-"), "MAC_Addresses": (None, "[:-][0-9a-fA-F]{2}[:-]"), "User_Agents": (None, "-[Aa][Gg][Ee][Nn][Tt]"),
 }
 
 
@@ -35,7 +37,7 @@ def _sum(numbers: str) -> str:
     return f"aggregate({numbers}, 0, (a, n) -> a + n)"
 
 
-def occurrences(label: str, pattern: str, needs: str | None = None, text: str = "text") -> Column:
+def occurrences(label: str, pattern: str, needs: tuple[str | None, str | None] = (None, None), text: str = "text") -> Column:
     """array of (category, value, position): every match of a pattern in a column, its white space trimmed off, and where it starts (code points, from 0).
 
     What stands between the matches gives their places: a second pass of the pattern, made only where the first, behind its cheap
@@ -52,7 +54,9 @@ def occurrences(label: str, pattern: str, needs: str | None = None, text: str =
     each = f"transform(m, (v, i) -> named_struct('category', {quoted(label)}, 'value', {bare}, 'position', {place}))"
     some = _let("g", gaps, _let("w", widths, _let("b", sums, _let("c", before, f"filter({each}, r -> r.value <> '')"))))
     found = _let("m", f"regexp_extract_all({text}, {p}, 0)", f"CASE WHEN size(m) > 0 THEN {some} ELSE {none} END")
-    test = f"{text} RLIKE {quoted(needs)}" if needs else f"{text} IS NOT NULL"
+    shared, own = needs
+    tests = [f"__has_{shared}" if shared else None, f"{text} RLIKE {quoted(own)}" if own else None]
+    test = " AND ".join(t for t in tests if t) or f"{text} IS NOT NULL"
     return F.expr(f"CASE WHEN {test} THEN {found} ELSE {none} END")
 
 
@@ -64,7 +68,8 @@ def matches(texts: DataFrame, categories: list[str] | None = None) -> DataFrame:
     kinds = categories or list(fixed.PATTERNS)
     each = [occurrences(c, FLAGS + fixed.PATTERNS[c], NEEDS[c]) for c in kinds]
     keep = [c for c in texts.columns if c != "text"]
-    return texts.select(*keep, F.inline(F.concat(*each)))
+    flags = [F.col("text").rlike(SHARED[f]).alias(f"__has_{f}") for f in sorted({NEEDS[c][0] for c in kinds} - {None})]
+    return texts.select(*keep, "text", *flags).select(*keep, F.inline(F.concat(*each)))
 
 
 def accepted(found: DataFrame, strict: bool = False) -> DataFrame:

@@ -429,6 +429,20 @@ def clean_findings(spark, d):
     return ds.clean(_dirty(spark, d))
 
 
+_RARE = ("SSN", "MAC_Addresses", "Ethereum_Addresses", "IPv4_with_Port")
+_RARE_PATTERNS = sql.REWRITTEN | {"IPv4_with_Port": rf"(?:^|[^\w.])({sql.IP}:{sql.PORT})(?:$|[^\w.])"}
+_RARE_OK = " ".join(f"WHEN '{c}' THEN length(regexp_extract(value, {sql.q(_RARE_PATTERNS[c])}, {1 if c == 'IPv4_with_Port' else 0}, 'i')) >= 0.8 * length(value)" for c in _RARE)
+
+
+@query(f"""WITH {sql.found(DEVICES)}, dirty AS (SELECT case_name, category, CASE position % 3 WHEN 0 THEN value WHEN 1 THEN value || ' x' ELSE value || repeat(' padding', 5) END AS value FROM f WHERE category IN {_RARE})
+SELECT * FROM dirty WHERE CASE category {_RARE_OK} END""")
+def clean_devices(spark, d):
+    """The same for the categories that documents hold none of."""
+    f = extract.findings(device_texts(spark, d), list(_RARE))
+    v = F.when(F.col("position") % 3 == 0, F.col("value")).when(F.col("position") % 3 == 1, F.concat("value", F.lit(" x"))).otherwise(F.concat("value", F.lit(" padding" * 5)))
+    return ds.clean(f.select("case_name", "category", v.alias("value")))
+
+
 @query(sql.over_findings(f"""{_clean_sql()}, b AS (SELECT case_name, category, 1 AS before, 0 AS after FROM dirty UNION ALL SELECT case_name, category, 0, 1 FROM clean)
 SELECT case_name, category, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, (sum(before) - sum(after))::BIGINT AS removed FROM b GROUP BY ROLLUP (case_name, category)"""))
 def clean_stats(spark, d):
