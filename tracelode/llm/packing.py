@@ -30,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, pieces, shared_dir
+from .common import cut, flat_bytes, pieces, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the 50k byte-level vocabulary cuts text before merging (a fixed value of that vocabulary).
@@ -176,18 +177,20 @@ def write_shards(packed: DataFrame, uri: str, length: int = 2048, rows: int = SH
         part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
 
         def end() -> pa.RecordBatch:
-            t, flat, stream = pa.Table.from_batches(held), io.BytesIO(), io.BytesIO()
+            t, stream = pa.Table.from_batches(held), io.BytesIO()
             rest = t.drop_columns(["ids", "positions"])
             with pa.ipc.new_stream(stream, rest.schema) as w:
                 w.write_table(rest)
-            raw = {c: t[c].to_pylist() for c in ("ids", "positions", "cu_seqlens")}
-            matrix = {c: np.frombuffer(b"".join(raw[c]), f"<u{len(raw[c][0]) // length}").reshape(len(t), length) for c in ("ids", "positions")}
-            splits = np.cumsum([0, *map(len, raw["cu_seqlens"])])
-            np.savez(flat, **matrix, cu_seqlens=np.concatenate([np.array(x, np.int32) for x in raw["cu_seqlens"]]), row_splits=splits, segments=np.frombuffer(stream.getvalue(), np.uint8))
+            matrix = {}
+            for c in ("ids", "positions"):  # rows of one width, one after the other
+                raw, _ = flat_bytes(t[c])
+                matrix[c] = raw.view(f"<u{len(raw) // len(t) // length}").reshape(len(t), length)
+            cu = t["cu_seqlens"].combine_chunks()
+            splits = np.cumsum([0, *pc.list_value_length(cu).to_pylist()])
             name = f"packed-{part:05d}-{number:05d}.npz"
             half = f"{root}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(half) as f:
-                f.write(flat.getvalue())
+                np.savez(f, **matrix, cu_seqlens=cu.flatten().to_numpy(), row_splits=splits, segments=np.frombuffer(stream.getbuffer(), np.uint8))
             fs.move(half, f"{root}/{name}")
             return pa.record_batch([pa.array([name]), pa.array([len(t)], pa.int64())], names=["shard", "rows"])
 
@@ -214,7 +217,9 @@ def read_shards(spark: SparkSession, uri: str, schema: StructType) -> DataFrame:
                 with np.load(io.BytesIO(raw.as_buffer())) as z:
                     t = pa.ipc.open_stream(z["segments"].tobytes()).read_all()
                     for c in ("ids", "positions"):
-                        t = t.append_column(c, pa.array([row.tobytes() for row in z[c]], pa.binary()))
+                        m = z[c]
+                        ends = np.arange(len(m) + 1, dtype=np.int32) * m.itemsize * m.shape[1]
+                        t = t.append_column(c, pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends), pa.py_buffer(m)]))
                 yield from t.select(names).to_batches()
 
     names = schema.names
