@@ -155,7 +155,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec: str = "embeddi
     return reduce(DataFrame.unionAll, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank: int = 50, recall: float = 0.945, sample: int = SAMPLE, most_sampled: int = MOST_SAMPLED, block: int = 4096, group: int = 512) -> DataFrame:
+def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank: int = 50, recall: float = 0.945, sample: int = SAMPLE, most_sampled: int = MOST_SAMPLED, block: int = 512, group: int = 512) -> DataFrame:
     """The search among vectors of one length."""
     # a class has a number of its own: ids may stand in several
     known = cut(classes(rows, k).select(F.monotonically_increasing_id().alias("class_id"), "ids", "v"))
