@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, warc
+from . import ann, chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, trie, warc
 from .common import crc_mod, load, spread
 
 
@@ -71,6 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_secret_scan, op4_decontamination, op5_nearest, op6_language, op7_quality, op8_simhash, op9_packing, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_secret_scan, op4_decontamination, op5_nearest, op6_language, op7_quality, op8_simhash, op9_packing, op10_warc, op11_prefix_trie, pipeline)}
 
 
 WARC_SQL = """
@@ -117,6 +121,42 @@ FROM e GROUP BY conv_id
 """
 
 
+#: CRC32 of a number's digits, bit by bit: a step for each digit and eight shifts after it (-1).
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+TRIE_SQL = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)
+), turns AS (
+  SELECT c.conv_id, no, role, text FROM c JOIN own ON own.conv_id = base AND no <= h
+  UNION ALL SELECT c.conv_id, no + 1000000, role, text FROM c JOIN own ON own.conv_id = c.conv_id AND no > h
+), way AS (
+  SELECT conv_id, row_number() OVER w AS depth, list({{'r': role, 't': text}}) OVER w AS node, length(text) AS size FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY no)
+  UNION ALL SELECT conv_id, 0, [], 0 FROM c
+), last AS (
+  SELECT conv_id, max(depth) AS depth FROM way GROUP BY 1
+), every AS (
+  SELECT way.depth, way.node, min(way.conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(way.conv_id::VARCHAR, ',' ORDER BY way.conv_id) FILTER (way.depth = last.depth), '')) AS ends_sha256
+  FROM way JOIN last ON way.conv_id = last.conv_id GROUP BY 1, 2
+), up AS (
+  SELECT e.*, p.conv_id AS parent_conv_id FROM every e LEFT JOIN way w ON w.conv_id = e.conv_id AND w.depth = e.depth - 1 LEFT JOIN every p ON p.depth = e.depth - 1 AND p.node = w.node
+), kids AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM up WHERE depth > 0 GROUP BY 1, 2
+), named AS (
+  SELECT up.*, coalesce(n, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, depth)
+), sums AS (
+  SELECT w.depth, w.node, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.size) AS saved_tokens FROM named d JOIN way w ON w.conv_id = d.conv_id AND w.depth <= d.depth GROUP BY 1, 2
+)
+SELECT conv_id, d.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM named d JOIN sums s ON d.depth = s.depth AND d.node = s.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others: trained models, approximate search, 64-bit hashing of shingles, and tokenizers aren't SQL; tests hold them against brute force."""
-    return {"op2_chat_formatting": CHAT_SQL, "op10_warc": WARC_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op10_warc": WARC_SQL, "op11_prefix_trie": TRIE_SQL}
