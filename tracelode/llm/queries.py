@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, trie, warc
+from . import ann, chat, decontaminate, langid, mixing, packing, quality, repair, secrets, simhash, trie, warc
 from .common import crc_mod, load, spread
 
 
@@ -75,6 +75,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_secret_scan, op4_decontamination, op5_nearest, op6_language, op7_quality, op8_simhash, op9_packing, op10_warc, op11_prefix_trie, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_secret_scan, op4_decontamination, op5_nearest, op6_language, op7_quality, op8_simhash, op9_packing, op10_warc, op11_prefix_trie, op13_structure_repair, pipeline)}
 
 
 WARC_SQL = """
