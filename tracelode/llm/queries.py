@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, mixing, packing, quality, repair, secrets, simhash, trie, warc
+from . import ann, chat, decontaminate, langid, mixing, neardup, packing, quality, repair, secrets, simhash, trie, warc
 from .common import crc_mod, load, spread
 
 
@@ -75,6 +75,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op12_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_secret_scan, op4_decontamination, op5_nearest, op6_language, op7_quality, op8_simhash, op9_packing, op10_warc, op11_prefix_trie, op13_structure_repair, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_secret_scan, op4_decontamination, op5_nearest, op6_language, op7_quality, op8_simhash, op9_packing, op10_warc, op11_prefix_trie, op12_embedding_groups, op13_structure_repair, pipeline)}
 
 
 WARC_SQL = """
@@ -161,6 +165,24 @@ FROM named d JOIN sums s ON d.depth = s.depth AND d.node = s.node
 """
 
 
+GROUPS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.rid, b.rid AS other FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT rid, rid AS other FROM v UNION SELECT r.rid, l.other FROM reach r JOIN links l ON l.rid = r.other
+), c AS (
+  SELECT r.rid, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rid = r.other GROUP BY 1
+), n AS (
+  SELECT rid, count(*) AS n_links FROM links GROUP BY 1
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others: trained models, approximate search, 64-bit hashing of shingles, and tokenizers aren't SQL; tests hold them against brute force."""
-    return {"op2_chat_formatting": CHAT_SQL, "op10_warc": WARC_SQL, "op11_prefix_trie": TRIE_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op10_warc": WARC_SQL, "op11_prefix_trie": TRIE_SQL, "op12_embedding_groups": GROUPS_SQL}
