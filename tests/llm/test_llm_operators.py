@@ -307,32 +307,80 @@ def test_leaks_against_brute_force(spark, docs):
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def _is_leak(w, item):
+    """Every diagonal, every stretch."""
+    n = len(item)
+    if n < decontaminate.SHORTEST:
+        return w == item
+    for shift in range(-n, len(w)):
+        at = [k for k in range(n) if 0 <= shift + k < len(w) and w[shift + k] == item[k]]
+        if n < decontaminate.LEAST:
+            if len(at) >= -(-4 * n // 5):
+                return True
+        elif any(b - a + 1 >= decontaminate.LEAST and 100 * (b - a + 1) >= decontaminate.SHARE * (at[b] - at[a] + 1) for a in range(len(at)) for b in range(a, len(at))):
+            return True
+    return False
+
+
 def test_leaks_of_random_substitutions(spark):
-    """Items of 1 to 60 tokens with as many random substitutions as are accepted, and one more, against brute force."""
+    """Items of 1 to 60 tokens with random substitutions about as many as are accepted, against brute force."""
     rng = random.Random(4)
     lengths = [1, 2, 3, 4, *range(5, 25), 30, 40, 44, 52, 60]
     items = {n: [f"i{n}x{k}" for k in range(n)] for n in lengths}
-    rows = []
+    rows = [items[n] for n in (1, 2, 3, 4)] + [["so", *items[n]] for n in (1, 2, 3, 4)]
     for n in lengths:
-        least = min(13, -(-4 * n // 5))
-        for extra in (0, 0, 0, 0, 1):
-            keep = set(rng.sample(range(n), least - extra))
+        for share in (0.6, 0.7, 0.75, 0.8, 0.9):
+            keep = set(rng.sample(range(n), round(n * share)))
             rows.append([f"n{rng.randrange(10**6)}" for _ in range(5)] + [w if k in keep else "other" for k, w in enumerate(items[n])] + ["end"] * rng.randrange(4))
     rows.append([w if k % 4 else "other" for k, w in enumerate(items[20])])  # one in every four
-    want = set()
-    for d, w in enumerate(rows):
-        for n, item in items.items():
-            for shift in range(-n, len(w)):
-                at = [k for k in range(n) if 0 <= shift + k < len(w) and w[shift + k] == item[k]]
-                if any(sum(a <= b < a + 44 for b in at) >= min(13, -(-4 * n // 5)) for a in at):
-                    want.add((d, n))
+    want = {(d, n) for d, w in enumerate(rows) for n, item in items.items() if _is_leak(w, item)}
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")
     test = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
-    assert len(want) > 100 and (len(rows) - 1, 20) in want
+    assert 60 < len(want) < len(rows) and (len(rows) - 1, 20) in want and {(k, k + 1) for k in range(4)} <= want
     for most in (decontaminate.BROADCAST_BYTES, 0):
         assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, test, most=most).collect()} == want
 
 
+def test_masks_miss_no_passage_that_is_accepted():
+    """Walks through all sequences without a mask: by their last places, the most that agree in a stretch of each length."""
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    n = 1 << (max(map(len, decontaminate.MASKS)) - 1)
+    state = np.arange(n)
+    free = np.array([all((((s << 1) | 1) & m) != m for m in masks) for s in range(n)])
+    most = np.full(n, -(10**6))
+    most[1] = 1
+    for length in range(2, 400):
+        now = np.full(n, -(10**6))
+        for bit in (0, 1):
+            np.maximum.at(now, ((state << 1) | bit) & (n - 1), np.where(free | (bit == 0), most + bit, -(10**6)))
+        most = now
+        agree = most[(state & 1) == 1].max()
+        assert agree < decontaminate.LEAST or 100 * agree < decontaminate.SHARE * length
+    for size in range(decontaminate.SHORTEST, decontaminate.LEAST):
+        for places in range(1 << size):
+            bits = f"{places:0{size}b}"
+            if 5 * bits.count("1") >= 4 * size:
+                assert any(all(bits[k + i] == "1" for i, c in enumerate(m) if c == "1") for m in decontaminate.SHORT_MASKS for k in range(size - len(m) + 1))
+
+
+def test_function_words_in_a_like_frame_are_no_leak(spark):
+    """Sentences that share their frame, and documents of the benchmark's own words in another order."""
+    rng = random.Random(7)
+    item = "the sun and the moon of the sky in the night with a blue glow on the sea by the old wall at the end of a long road"
+    other = "the cat and the dog of the man in the house with a red door on the hill by the new barn at the top of a tall tower"
+    frame = ["the {} and the {} of the {} in the {} with a {} {}", "a {} on the {} is to the {} as the {} of a {} {}", "in the {} of the {} there is a {} and a {} by the {} {}"]
+    fill = lambda f: f.format(*(f"w{rng.randrange(10**6)}" for _ in range(6)))
+    rows = [other] + [" ".join(fill(f) for f in frame) for _ in range(40)]
+    for _ in range(40):
+        w = item.split()
+        rng.shuffle(w)
+        rows.append(" ".join(w))
+    docs = spark.createDataFrame([*enumerate(rows), (1000, f"so {item} then")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, fill(frame[0])), (3, "the")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(1000, 1)}
+    assert decontaminate.leaks(docs, items).first().agreeing == len(item.split())
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
