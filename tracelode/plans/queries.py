@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import fixed, text as tx, validate as va
 from ..operators import datasets as ds
 from ..operators import enrich, extract, links, search, stego, tableview
-from ..sources import files, mail, sinks
+from ..sources import files, mail, ranges, sinks
 from ..sources.files import binary_chunks
 from ..sources.shared import shared_dir, spread
 from ..streaming import ingest
@@ -935,6 +935,38 @@ def mbox_messages(spark, d):
     return mail.messages(boxes).select("archive", "message_index", "from", "subject", "body_plain")
 
 
+def _stored(rows: DataFrame, kind: str) -> str:
+    """A column of lines as text files in the shared folder."""
+    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}/{kind}"
+    rows.write.text(path)
+    return path
+
+
+@query(f"""SELECT coalesce(role, '') || '@example.org' AS "from", 'Turn ' || coalesce(conv_id::VARCHAR, '') || ':' || coalesce(turn::VARCHAR, '') AS subject, {_ONE_LINE} AS body_plain FROM conversations""")
+def mailbox_ranges(spark, d):
+    """All conversations' rows as mailboxes that are read in ranges of 64 KB: messages lie across their borders."""
+    said = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " "), r"\AFrom ", "from ")
+    blank = F.lit("")
+    subject = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    raw = F.concat(F.lit("From someone\nFrom: "), F.coalesce("role", blank), F.lit("@example.org\nTo: you@example.org\nSubject: Turn "), subject, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), said)
+    path = _stored(table(spark, d, "conversations").select(raw.alias("value")), "mailbox")
+    got = ranges.mailboxes(spark, path, 64 << 10, ".txt")
+    return got.select("from", "subject", F.regexp_replace("body_plain", r"\n\z", "").alias("body_plain"))
+
+
+_LOG = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
+
+
+_LOG_TEXTS = f"t AS (SELECT 'log' AS case_name, 'log' AS file_name, doc_id AS ord, {sql.deobfuscated(_LOG)} AS text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {sql.found(_LOG_TEXTS)} SELECT DISTINCT category, value FROM f")
+def log_ranges(spark, d):
+    """What logs of a line for each document hold, read in ranges of 256 KB and pieces of 32 KB."""
+    path = _stored(table(spark, d, "documents").where("text is not null").select(F.regexp_replace("text", "[\\r\\n]+", " ").alias("value")), "log")
+    return ranges.findings(spark, path, width=256 << 10, piece=32 << 10).select("category", "value").distinct()
+
+
 @query("""WITH s AS (SELECT 'Case' || s_nationkey AS case_name, '/e/' || s_name AS file_path, CASE s_suppkey % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.zip' ELSE '' END AS ext FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY case_name ORDER BY file_path) - 1 AS n FROM s)
 SELECT file_path, 'P_' || CASE WHEN n < 26 THEN chr((65 + n)::INT) WHEN n < 702 THEN chr((65 + n // 26 - 1)::INT) || chr((65 + n % 26)::INT) END || ext AS new_name FROM r""")
 def collected_names(spark, d):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import gzip
+import hashlib
 import io
 import os
 import tarfile
@@ -124,26 +125,43 @@ def _members(name: str, raw: bytes, most: int) -> Iterator[tuple[str, bytes | No
         raise ValueError("no reader for this kind of archive")
 
 
-def _opened(path: str, raw: bytes, deepest: int, most: int) -> Iterator[tuple[str, bytes | None, int, str | None]]:
-    """(path, content, depth, error) of what an archive holds that is no archive, nested ones opened in turn.
-
-    What can't be opened or is too large is a row with an error; the archive's other members follow."""
-    stack = [(path, raw, 0)]
-    while stack:
-        path, raw, depth = stack.pop()
-        try:
-            if depth >= deepest:
-                raise ValueError("nested too deep")
-            for member, data in _members(path, raw, most):
-                inner = f"{path}::{member}"
-                if data is None:
-                    yield inner, None, depth + 1, "member too large"
-                elif os.path.splitext(member)[1].lower() in ARCHIVES:
-                    stack.append((inner, data, depth + 1))
-                else:
-                    yield inner, data, depth + 1, None
-        except Exception as e:  # a damaged archive is a result, not a failure
-            yield path, None, depth, str(e)[:200] or type(e).__name__
+def _opened(path: str, raw: bytes, deepest: int | None, most: int, depth: int = 0, around: tuple[bytes, ...] = ()) -> Iterator[tuple[str, bytes | None, int, str | None]]:
+    """(path, content, depth, error) of what an archive holds that is no archive, nested ones opened as they are met: no more than an archive of each depth is held.
+
+    What can't be opened, is too large or is an archive within itself (by digest, `around` it) is a row with an error; the archive's other members follow."""
+    try:
+        if deepest is not None and depth >= deepest:
+            raise ValueError("nested too deep")
+        own = (*around, hashlib.sha256(raw).digest())
+        for member, data in _members(path, raw, most):
+            inner = f"{path}::{member}"
+            if data is None:
+                yield inner, None, depth + 1, "member too large"
+            elif os.path.splitext(member)[1].lower() not in ARCHIVES:
+                yield inner, data, depth + 1, None
+            elif hashlib.sha256(data).digest() in own:
+                yield inner, None, depth + 1, "archive within itself"
+            else:
+                yield from _opened(inner, data, deepest, most, depth + 1, own)
+    except Exception as e:  # a damaged archive is a result, not a failure
+        yield path, None, depth, str(e)[:200] or type(e).__name__
+
+
+#: Rows leave a task in batches of so many, or of about so many bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def _batched(rows: Iterator[tuple], width: int, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as tables of a bounded size; the field `width` is what makes a row large."""
+    out, held = [], 0
+    for r in rows:
+        out.append(r)
+        held += len(r[width] or b"")
+        if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
+            yield pd.DataFrame(out, columns=names)
+            out, held = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 def _split_name(path: str) -> tuple[str, str]:
@@ -151,19 +169,18 @@ def _split_name(path: str) -> tuple[str, str]:
     return name, os.path.splitext(name)[1].lower()
 
 
-def unpack(files: DataFrame, deepest: int = 16, most_bytes: int = 500 << 20) -> DataFrame:
+def unpack(files: DataFrame, deepest: int | None = None, most_bytes: int = 500 << 20) -> DataFrame:
     """The members of archives, nested ones opened in turn: the columns of `files`, depth and error.
 
     A row per member that is no archive, its path `outer.zip::inner/path` at every level; a row with an error for what
-    can't be opened. `deepest` and `most_bytes` (of one member) bound what an archive may unpack to: no more than that is read of a
-    member, and its archive's other members are read none the less."""
+    can't be opened. `most_bytes` bounds a member: no more than that is read of it, and its archive's other members are read none the less. An archive is
+    one task here, and a row with its content; `members.members` reads large ones where they lie."""
     names = ["case_name", "file_path", "file_name", "ext", "size", "mtime", "content", "ord", "depth", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples():
-                for path, data, depth, error in _opened(r.file_path, bytes(r.content), deepest, most_bytes):
-                    yield pd.DataFrame([(r.case_name, path, *_split_name(path), len(data or b""), r.mtime, data, r.ord, depth, error)], columns=names)
+            held = ((r.case_name, path, *_split_name(path), len(data or b""), r.mtime, data, r.ord, depth, error) for r in b.itertuples() for path, data, depth, error in _opened(r.file_path, bytes(r.content), deepest, most_bytes))
+            yield from _batched(held, 6, names)
 
     some = files.where(F.col("ext").isin(*ARCHIVES)).select("case_name", "file_path", "mtime", "content", "ord")
     kind = files.schema["ord"].dataType.simpleString()
@@ -282,21 +299,22 @@ def _parts(name: str, ext: str, raw: bytes) -> Iterator[tuple[str, int, str, boo
                 yield f"{name}_chunk_{k // CHUNK + 1}", k // CHUNK + 1, text, False
 
 
-def everything(files: DataFrame, deepest: int = 16, most_bytes: int = 500 << 20) -> DataFrame:
+def everything(files: DataFrame, deepest: int | None = None, most_bytes: int = 500 << 20) -> DataFrame:
     """case_name, file_name, ord, chunk_no, text of all files, by class: texts and mail as they are, archives by their members, the rest (and what can't be read otherwise) as binary chunks.
 
     One pass: each file is read and each archive opened once."""
     names = ["case_name", "file_name", "ord", "chunk_no", "text", "plain"]
 
+    def parts(b: pd.DataFrame) -> Iterator[tuple]:
+        for r in b.itertuples():
+            raw = bytes(r.content)
+            for path, data, _, error in _opened(r.file_path, raw, deepest, most_bytes) if r.ext in ARCHIVES else [(r.file_path, raw, 0, None)]:
+                for n, k, t, p in _parts(*_split_name(path), data) if error is None else ():
+                    yield r.case_name, n, r.ord, k, t, p
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples():
-                raw = bytes(r.content)
-                held = _opened(r.file_path, raw, deepest, most_bytes) if r.ext in ARCHIVES else [(r.file_path, raw, 0, None)]
-                for path, data, _, error in held:
-                    out = [(r.case_name, n, r.ord, k, t, p) for n, k, t, p in _parts(*_split_name(path), data)] if error is None else []
-                    if out:
-                        yield pd.DataFrame(out, columns=names)
+            yield from _batched(parts(b), 4, names)
 
     kind = files.schema["ord"].dataType.simpleString()
     got = files.select("case_name", "file_path", "ext", "ord", "content").mapInPandas(run, f"case_name string, file_name string, ord {kind}, chunk_no int, text string, plain boolean")

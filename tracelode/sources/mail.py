@@ -1,4 +1,4 @@
-"""Mail archives as tables of messages. Archives are split into messages by Spark's text reader or Arrow tasks, and each message parsed alone."""
+"""Mail archives as tables of messages: an archive that is a row is split within its task (`messages`), one of any size is read in ranges (`ranges.mailboxes`); each message is parsed alone."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "archive string, message_index int, from string, to string, subject string, date string, sent timestamp, body_plain string, body_html string, attachments array<struct<filename:string,size:int>>, error string"
+#: What a message's own bytes give.
+FIELDS = ", ".join(f"`{n}` {t}" for n, t in (f.split(" ", 1) for f in MESSAGE.split(", ")[2:]))
 
 
 def mail_format(name: Column, is_dir: Column | None = None) -> Column:
@@ -92,6 +94,16 @@ def messages(files: DataFrame) -> DataFrame:
     return some.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in (f.split(" ", 1) for f in MESSAGE.split(", "))))
 
 
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """archive, range_no, no and the fields of messages that were read in ranges, each with its line `From ` ahead."""
+    names = ["archive", "range_no", "no", *(f.split(" ")[0] for f in MESSAGE.split(", ")[2:])]
+    for whole in batches:
+        for b in (whole.slice(k, BATCH_ROWS) for k in range(0, whole.num_rows, BATCH_ROWS)):
+            raw = (m.split(b"\n", 1)[1] if b"\n" in m else b"" for m in b.column("content").to_pylist())
+            fields = zip(*map(_message, raw), strict=True)
+            yield pa.record_batch([b.column("file_path"), b.column("range_no"), b.column("no"), *(pa.array(v, k) for v, k in zip(fields, _ARROW[2:], strict=True))], names=names)
+
+
 def archives(files: DataFrame) -> DataFrame:
     """The mail archives among a case's files, each path once."""
     return files.select("case_name", "file_path", "size", mail_format(F.col("file_path")).alias("format")).where("format is not null").dropDuplicates(["file_path"])
