@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import row_key, shielded
 
 #: Of items of 13 tokens and more, and of shorter ones. Masks begin and end with 1.
-MASKS = ("11111", "111101", "111011", "101111", "11100011", "11001011")
+MASKS = ("1111", "11101", "11011")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
 LEAST, SHARE, SHORTEST = 13, 70, 5
 BROADCAST_BYTES = 128 << 20
