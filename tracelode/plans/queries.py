@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx, validate as va
 from ..operators import datasets as ds
-from ..operators import enrich, extract, links, search, stego, tableview
-from ..sources import files, mail, ranges, sinks
+from ..operators import enrich, extract, links, master, search, stego, tableview
+from ..sources import files, mail, members, ranges, sinks
 from ..sources.files import binary_chunks
 from ..sources.shared import shared_dir, spread
-from ..streaming import ingest
+from ..streaming import ingest, state
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -570,6 +570,28 @@ def master_second_insert(spark, d):
     return links.project_row(links.insert_or_ignore(rows.where("indicator_type = 'IPv4'"), rows))
 
 
+@query(sql.over_findings("""SELECT value AS indicator_value, min(category) AS indicator_type, case_name AS project_name, context, CASE WHEN bool_or(category = 'IPv4') THEN 1 ELSE 2 END AS run
+FROM f GROUP BY value, case_name, context"""))
+def master_runs(spark, d):
+    """The bucketed table after three runs: the addresses, everything, and everything again under the same number."""
+    rows, name = extract.cut(links.indicator_rows(found(spark, d))), f"master_{uuid.uuid4().hex}"
+    master.insert(rows.where("indicator_type = 'IPv4'"), name, 1, 16, f"{shared_dir(spark).rstrip('/')}/{name}")
+    for _ in range(2):
+        master.insert(rows, name, 2)
+    return spark.table(name).select("indicator_value", "indicator_type", "project_name", "context", "run")
+
+
+@query(sql.over_findings("SELECT case_name, category, value, file, position, context FROM f"))
+def streamed_findings(spark, d):
+    """Documents that arrive in micro-batches, the stream stopped and started again halfway: its state holds the findings of all."""
+    texts, root = evidence(spark, d).where("text is not null"), f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for half in (1, 0):  # later ones first: the order of arrival doesn't matter
+        texts.where(F.pmod("ord", F.lit(2)) == half).repartition(2, "ord").write.mode("append").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        state.start(arriving, f"{root}/checkpoint", once=True).awaitTermination()
+    return state.findings(spark, f"{root}/checkpoint").select("case_name", "category", "value", "file", "position", "context")
+
+
 # --- enrichment and rules --------------------------------------------------------------------------------------------
 
 _BLOCKS = [(k * 16777216, (k + 1) * 16777216 - 1, ["US", "RU", "DE", "CN", "FR", "BR"][k % 6], f"R{k % 5}", f"City{k % 7}", f"AS{k}", float(k % 90), float(k % 180), "local") for k in range(1, 224, 2)]
@@ -909,6 +931,15 @@ def all_files(spark, d):
     return files.everything(_made_files(spark, d)).select("file_name", "chunk_no", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(f"WITH {_MADE}, z AS (SELECT * FROM m WHERE item_id % 3 = 1) SELECT 'item_' || item_id || '.zip::m.txt' AS file_path, 1 AS depth, length(text)::BIGINT AS characters FROM z UNION ALL SELECT 'item_' || item_id || '.zip::in.zip::deep/n.txt', 2, length(text)::BIGINT FROM z")
+def stored_members(spark, d):
+    """Archives in the shared folder, read by their members where they lie."""
+    root = f"{shared_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    sinks.write_files(_made_files(spark, d).select(F.col("file_name").alias("name"), "content"), root)
+    got = members.members(files.list_files(spark, root)).where("error is null")
+    return got.select(F.regexp_extract("file_path", r"/(item_[^/]*(?:/.*)?)\z", 1).alias("file_path"), "depth", F.length(files.decode_utf8("content")).cast("long").alias("characters"))
+
+
 _TERM_IN_FILES = "the"
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ranges
 
 
 def nested(found: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
@@ -51,6 +53,21 @@ def write_datasets(datasets: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Each row's content as a file of its own below a folder of the shared store: rows of name (a path without `..`) and content. A repeated task writes the same files."""
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, path = ranges.opened(f"{folder.rstrip('/')}/{name}")
+                fs.create_dir(path.rsplit("/", 1)[0])
+                with fs.open_output_stream(path) as f:
+                    f.write(content or b"")
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["files"])
+
+    rows.select("name", "content").mapInArrow(run, "files long").agg(F.sum("files")).collect()  # one number
+
+
 def append_indicators(rows: DataFrame, path: str) -> None:
     """Appends to the master table, a folder per project."""
     rows.write.mode("append").partitionBy("project_name").parquet(path)
