@@ -1,14 +1,18 @@
 """Enrichment by joins with local tables, in place of network services, and the rules for risk.
 
-Address blocks join by range without a nested loop: blocks are cut at /16 borders, so the join is an equality on the
-upper 16 bits with a range test on what is left."""
+Address blocks join by range without a nested loop and without expanding them: addresses and blocks are swept together, in order."""
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text as tx, validate as va
+from ..sources.shared import cut
 
 IP_CATEGORIES = ["IPv4", "IPv4_with_Port"]
 
@@ -29,18 +33,72 @@ def routing_info(numbers: DataFrame, banks: DataFrame, value: str = "value") ->
     return numbers.where(va.routing_checksum(value)).join(banks, F.col(value) == F.col("routing_number"), "left").drop("routing_number")
 
 
+_EVENT = "__range int, __pos long, __kind int, __end long, __width long, __id long"
+
+
+def smallest_holding(points: DataFrame, blocks: DataFrame) -> DataFrame:
+    """n and id of the smallest block (start, end, id; of equal ones that of the smaller start, then id) that holds each point n; points in no block are left out.
+
+    A sweep over the line: it is cut at quantiles of points and starts together, so that parts are of like size wherever either crowd. A block is a row, and one more
+    for each cut that it lies across. Each part is swept in order: blocks open at their starts, the smallest open one answers a point, and what has
+    ended goes when it comes up. Blocks may nest, touch or cross."""
+    spark = points.sparkSession
+    good = blocks.where("end >= start and start is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = points.select(F.col("n").alias("x")).unionAll(good.select("start"))
+    cuts = np.array(sorted({int(c) for c in marks.approxQuantile("x", [k / parts for k in range(1, parts)], 0.002)}), np.int64)  # as many numbers as there are partitions
+
+    def opening(batches):
+        for b in batches:
+            start, end, ident = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            first, last = np.searchsorted(cuts, start, "right"), np.searchsorted(cuts, end, "right")
+            row = np.repeat(np.arange(len(start)), last - first + 1)
+            part = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+            pos = np.where(part == first[row], start[row], cuts[np.maximum(part - 1, 0)] if len(cuts) else 0)
+            yield _event(part, pos, 0, end[row], (end - start)[row], ident[row])
+
+    def asking(batches):
+        for b in batches:
+            n = b.column(0).to_numpy(zero_copy_only=False)
+            yield _event(np.searchsorted(cuts, n, "right"), n, 1, n, n, n)
+
+    def sweep(batches):
+        part, open_ = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for r, pos, kind, end, width, ident in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != part:
+                    part, open_ = r, []
+                if not kind:
+                    heapq.heappush(open_, (width, end, ident))
+                    continue
+                while open_ and open_[0][1] < pos:
+                    heapq.heappop(open_)
+                if open_:
+                    found.append((pos, open_[0][2]))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["n", "id"])
+
+    events = good.select("start", "end", "id").mapInArrow(opening, _EVENT).unionAll(points.select("n").mapInArrow(asking, _EVENT))
+    return events.repartition(parts, "__range").sortWithinPartitions("__range", "__pos", "__kind", "__width", "__end", "__id").mapInArrow(sweep, "n long, id long")
+
+
+def _event(part, pos, kind: int, end, width, ident) -> pa.RecordBatch:
+    columns = (part.astype(np.int32), pos.astype(np.int64), np.full(len(part), kind, np.int32), end.astype(np.int64), width.astype(np.int64), ident.astype(np.int64))
+    return pa.record_batch([pa.array(c) for c in columns], names=[f.split(" ")[0] for f in _EVENT.split(", ")])
+
+
 def geo_lookup(ips: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
     """Each different address with the smallest block that holds it: ip, country, region, city, asn, lat, lon, source, error.
 
     `blocks` has start_ip, end_ip (numbers) and those columns."""
-    own = ips.select(F.col(ip).alias("ip")).distinct().withColumn("n", va.ip_number("ip"))
-    cut = blocks.withColumn("high", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))))
-    good = own.where(~va.non_global_ip("ip")).withColumn("own_high", F.shiftright("n", 16))
-    hit = good.join(cut, (F.col("own_high") == F.col("high")) & F.col("n").between(F.col("start_ip"), F.col("end_ip")))
+    own = cut(ips.select(F.col(ip).alias("ip")).distinct().withColumn("n", va.ip_number("ip")))
     cols = [c for c in blocks.columns if c not in ("start_ip", "end_ip")]
-    best = hit.groupBy("ip").agg(F.min_by(F.struct(*cols), F.struct((F.col("end_ip") - F.col("start_ip")).alias("width"), "start_ip")).alias("b"))
+    known = cut(blocks.select(F.col("start_ip").alias("start"), F.col("end_ip").alias("end"), F.monotonically_increasing_id().alias("id"), F.struct(*cols).alias("b")))
+    good = own.where(~va.non_global_ip("ip") & F.col("n").isNotNull())
+    hit = smallest_holding(good.select("n").distinct(), known).join(known.select(F.col("id").alias("of"), "b"), F.col("id") == F.col("of")).select(F.col("n").alias("at"), "b")
     error = F.when(va.non_global_ip("ip"), "Invalid or non-global IP address").when(F.col("b").isNull(), "No data available")
-    return own.join(best, "ip", "left").select("ip", *(F.col(f"b.{c}").alias(c) for c in cols), error.alias("error"))
+    joined = own.join(hit, (F.col("n") == F.col("at")) & ~va.non_global_ip("ip"), "left")
+    return joined.select("ip", *(F.col(f"b.{c}").alias(c) for c in cols), error.alias("error"))
 
 
 def first_known(primary: DataFrame, fallback: DataFrame, key: str = "ip") -> DataFrame:

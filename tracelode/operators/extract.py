@@ -99,22 +99,36 @@ def described(found: DataFrame) -> DataFrame:
     return out.withColumn("context", tx.render_context("file", "position", "ip_class", "issuer"))
 
 
-def drop_part_emails(found: DataFrame) -> DataFrame:
-    """Findings without the e-mail addresses that are part of a longer one of the same case.
+def runs_of(value: Column | str, n: int) -> Column:
+    """The different runs of n characters of a value."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - n + 1, F.lit(1))), lambda i: F.substring(v, i, F.lit(n))))
 
-    An address that contains another shares all its runs of seven characters with it, so both meet in an equality join on
-    the shorter one's rarest anchor: its first seven characters, against every run of seven of the longer ones. Addresses
-    are 6 characters at least; those of 6 are joined on runs of six."""
-    mails = found.where("category = 'Email_Addresses'").select("case_name", "value").distinct()
-    gone = None
+
+def part_pairs(mails: DataFrame) -> DataFrame:
+    """case, small, large: each address (case_name, value; different ones) with the longer ones of its case that it is to be looked for in.
+
+    An address that contains another shares all its runs of seven characters with it. So both meet in an equality join on one of them, the anchor: of the
+    shorter one's runs the one that fewest addresses of the case have (then the first by text). What very many have, as `noreply@`,
+    is an anchor of none but what consists of it. An address that no other shares its anchor with is in no other, and isn't joined at all.
+    Addresses are 6 characters at least; those of 6 are joined on runs of six."""
+    out = None
     for n, these in ((6, F.length("value") < 7), (7, F.length("value") >= 7)):
-        short = mails.where(these).select("case_name", F.col("value").alias("small"), F.left("value", F.lit(n)).alias("anchor"))
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - n + 1, F.lit(1))), lambda i: F.substring("value", i, F.lit(n))))
-        long = mails.select(F.col("case_name").alias("c"), F.col("value").alias("large"), F.explode(runs).alias("run"))
-        hit = short.join(long, (F.col("case_name") == F.col("c")) & (F.col("anchor") == F.col("run")) & (F.length("large") > F.length("small")) & F.contains("large", "small"), "left_semi")
-        gone = hit if gone is None else gone.unionByName(hit)
-    drop = gone.select(F.col("case_name").alias("__case"), F.col("small").alias("__value")).distinct()
-    return found.join(drop, (F.col("category") == "Email_Addresses") & (F.col("case_name") == F.col("__case")) & (F.col("value") == F.col("__value")), "left_anti")
+        runs = cut(mails.select("case_name", "value", F.explode(runs_of("value", n)).alias("run")))
+        common = runs.groupBy(F.col("case_name").alias("c"), F.col("run").alias("r")).agg(F.count("*").alias("n"))
+        # each run's frequency comes to the shorter ones' runs by a join on case and run
+        counted = runs.where(these).join(common, F.col("case_name").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
+        anchors = counted.groupBy("case_name", F.col("value").alias("small")).agg(F.min(F.struct("n", "run")).alias("a")).where("a.n > 1").select(F.col("case_name").alias("case"), "small", F.col("a.run").alias("anchor"))
+        met = anchors.join(runs, F.col("case").eqNullSafe(F.col("case_name")) & (F.col("anchor") == F.col("run")) & (F.length("value") > F.length("small"))).select("case", "small", F.col("value").alias("large"))
+        out = met if out is None else out.unionAll(met)
+    return out
+
+
+def drop_part_emails(found: DataFrame) -> DataFrame:
+    """Findings without the e-mail addresses that are part of a longer one of the same case."""
+    mails = found.where("category = 'Email_Addresses'").select("case_name", "value").distinct()
+    drop = part_pairs(cut(mails)).where(F.contains("large", "small")).select(F.col("case").alias("__case"), F.col("small").alias("__value")).distinct()
+    return found.join(drop, (F.col("category") == "Email_Addresses") & F.col("case_name").eqNullSafe(F.col("__case")) & (F.col("value") == F.col("__value")), "left_anti")
 
 
 def findings(texts: DataFrame, categories: list[str] | None = None, strict: bool = False) -> DataFrame:

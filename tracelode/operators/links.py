@@ -49,8 +49,10 @@ def linked_indicators(indicators: DataFrame, term: str) -> DataFrame:
 
 
 def secondary(indicators: DataFrame, term: str) -> DataFrame:
-    """Projects at one remove: case, connected_to, reason; of several reasons the smallest value, then the smallest project."""
-    first = linked_indicators(indicators, term).select(F.col("project_name").alias("connected_to"), F.col("indicator_value").alias("reason"))
+    """Projects at one remove: case, connected_to, reason; of several reasons the smallest value, then the smallest project.
+
+    Of the linked projects that share a reason only the smallest can be named, so each reason is a row before the join."""
+    first = linked_indicators(indicators, term).groupBy(F.col("indicator_value").alias("reason")).agg(F.min("project_name").alias("connected_to"))
     other = indicators.join(direct(indicators, term), "project_name", "left_anti").select(F.col("project_name").alias("case"), "indicator_value").distinct()
     best = other.join(first, F.col("indicator_value") == F.col("reason")).groupBy("case").agg(F.min(F.struct("reason", "connected_to")).alias("b"))
     return best.select("case", "b.connected_to", "b.reason").orderBy("case")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.ordered import running
 from . import ranges
 
 
@@ -74,9 +75,11 @@ def append_indicators(rows: DataFrame, path: str) -> None:
 
 
 def collected_names(files: DataFrame, project: str) -> DataFrame:
-    """file_path and new_name (`project_A.ext`, B, ... in path order) of extracted files, ranked within their case."""
-    place = F.row_number().over(Window.partitionBy("case_name").orderBy("ord"))  # paths and extensions alone are shuffled
-    return files.select("case_name", "file_path", "ext", "ord").select("file_path", F.concat(F.lit(f"{project}_"), tx.letter_suffix(place - 1), "ext").alias("new_name"))
+    """file_path and new_name (`project_A.ext`, B, ... in path order) of extracted files, ranked within their case.
+
+    The rank is a distributed one: a case of very many files is sorted and numbered over many partitions. Paths and extensions alone are shuffled."""
+    ranked = running(files.select("case_name", "file_path", "ext", "ord"), ["case_name"], [F.col("ord")])
+    return ranked.select("file_path", F.concat(F.lit(f"{project}_"), tx.letter_suffix(F.col("__no") - 1), "ext").alias("new_name"))
 
 
 def write_metadata(spark, document: dict, path: str) -> None:
