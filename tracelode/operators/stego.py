@@ -51,10 +51,8 @@ def parse_complex(text: Column | str) -> Column:
     return F.when(whole, F.struct(F.coalesce(F.when(real != "", real.try_cast("double")), F.lit(0.0)).alias("real"), imaginary.alias("imaginary")))
 
 
-def julia(spark, width: int, height: int, real: float, imaginary: float, most: int = 100, span: float = 1.5) -> DataFrame:
-    """x, y, steps: the iteration (from 0) after which each point of the plane is beyond radius 2, or `most`; a row per pixel, so pixels are spread over tasks."""
-    px = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
-    zx, zy = (F.col("x") / (width - 1) * 2 - 1) * span, (F.col("y") / (height - 1) * 2 - 1) * span
+def _steps(zx: Column, zy: Column, real: Column, imaginary: Column, most: int) -> Column:
+    """The iteration (from 0) after which a point is beyond radius 2, or `most`."""
 
     def step(acc: Column, _: Column) -> Column:
         a, b = acc["a"] * acc["a"] - acc["b"] * acc["b"] + real, 2 * acc["a"] * acc["b"] + imaginary
@@ -62,7 +60,23 @@ def julia(spark, width: int, height: int, real: float, imaginary: float, most: i
         return F.struct(F.when(acc["in"], a).otherwise(acc["a"]).alias("a"), F.when(acc["in"], b).otherwise(acc["b"]).alias("b"), stays.alias("in"), (acc["n"] + stays.cast("int")).alias("n"))
 
     begin = F.struct(zx.cast("double").alias("a"), zy.cast("double").alias("b"), F.lit(True).alias("in"), F.lit(0).alias("n"))
-    return px.select("x", "y", F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)["n"].alias("steps"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)["n"]
+
+
+def julia_of(parameters: DataFrame, width: int, height: int, most: int = 100, span: float = 1.5) -> DataFrame:
+    """The columns of `parameters` (real and imaginary among them), x, y, steps: a picture for each row, a row for each of its pixels, so that pixels are spread over tasks.
+
+    Rows of which either number is null have no picture."""
+    n = int(parameters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    px = parameters.where("real is not null and imaginary is not null").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).repartition(n).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    zx, zy = (F.col("x") / (width - 1) * 2 - 1) * span, (F.col("y") / (height - 1) * 2 - 1) * span
+    return px.select(*parameters.columns, "x", "y", _steps(zx, zy, F.col("real"), F.col("imaginary"), most).alias("steps"))
+
+
+def julia(spark, width: int, height: int, real: float, imaginary: float, most: int = 100, span: float = 1.5) -> DataFrame:
+    """x, y, steps of one picture."""
+    one = spark.range(1).select(F.lit(float(real)).alias("real"), F.lit(float(imaginary)).alias("imaginary"))
+    return julia_of(one, width, height, most, span).select("x", "y", "steps")
 
 
 def palette(steps: Column, most: int = 100) -> Column:

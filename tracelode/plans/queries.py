@@ -131,6 +131,58 @@ def device_findings(spark, d):
     return extract.findings(device_texts(spark, d)).select("case_name", "category", "value", "file", "position", "ip_class", "issuer", "context")
 
 
+def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each part with what documents and devices don't hold, in several forms, some of them not quite: IPv6 and onion addresses, Amex cards, Monero, IBAN, both kinds of Unix times, UUIDs, user agents."""
+    k = F.col("p_partkey")
+    word = k.cast("string").cast("binary")
+    sha, md = F.sha1(word), F.md5(word)
+    lit, cut = F.lit, lambda v, a, n: F.substring(v, a, lit(n))
+    pad = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    groups = F.array_join(F.transform(F.sequence(lit(0), lit(7)), lambda i: F.substring(md, i * 4 + 1, lit(4))), ":")
+    ipv6 = F.when(k % 7 == 0, F.concat(lit("2001:db8::"), cut(md, 1, 4))).when(k % 11 == 0, lit("::1")).otherwise(groups)
+    coded = F.translate(F.concat(sha, cut(md, 1, 16)), "0189", "wxyz")
+    onion = F.concat(F.when(k % 4 == 0, coded).when(k % 6 == 1, cut(sha, 1, 16)).otherwise(cut(coded, 1, 16)), lit(".onion"))
+    amex = F.concat(F.when(k % 5 == 0, "38").when(k % 2 == 0, "34").otherwise("37"), pad(k * 7919 % 10**12, 12), (k % 10).cast("string"))
+    monero = F.concat(lit("4"), F.when(k % 5 == 1, "C").otherwise("A"), F.substring(F.translate(F.concat(sha, md, sha), "0", "g"), lit(1), (93 - (k % 3)).cast("int")))
+    iban = F.concat(lit("DE"), pad(k % 100, 2), F.upper(cut(sha, 1, 4)), pad(k * 48271 % 10**7, 7), F.substring(sha, lit(5), (k % 12).cast("int")))
+    recent, older = (1560000000 + k * 97711 % 300000000).cast("string"), (900000000 + k * 7717171 % 1600000000).cast("string")
+    uuid_ = F.concat_ws("-", cut(md, 1, 8), cut(md, 9, 4), F.concat((k % 6).cast("string"), cut(md, 14, 3)), F.concat(F.substring(lit("89abcdef"), (k % 8 + 1).cast("int"), lit(1)), cut(md, 18, 3)), cut(md, 21, 12))
+    agent = F.when(k % 5 == 0, "short").otherwise(F.concat(lit("Mozilla/5.0 (X11; "), cut(sha, 1, 8), lit(") x)")))
+    text = F.concat(lit("from "), ipv6, lit(" via "), onion, lit(" card "), amex, lit(" pay "), monero, lit(" iban "), iban, lit(" at "), recent, lit(" then "), older, lit(" id "), uuid_, lit("\nUser-Agent: "), agent, lit("\nend"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand")).select(F.col("p_brand").alias("case_name"), F.format_string("p_%d.txt", k).alias("file_name"), k.alias("ord"), text.alias("text"))
+
+
+TRACES = """p AS (SELECT p_brand, p_partkey AS k, sha1(p_partkey::VARCHAR) AS sha, md5(p_partkey::VARCHAR) AS md FROM part),
+c AS (SELECT *, translate(sha || md[1:16], '0189', 'wxyz') AS coded FROM p),
+t AS (SELECT p_brand AS case_name, 'p_' || k || '.txt' AS file_name, k AS ord,
+  'from ' || CASE WHEN k % 7 = 0 THEN '2001:db8::' || md[1:4] WHEN k % 11 = 0 THEN '::1' ELSE array_to_string([md[4 * i + 1:4 * i + 4] for i in range(8)], ':') END
+  || ' via ' || CASE WHEN k % 4 = 0 THEN coded WHEN k % 6 = 1 THEN sha[1:16] ELSE coded[1:16] END || '.onion'
+  || ' card ' || CASE WHEN k % 5 = 0 THEN '38' WHEN k % 2 = 0 THEN '34' ELSE '37' END || lpad((k * 7919 % 1000000000000)::VARCHAR, 12, '0') || (k % 10)
+  || ' pay 4' || CASE WHEN k % 5 = 1 THEN 'C' ELSE 'A' END || translate(sha || md || sha, '0', 'g')[1:93 - k % 3]
+  || ' iban DE' || lpad((k % 100)::VARCHAR, 2, '0') || upper(sha[1:4]) || lpad((k * 48271 % 10000000)::VARCHAR, 7, '0') || substr(sha, 5, k % 12)
+  || ' at ' || (1560000000 + k * 97711 % 300000000) || ' then ' || (900000000 + k * 7717171 % 1600000000)
+  || ' id ' || concat_ws('-', md[1:8], md[9:12], (k % 6) || md[14:16], substr('89abcdef', k % 8 + 1, 1) || md[18:20], md[21:32])
+  || chr(10) || 'User-Agent: ' || CASE WHEN k % 5 = 0 THEN 'short' ELSE 'Mozilla/5.0 (X11; ' || sha[1:8] || ') x)' END || chr(10) || 'end' AS text FROM c)"""
+TRACE_KINDS = ("IPv6", "Onion_Addresses", "Credit_Card_Amex", "Monero_Addresses", "IBAN", "Unix_Timestamps_Recent", "Unix_Timestamps", "Device_IDs_UUIDs", "User_Agents")
+
+
+def _extract_traces(category: str) -> None:
+    def run(spark, d):
+        return extract.matches(trace_texts(spark, d), [category]).groupBy("case_name", "file_name", "value", "position").agg(F.count("*").alias("n"))
+
+    query(f"WITH {TRACES}, occ AS ({sql.plain(category)}) SELECT case_name, file_name, value, position, count(*) AS n FROM occ WHERE value <> '' GROUP BY ALL", f"extract_{category.lower()}")(run)
+
+
+for _c in TRACE_KINDS:
+    _extract_traces(_c)
+
+
+@query(f"WITH {sql.found(TRACES)} SELECT case_name, category, value, file, position, ip_class, issuer, context FROM f")
+def trace_findings(spark, d):
+    """All that these texts hold, of every category."""
+    return extract.findings(trace_texts(spark, d)).select("case_name", "category", "value", "file", "position", "ip_class", "issuer", "context")
+
+
 #: Literal texts for every category, with what must be found: value and position.
 CASES = [
     ("IPv4", "at 8.8.8.8. End", []), ("IPv4", "v1.8.8.8.8", []), ("IPv4", "8.8.8.8:443", [("8.8.8.8", 0)]), ("IPv4", "x 10.1.2.3 y 1.2.3.4", [("10.1.2.3", 2), ("1.2.3.4", 13)]),
@@ -449,6 +501,19 @@ def clean_stats(spark, d):
     return ds.clean_stats(_dirty(spark, d))
 
 
+_KINDS_SQL = ", ".join(map(sql.q, TRACE_KINDS))
+_KINDS_OK = " ".join(f"WHEN '{c}' THEN (regexp_full_match(value, {sql.q(fixed.PATTERNS[c])}, 'i') OR (regexp_matches(value, {sql.q(fixed.PATTERNS[c])}, 'i') AND length(regexp_extract(value, {sql.q(fixed.PATTERNS[c])}, 0, 'i')) >= 0.8 * length(value))){' AND ' + sql.luhn_ok('value') if c in fixed.CARDS else ''}" for c in TRACE_KINDS)
+
+
+@query(f"""WITH {sql.found(TRACES)}, dirty AS (SELECT case_name, category, CASE length(value) % 3 WHEN 0 THEN value WHEN 1 THEN value || ' x' ELSE value || repeat(' padding', 9) END AS value FROM f WHERE category IN ({_KINDS_SQL}))
+SELECT * FROM dirty WHERE CASE category {_KINDS_OK} END""")
+def clean_traces(spark, d):
+    """Findings of the other categories, some of them with something added."""
+    dirty = extract.findings(trace_texts(spark, d)).where(F.col("category").isin(*TRACE_KINDS))
+    v = F.when(F.length("value") % 3 == 0, F.col("value")).when(F.length("value") % 3 == 1, F.concat("value", F.lit(" x"))).otherwise(F.concat("value", F.lit(" padding" * 9)))
+    return ds.clean(dirty.select("case_name", "category", v.alias("value")))
+
+
 @query("SELECT ext, n FROM (SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\\.[^./]*)$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1) ORDER BY n DESC, ext LIMIT 10")
 def extension_histogram(spark, d):
     return ds.extension_histogram(table(spark, d, "pages").select(F.regexp_extract("url", "([^/]*)$", 1).alias("file_name")))
@@ -855,6 +920,26 @@ def fractal(spark, d):
     return px.select("x", "y", "steps", stego.palette(F.col("steps")).alias("c")).select("x", "y", "steps", "c.*")
 
 
+@query("""
+WITH RECURSIVE c AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 9 <> 8 THEN ('-0.' || lpad((p_partkey * 37 % 100)::VARCHAR, 2, '0'))::DOUBLE END AS re, ('0.' || lpad((p_partkey * 53 % 100)::VARCHAR, 2, '0'))::DOUBLE AS im FROM part
+), z AS (
+  SELECT p_partkey, re, im, x, y, (x::DOUBLE / 7 * 2 - 1) * 1.5::DOUBLE AS a, (y::DOUBLE / 4 * 2 - 1) * 1.5::DOUBLE AS b, 0 AS n, TRUE AS inside FROM c, range(8) r(x), range(5) s(y) WHERE re IS NOT NULL
+  UNION ALL
+  SELECT p_partkey, re, im, x, y, a2, b2, n + CASE WHEN a2 * a2 + b2 * b2 <= 4 THEN 1 ELSE 0 END, a2 * a2 + b2 * b2 <= 4 FROM (SELECT p_partkey, re, im, x, y, n, a * a - b * b + re AS a2, 2 * a * b + im AS b2 FROM z WHERE inside AND n < 30)
+), s AS (SELECT p_partkey, x::INT AS x, y::INT AS y, max(n)::INT AS steps FROM z GROUP BY ALL)
+SELECT p_partkey, x, y, steps, (CASE WHEN steps = 30 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.09::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS red, (CASE WHEN steps = 30 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.05::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS green,
+  (CASE WHEN steps = 30 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.03::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS blue FROM s
+""")
+def fractals(spark, d):
+    """A picture of 8 by 5 points for each part, of the number that its row writes; one in nine isn't a number."""
+    two = lambda m: F.lpad((F.col("p_partkey") * m % 100).cast("string"), 2, "0")
+    text = F.concat(F.lit("-0."), two(37), F.when(F.col("p_partkey") % 9 == 8, " and ").otherwise(" + "), F.lit("0."), two(53), F.lit("j"))
+    numbers = spread(table(spark, d, "part").select("p_partkey", stego.parse_complex(text).alias("z"))).select("p_partkey", "z.real", "z.imaginary")
+    px = stego.julia_of(numbers, 8, 5, 30)
+    return px.select("p_partkey", "x", "y", "steps", stego.palette(F.col("steps"), 30).alias("c")).select("p_partkey", "x", "y", "steps", "c.*")
+
+
 @query(sql.over_findings("SELECT category AS \"Category\", value AS \"Indicator\", left(replace(context, chr(10), ' '), 250) AS \"Context\" FROM f"))
 def csv_rows(spark, d):
     return sinks.csv_rows(found(spark, d))
