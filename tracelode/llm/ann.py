@@ -6,7 +6,7 @@ residual is coded by `parts` sub-quantisers of 256 centroids. A query visits the
 with every sub-centroid gives the asymmetric distance of each code, sixteen or more additions a code and no vector read. Of all
 visited cells together, the `rerank` classes nearest by code are scored exactly on the original vectors.
 
-So that a cell needn't send all it holds, each query has a limit: its distance, by codes as well, from the m-th nearest of
+A block of a cell sends no more than the `rerank` nearest of a query. So that it needn't send as many, each query has a limit: its distance, by codes as well, from the m-th nearest of
 the fitting sample, with m such that 1.5 times `rerank` classes of all are expected below it, and 8 at least. Cells are cut into
 blocks and queries into groups, so a hot cell is many small tasks.
 
@@ -218,13 +218,19 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
         if len(must):
             top = np.argpartition(d[must], k, 1)[:, : k + 1] if len(a) > k + 1 else np.tile(np.arange(len(a)), (len(must), 1))
             keep[must[:, None], top] = True
+        if len(a) > most:  # more can't be among the best of all; those that are as near as the last stay
+            held = np.where(keep, d, np.inf)
+            keep &= d <= np.partition(held, most - 1, 1)[:, most - 1 : most]
         i, j = np.nonzero(keep)
         return pd.DataFrame({"asker": b["asker"].to_numpy()[i], "class_id": a["class_id"].to_numpy()[j], "d": d[i, j]})
 
-    where = ["cell", "block", "grp"]
+    where, most = ["cell", "block", "grp"], max(rerank, k + 1)
     found = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(compare, "asker long, class_id long, d float")
     # the best by code of all cells together, and the k + 1 that a query is sure of are among them
-    top = found.groupBy("asker").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "class_id"))), 1, max(rerank, k + 1)).alias("top"))
+    # (a block sends no more than that; those of many blocks are put together in parts first)
+    best_of = lambda rows: F.slice(F.sort_array(rows), 1, most)
+    parts_of = found.groupBy("asker", F.pmod("class_id", F.lit(SALTS)).alias("salt")).agg(best_of(F.collect_list(F.struct("d", "class_id"))).alias("top"))
+    top = parts_of.groupBy("asker").agg(best_of(F.flatten(F.collect_list("top"))).alias("top"))
     pairs = top.select("asker", F.explode("top.class_id").alias("class_id"))
     askers = known.select(F.col("class_id").alias("asker"), F.col("v").alias("q"))
     exact = pairs.join(askers, "asker").join(known.select("class_id", "ids", "v"), "class_id")

@@ -8,9 +8,9 @@ which the cumulative demand reaches that share. Documents are then sorted by pos
 
 Within a source, documents stand in the order of a hash of id and text. Whole passes come first; the rest of the target is met by a
 last pass that stops at a hash value. That value comes from four histograms of 1024 bins each, every one within the bin of
-the one before in which the rest ends; the last is over a hash of the row's number, so rows that repeat each other are told apart
-as well. No source is ever sorted or held in one place, and whether a document is taken depends on its own row and
-its source's one row. What is computed per source goes through one task where sources are ranked: a row for each.
+the one before in which the rest ends. Where several rows have the very hash at which it stops (rows that repeat each other), so many of
+them are taken as the rest asks, by a number that they get in a distributed rank of these rows alone. No source is ever sorted or held in one place, and
+whether a document is taken depends on its own row and its source's one row. Nothing depends on how the table is partitioned. What is computed per source goes through one task where sources are ranked: a row for each.
 
 Edge cases: null text has size 0; very long texts count whole; a null source is a source of its own, last; a document of size 0
 is taken along with its pass but takes no words; in a source without words every document stands once. Of rows with equal ids
@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
 from .common import cut, shielded, word_count
 
 BINS = 1024
@@ -32,9 +33,8 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0
 
 
 def hashed(doc_id: Column, text: Column) -> Column:
-    """40 bits that order the documents of a source: 30 of id and text, and 10 of the row's number, which part repeated rows."""
-    own = F.xxhash64(doc_id.cast("string"), F.lit("mixing"), text).bitwiseAND(F.lit(BINS**3 - 1))
-    return own * BINS + F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(BINS - 1))
+    """40 bits of id and text that order the documents of a source, whatever the number of partitions; rows that repeat each other have the same."""
+    return F.xxhash64(doc_id.cast("string"), F.lit("mixing"), text).bitwiseAND(F.lit(BINS**4 - 1))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0) -> DataFrame:
@@ -87,16 +87,21 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, schedules
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for shift in (20, 10, 0):
         rows = sized.join(_few(near), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", shift + 10) == F.col("at")))
-        one = rows.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        one = rows.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("left").alias("left"))
         one = one.withColumn("start", F.coalesce(F.sum("words").over(upto), F.lit(0)))
         if shift:
             last = F.max_by(F.struct("bin", (F.col("left") - F.col("start")).alias("left")), F.when(F.col("start") <= F.col("left"), F.col("bin")))
             near = cut(one.groupBy("source").agg(last.alias("l")).select(F.col("source").alias("of"), F.col("l.bin").alias("at"), "l.left"))
-    # a bin of the last histogram is taken if its middle lies before the rest's end
-    ends = one.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("start") + F.col("words") / 2 < F.col("left"), F.col("bin") + 1)), F.min("bin")).alias("cut_at"))
-    s = s.join(ends.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-    stop = F.when(F.col("rest") <= 0, F.lit(0)).otherwise(F.coalesce("cut_at", F.shiftleft("at", 30))).cast("long")
-    return cut(s.select("source", "source_size", "target", "passes", stop.alias("cut_at"), "before", "knots"))
+    # of the rows of the hash in which the rest ends so many are taken as come nearest to it
+    last = F.max_by(F.struct("bin", "words", "rows", (F.col("left") - F.col("start")).alias("left")), F.when(F.col("start") <= F.col("left"), F.col("bin")))
+    ends = one.groupBy(F.col("source").alias("of")).agg(last.alias("l"))
+    each = F.col("l.words") / F.col("l.rows")
+    ends = ends.select("of", F.col("l.bin").alias("last_h"), F.col("l.rows").alias("alike"), F.when(each > 0, F.greatest(F.lit(0), F.least(F.col("l.rows"), F.ceil(F.col("l.left") / each - 0.5)))).otherwise(0).cast("long").alias("more"))
+    s = s.join(ends, F.col("source").eqNullSafe(F.col("of")), "left")
+    some, zero = F.col("rest") > 0, F.lit(0).cast("long")
+    stop = F.when(some, F.coalesce("last_h", F.shiftleft("at", 30))).otherwise(zero)
+    # where the one row, or all or none of several, are taken, no rank is needed
+    return cut(s.select("source", "source_size", "target", "passes", stop.alias("last_h"), F.when(some, F.coalesce("alike", zero)).otherwise(zero).alias("alike"), F.when(some, F.coalesce("more", zero)).otherwise(zero).alias("more"), "before", "knots"))
 
 
 def position(share: Column, knots: Column) -> Column:
@@ -121,13 +126,22 @@ def taken(docs: DataFrame, plans: DataFrame) -> DataFrame:
     """The rows of `docs` (with columns __size and __h) and __source_size, __target, __copies, __positions (one for each copy)."""
     p = plans.select(*(F.col(c).alias(f"__{c}") for c in plans.columns))
     rows = docs.join(_few(p), F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__copies", F.col("__passes") + F.when(F.col("__h") < F.col("__cut_at"), 1).otherwise(0))
+    below = F.when(F.col("__h") < F.col("__last_h"), 1).otherwise(0)
+    at_end = (F.col("__h") == F.col("__last_h")) & (F.col("__more") > 0)
+    parted = (F.col("__h") == F.col("__last_h")) & (F.col("__more") > 0) & (F.col("__more") < F.col("__alike"))
+    whole = rows.withColumn("__copies", F.col("__passes") + below + F.when(at_end, 1).otherwise(0))
+    if plans.where("more > 0 and more < alike").isEmpty():
+        rows = whole
+    else:
+        ranked = running(rows.where(parted), ["__source"], [F.col("__h")])
+        ranked = ranked.withColumn("__copies", F.col("__passes") + F.when(F.col("__no") <= F.col("__more"), 1).otherwise(0)).drop("__no")
+        rows = whole.where(~parted).unionAll(ranked.select(*whole.columns))
     bin_ = F.shiftright("__h", 30).cast("int")
     low, high = F.element_at("__before", bin_ + 1), F.element_at("__before", bin_ + 2)
     at = low + (high - low) * ((F.col("__h").bitwiseAND(F.lit((1 << 30) - 1)) + 0.5) / (1 << 30))  # words of the source before this document, within a bin by its hash
     share = lambda k: F.when(F.col("__target") > 0, F.least(F.lit(1.0), (k * F.col("__source_size") + at) / F.col("__target"))).otherwise(F.lit(0.0))
     each = F.transform(F.when(F.col("__copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: position(share(k), F.col("__knots")))
-    return rows.withColumn("__positions", each).drop("__source", "__passes", "__cut_at", "__before", "__knots", "__h")
+    return rows.withColumn("__positions", each).drop("__source", "__passes", "__last_h", "__alike", "__more", "__before", "__knots", "__h")
 
 
 def sized(docs: DataFrame) -> DataFrame:
