@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx, validate as va
 from ..operators import datasets as ds
-from ..operators import enrich, extract, links, master, search, stego, tableview
+from ..operators import enrich, extract, links, master, search, stego, tableview, textindex
 from ..sources import files, mail, members, ranges, sinks
 from ..sources.files import binary_chunks
 from ..sources.shared import shared_dir, spread
@@ -828,6 +828,15 @@ def string_search(spark, d):
     return search.search(texts, _TERMS, extensions=[".txt"])
 
 
+@query(" UNION ALL ".join(_search_sql(t) for t in [*_TERMS, "z"]))
+def indexed_search(spark, d):
+    """The same search over a stored index, and a term that is too short for it."""
+    texts = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), "text")
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    textindex.build(texts, path)
+    return textindex.search(spark, path, [*_TERMS, "z"])
+
+
 _REGEX = "licen[cs]e|[0-9]{3}-[0-9]{4}"
 
 
