@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,16 @@ def static_filter(rows: DataFrame, category: str = "", file: str = "", search: s
     return filtered(rows, search=search, within=["value", "details"])
 
 
-def sorted_by(rows: DataFrame, column: str, descending: bool = False, *ties: str) -> DataFrame:
-    """Numbers first by value (a leading number counts), then text by its lower case; nulls as empty text. Ties by further columns."""
+def sort_keys(column: str, descending: bool = False) -> list[Column]:
+    """Numbers first by value (a leading number counts), then text by its lower case; nulls as empty text."""
     number = F.regexp_extract(F.col(column).cast("string"), r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double")
     text = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    keys = [number.desc_nulls_first(), text.desc()] if descending else [number.asc_nulls_last(), text.asc()]
-    return rows.orderBy(*keys, *ties)
+    return [number.desc_nulls_first(), text.desc()] if descending else [number.asc_nulls_last(), text.asc()]
+
+
+def sorted_by(rows: DataFrame, column: str, descending: bool = False, *ties: str) -> DataFrame:
+    """Rows in the order of `sort_keys`, ties by further columns."""
+    return rows.orderBy(*sort_keys(column, descending), *ties)
 
 
 def page(rows: DataFrame, number: int, size: int = 50) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx, validate as va
 from ..operators import datasets as ds
-from ..operators import enrich, extract, links, master, search, stego, tableview, textindex
+from ..operators import enrich, extract, links, master, pages, search, stego, summary, tableview, textindex
 from ..sources import files, mail, members, ranges, sinks
 from ..sources.files import binary_chunks
 from ..sources.shared import shared_dir, spread
@@ -544,6 +544,16 @@ def processing_summary(spark, d):
     return extract.files_extracted(texts, extract.accepted(extract.matches(texts))).drop("processing_time_seconds")
 
 
+@query(sql.over_findings(""", hit AS (SELECT DISTINCT case_name, file_name FROM ok), n AS (SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM hit) AS processed)
+SELECT unnest(['files_processed', 'files_failed', 'files_skipped']) AS key, unnest([processed, 0, files - processed])::VARCHAR AS value FROM n"""))
+def observed_summary(spark, d):
+    """The summary that a run over all documents, those of null text too, measures while it writes its findings."""
+    docs = spread(table(spark, d, "documents").select("source", "doc_id", "text"))
+    texts = docs.select(F.col("source").alias("case_name"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.col("doc_id").alias("ord"), tx.deobfuscate("text").alias("text"))
+    _, told = summary.extracted(texts, f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(k, told[k]) for k in ("files_processed", "files_failed", "files_skipped")], "key string, value string")
+
+
 # --- master table, links, graph --------------------------------------------------------------------------------------
 
 _IND = "i AS (SELECT DISTINCT 'user_' || user_id AS indicator_value, event_type || strftime(ts, '-%j') AS project_name FROM events)"
@@ -859,6 +869,16 @@ def table_page(spark, d):
     return tableview.page(tableview.sorted_by(tableview.filtered(c, {"c_mktsegment": "BUILDING"}, "00", ["c_name"]), "c_acctbal", True, "c_custkey"), 2)
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), s AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders)
+SELECT o_orderkey, o_totalprice FROM s, n WHERE place > (n - 1) // 50 * 50 - 100 ORDER BY place LIMIT 100""")
+def last_pages(spark, d):
+    """The two full pages before the last one, of all orders by price: read from the end of a sort that is kept."""
+    path = f"{shared_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    pages.store(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [*tableview.sort_keys("o_totalprice", True), F.col("o_orderkey")], path)
+    n = pages.pages(spark, path)
+    return pages.page(spark, path, n - 2).unionAll(pages.page(spark, path, n - 1))
+
+
 @query("SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> '' ORDER BY 1")
 def facet_values(spark, d):
     return tableview.facet_values(table(spark, d, "customer"), "c_mktsegment")
