@@ -100,19 +100,23 @@ def ip_number(ip: Column | str) -> Column:
     return F.aggregate(octets(ip), F.lit(0).cast("long"), lambda acc, n: acc * 256 + n)
 
 
-#: Networks that aren't global, of the public registries: (first, prefix length).
-NON_GLOBAL = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
+#: Networks that aren't global, of the public registries as of 2024 (those of Python 3.13's ipaddress), and addresses within them that are.
+NON_GLOBAL = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
+GLOBAL_WITHIN = ["192.0.0.9/32", "192.0.0.10/32"]
+
+
+def _range(net: str) -> tuple[int, int]:
+    """The first and last address of a network, as numbers."""
+    base, bits = net.split("/")
+    first = reduce(lambda acc, x: acc * 256 + int(x), base.split("."), 0)
+    return first, first + (1 << (32 - int(bits))) - 1
 
 
 def non_global_ip(ip: Column | str) -> Column:
     """Whether an address is private, loopback, reserved or multicast; true for what isn't an address as it is written (no leading zeros)."""
-    ranges = []
-    for net in NON_GLOBAL:
-        base, bits = net.split("/")
-        first = reduce(lambda acc, x: acc * 256 + int(x), base.split("."), 0)
-        ranges.append((first, first + (1 << (32 - int(bits))) - 1))
+    among = lambda n, nets: reduce(lambda a, b: a | b, (n.between(*_range(net)) for net in nets))
     number = F.when(~F.contains(_col(ip), F.lit(":")) & valid_ip(ip), ip_number(ip))
-    return F.coalesce(bound(number, lambda n: reduce(lambda a, b: a | b, (n.between(*r) for r in ranges))), F.lit(True))
+    return F.coalesce(bound(number, lambda n: among(n, NON_GLOBAL) & ~among(n, GLOBAL_WITHIN)), F.lit(True))
 
 
 def valid_ip(ip: Column | str) -> Column:

@@ -238,9 +238,9 @@ def pending_cases(spark, d):
     return files.pending_cases(s, s.where("done").select(F.col("own").alias("case_name")))
 
 
-@query(f"SELECT doc_id, md5({sql.deobfuscated('text')}) AS digest FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, md5({sql.deobfuscated('text')}) AS digest FROM documents")
 def deobfuscate(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(tx.deobfuscate("text").cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.deobfuscate("text").cast("binary")).alias("digest"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
@@ -521,21 +521,21 @@ def extension_histogram(spark, d):
 
 @query("""
 SELECT folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM (
-  SELECT array_to_string(p[1:i], '/') AS folder, size FROM (SELECT p, size, unnest(range(1, len(p))) AS i FROM (SELECT string_split(url, '/') AS p, length(html) AS size FROM pages WHERE html IS NOT NULL)))
+  SELECT array_to_string(p[1:i], '/') AS folder, size FROM (SELECT p, size, unnest(range(1, len(p))) AS i FROM (SELECT string_split(url, '/') AS p, coalesce(length(html), 0) AS size FROM pages WHERE url IS NOT NULL)))
 GROUP BY 1
 """)
 def directory_sizes(spark, d):
-    files = table(spark, d, "pages").where("html is not null").select(F.col("url").alias("file_path"), F.length("html").alias("size"))
+    files = table(spark, d, "pages").where("url is not null").select(F.col("url").alias("file_path"), F.coalesce(F.length("html"), F.lit(0)).alias("size"))
     return ds.directory_sizes(files).select("folder", "files", "bytes")
 
 
-@query("SELECT source AS case_name, count(*) AS files, sum(length(text))::BIGINT AS characters FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT source AS case_name, count(*) AS files, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM documents GROUP BY 1")
 def evidence_cases(spark, d):
-    return evidence_raw(spark, d).groupBy("case_name").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("characters"))
+    return evidence_raw(spark, d).groupBy("case_name").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
 
 
 def evidence_raw(spark, d) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select(F.col("source").alias("case_name"), "text")
+    return table(spark, d, "documents").select(F.col("source").alias("case_name"), "text")
 
 
 @query(sql.over_findings(", hit AS (SELECT DISTINCT case_name, file_name FROM ok) SELECT case_name, (SELECT count(*) FROM hit WHERE hit.case_name = t.case_name)::VARCHAR AS files_processed, '0' AS files_failed, (count(*) - (SELECT count(*) FROM hit WHERE hit.case_name = t.case_name))::VARCHAR AS files_skipped FROM t GROUP BY case_name"))
@@ -632,6 +632,14 @@ def ego_network(spark, d):
     return links.ego(e, e.agg(F.min("src")).first()[0])[0]
 
 
+@query(f"""WITH {_IND}, own AS (SELECT indicator_value FROM i WHERE project_name = (SELECT min(project_name) FROM i)), near AS (SELECT DISTINCT project_name FROM i WHERE indicator_value IN (FROM own))
+SELECT project_name AS src, indicator_value AS dst, 1 AS weight FROM i WHERE project_name IN (FROM near) AND indicator_value IN (FROM own)""")
+def ego_edges(spark, d):
+    """The edges among the nodes within two steps of a case."""
+    e = _edges(spark, d)
+    return links.ego(e, e.agg(F.min("src")).first()[0])[1].select("src", "dst", "weight")
+
+
 @query(sql.over_findings("SELECT value AS indicator_value, min(category) AS indicator_type, case_name AS project_name, context, 'None' AS timestamp_str, 0 AS position FROM f GROUP BY value, case_name, context"))
 def master_insert(spark, d):
     """What a first insertion adds: a value found by two categories at one place is stored once."""
@@ -674,7 +682,7 @@ _BLOCKS += [(k * 16777216 + 65536 * 40, k * 16777216 + 65536 * 90 - 1, "IR", "Rx
 _BLOCK_COLS = "start_ip long, end_ip long, country string, region string, city string, asn string, lat double, lon double, source string"
 _BLOCK_SQL = "blk AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {z}, {', '.join(sql.q(x) for x in r[:4])}, {r[4]}, {r[5]}, {sql.q(r[6])})" for a, z, *r in _BLOCKS) + ") v(start_ip, end_ip, country, region, city, asn, lat, lon, source))"
 _FIRST = lambda ip: f"split_part({ip}, '.', 1)::INT"
-_NONGLOBAL = "(n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225479 OR n BETWEEN 3221225642 AND 3221225643 OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n >= 3758096384)"
+_NONGLOBAL = "(n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225480 OR n BETWEEN 3221225483 AND 3221225727 OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n >= 3758096384)"
 _GEO_SQL = f"""e AS (SELECT DISTINCT {_IP} AS ip, {_IPNUM} AS n FROM events), {_BLOCK_SQL}, g AS (
   SELECT ip, CASE WHEN n IS NULL OR {_NONGLOBAL} THEN 'Invalid or non-global IP address' WHEN m IS NULL THEN 'No data available' END AS error, m FROM (
     SELECT e.ip, e.n, (SELECT arg_min({{'country': country, 'city': city, 'asn': asn, 'source': source}}, end_ip - start_ip) FROM blk WHERE e.n BETWEEN start_ip AND end_ip AND NOT {_NONGLOBAL.replace('n ', 'e.n ')}) AS m FROM e))"""
@@ -895,13 +903,17 @@ def event_windows(spark, d):
     return ingest.event_windows(table(spark, d, "events")).select("start", "event_type", "events")
 
 
-_MAIL = "SELECT 'conv_' || conv_id || '_' || turn || '.eml' AS archive, 0 AS message_index, role || '@example.org' AS \"from\", 'Turn ' || turn AS subject, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS body_plain FROM conversations WHERE text IS NOT NULL"
+_MAIL = "SELECT 'conv_' || coalesce(conv_id::VARCHAR, '') || '_' || coalesce(turn::VARCHAR, '') || '.eml' AS archive, 0 AS message_index, coalesce(role, '') || '@example.org' AS \"from\", 'Turn ' || coalesce(turn::VARCHAR, '') AS subject, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS body_plain FROM conversations"
 
 
 def _mail(spark, d) -> DataFrame:
-    c = spread(table(spark, d, "conversations")).where("text is not null")
-    raw = F.concat(F.lit("From: "), "role", F.lit("@example.org\nTo: you@example.org\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\nDate: Mon, 01 Jan 2024 00:00:00 +0000\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text")
-    return c.select(F.concat_ws("_", F.lit("conv"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".eml"))).alias("file_path"), raw.cast("binary").alias("content"))
+    """A message for each row; what is null is empty."""
+    c = spread(table(spark, d, "conversations"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # the date: a day of 2024 and a second of it
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.coalesce(F.col("conv_id") * 7 % 366, F.lit(0)).cast("int")), "dd MMM yyyy")
+    raw = F.concat(F.lit("From: "), said("role"), F.lit("@example.org\nTo: you@example.org\nSubject: Turn "), said("turn"), F.lit("\nDate: "), day, F.format_string(" 10:00:%02d +0000", F.coalesce(F.col("turn") % 60, F.lit(0)).cast("int")), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), said("text"))
+    return c.select(F.concat_ws("_", F.lit("conv"), said("conv_id"), F.concat(said("turn"), F.lit(".eml"))).alias("file_path"), raw.cast("binary").alias("content"))
 
 
 @query(_MAIL)
@@ -914,23 +926,57 @@ def inbox_filter(spark, d):
     return tableview.inbox(mail.messages(_mail(spark, d)), "la").select("archive", "subject")
 
 
+@query(f"""WITH m AS ({_MAIL.replace(" FROM conversations", ", DATE '2024-01-01' + coalesce(conv_id * 7 % 366, 0)::INT AS day, coalesce(turn % 60, 0) AS second FROM conversations")})
+SELECT archive, subject, strftime(day, '%Y-%m-%d') AS day FROM m ORDER BY day DESC, second DESC, archive, message_index LIMIT 50""")
+def inbox_newest(spark, d):
+    """The first page of the inbox: newest messages first."""
+    return tableview.page(tableview.inbox(mail.messages(_mail(spark, d))), 1).select("archive", "subject", F.date_format("sent", "yyyy-MM-dd").alias("day"))
+
+
+_BOXES = "b AS (SELECT 'box_' || conv_id || '_' || turn || CASE turn % 5 WHEN 0 THEN '.pst' WHEN 1 THEN '.msg' WHEN 2 THEN '.eml' WHEN 3 THEN '.txt' ELSE '.mbox' END AS path, conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
+
+
+@query(f"WITH {_BOXES} SELECT path AS archive, 0 AS message_index, 'format not supported: ' || regexp_extract(path, '([^.]*)$', 1) AS error FROM b WHERE turn % 5 < 2 UNION ALL SELECT path, 0, NULL FROM b WHERE turn % 5 IN (2, 4)")
+def mail_errors(spark, d):
+    """Messages of all kinds of archives together; a row with an error for those that have no reader."""
+    path = F.concat_ws("_", F.lit("box"), "conv_id", F.concat(F.col("turn").cast("string"), F.element_at(F.array(*map(F.lit, (".pst", ".msg", ".eml", ".txt", ".mbox"))), (F.col("turn") % 5 + 1).cast("int"))))
+    boxes = table(spark, d, "conversations").where("conv_id is not null and turn is not null").select(path.alias("file_path"), F.lit("From x\nSubject: a\n\nb").cast("binary").alias("content"))
+    return mail.messages(boxes).select("archive", "message_index", "error")
+
+
+@query(f"WITH {_BOXES} SELECT DISTINCT 'case' || (conv_id % 7) AS case_name, path AS file_path, regexp_extract(path, '([^.]*)$', 1) AS format FROM b WHERE turn % 5 <> 3")
+def mail_archives(spark, d):
+    """The mail archives among listed files, some of which are listed twice."""
+    path = F.concat_ws("_", F.lit("box"), "conv_id", F.concat(F.col("turn").cast("string"), F.element_at(F.array(*map(F.lit, (".pst", ".msg", ".eml", ".txt", ".mbox"))), (F.col("turn") % 5 + 1).cast("int"))))
+    listed = table(spark, d, "conversations").where("conv_id is not null and turn is not null").select(F.concat(F.lit("case"), (F.col("conv_id") % 7).cast("string")).alias("case_name"), path.alias("file_path"), F.lit(1).alias("size"))
+    return mail.archives(listed.unionAll(listed)).select("case_name", "file_path", "format")
+
+
+@query("""SELECT c_custkey, round(CASE WHEN c_custkey % 4 < 2 THEN 1 ELSE -1 END * (c_custkey % 90 + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey * 7 % 6000) / 100.0::DOUBLE / 3600.0::DOUBLE), 9) AS degrees FROM customer""")
+def decimal_degrees(spark, d):
+    """Degrees, minutes and seconds as one number, of all four hemispheres."""
+    k = F.col("c_custkey")
+    side = F.element_at(F.array(*map(F.lit, "NESW")), (k % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", F.round(tx.decimal_degrees(k % 90, k % 60, (k * 7 % 6000) / 100.0, side), 9).alias("degrees"))
+
+
 @query("""
 SELECT file_name || '_chunk_' || (k + 1) AS file_name, k + 1 AS chunk_no, length(part) AS characters FROM (
   SELECT file_name, k, decode(array_slice(c, k * 512 + 1, k * 512 + 512)) AS part FROM (
-    SELECT file_name, c, unnest(range(0, (octet_length(c) + 511) // 512)) AS k FROM (SELECT 'page_' || page_id AS file_name, encode(url || ' ' || repeat('abc ', (page_id % 500)::INT)) AS c FROM pages WHERE url IS NOT NULL)))
+    SELECT file_name, c, unnest(range(0, (octet_length(c) + 511) // 512)) AS k FROM (SELECT 'page_' || page_id AS file_name, encode(coalesce(url, '') || ' ' || repeat('abc ', (page_id % 500)::INT)) AS c FROM pages)))
 WHERE trim(part) <> ''
 """)
 def binary_parts(spark, d):
-    p = table(spark, d, "pages").where("url is not null")
-    body = F.concat("url", F.lit(" "), F.repeat(F.lit("abc "), (F.col("page_id") % 500).cast("int")))
+    p = table(spark, d, "pages")
+    body = F.concat(F.coalesce("url", F.lit("")), F.lit(" "), F.repeat(F.lit("abc "), (F.col("page_id") % 500).cast("int")))
     files = p.select(F.lit("case").alias("case_name"), F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file_name"), F.col("page_id").alias("ord"), body.cast("binary").alias("content"))
     return binary_chunks(files, 512).select("file_name", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").cast("long").alias("characters"))
 
 
-@query("SELECT item_id, text AS hidden FROM benchmark WHERE text IS NOT NULL")
+@query("SELECT item_id, coalesce(text, '') AS hidden FROM benchmark")
 def hidden_messages(spark, d):
     """Texts hidden in pixels and read back."""
-    b = table(spark, d, "benchmark").where("text is not null").withColumn("data", F.col("text").cast("binary"))
+    b = table(spark, d, "benchmark").withColumn("data", F.coalesce("text", F.lit("")).cast("binary"))
     images = b.select("item_id", "data", F.transform(F.sequence(F.lit(1), (F.octet_length("data") + 64) * 8), lambda i: (i * 37 % 256).cast("int")).alias("blue"))
     return stego.extract(stego.embed(images).drop("data", "error")).select("item_id", F.col("data").cast("string").alias("hidden"))
 
@@ -982,6 +1028,20 @@ def nested_json(spark, d):
     return sinks.nested(found(spark, d))
 
 
+@query(f"""WITH {URL_FOUND}, c AS (SELECT *, lower(regexp_extract(value, '://([^/?#:]+)', 1)) AS domain, 'File: ' || file || ' | Position: ' || position AS context FROM (SELECT f.*, (instr(t.text, f.value) - 1) AS position FROM f JOIN t ON t.file_name = f.file AND t.case_name = f.case_name))
+SELECT case_name, domain, count(*) AS urls FROM c GROUP BY ALL""")
+def nested_urls(spark, d):
+    """URLs in the stored document of each case, one level deeper by domain: what stands there, read back."""
+    doc = sinks.nested(url_found(spark, d)).select("case_name", F.from_json("json", "struct<URLs_by_Domain:map<string,map<string,string>>>").alias("j"))
+    return doc.select("case_name", F.explode("j.URLs_by_Domain").alias("domain", "held")).select("case_name", "domain", F.size("held").cast("long").alias("urls"))
+
+
+@query(f"""WITH {URL_FOUND} SELECT 'URLs_by_Domain' AS "Category", lower(regexp_extract(value, '://([^/?#:]+)', 1)) AS "Indicator", count(*) > 0 AS some FROM f GROUP BY 1, 2""")
+def csv_urls(spark, d):
+    """The table of indicators where URLs were found: a row for each domain."""
+    return sinks.csv_rows(url_found(spark, d)).select("Category", "Indicator", (F.length("Context") > 0).alias("some"))
+
+
 # --- files made of table rows ----------------------------------------------------------------------------------------
 
 
