@@ -52,7 +52,8 @@ def extracted(texts: DataFrame, target: str, categories: list[str] | None = None
     merged = extract.merged(places)
     found = extract.described(extract.drop_part_emails(extract.cut(merged)))
     found.write.mode("overwrite").parquet(target)
-    counts, processed = seen.get, held.get["processed"]
+    # a plan that is empty from the start runs nothing that could be observed
+    counts, processed = ({k: 0 for k in ("files", *KINDS)}, 0) if texts.isEmpty() else (seen.get, held.get["processed"])
     failed = sum(counts[k] for k in KINDS)
     told = {"files_processed": processed, "files_failed": failed, **{f"files_failed_{k}": counts[k] for k in KINDS}, "files_skipped": counts["files"] - failed - processed}
     return texts.sparkSession.read.parquet(target), {**{k: str(v) for k, v in told.items()}, "processing_time_seconds": f"{time.monotonic() - began:.2f}"}
