@@ -202,11 +202,12 @@ CASES = [
 _ROWS = ", ".join(f"({i}, {sql.q(c)}, {sql.q(v)}, {p})" for i, (c, _, want) in enumerate(CASES) for v, p in want)
 
 
-@query(f"SELECT * FROM (VALUES {_ROWS}) v(case_no, category, value, position)")
+@query(f"SELECT p_partkey, v.* FROM part JOIN (VALUES {_ROWS}) v(case_no, category, value, position) ON p_partkey % {len(CASES)} = case_no")
 def pattern_cases(spark, d):
-    """Every pattern on literal texts; each text is read by its own category."""
-    rows = spark.createDataFrame([(i, c, t) for i, (c, t, _) in enumerate(CASES)], "case_no int, own string, text string")
-    return extract.matches(rows).where("category = own").select("case_no", "category", "value", "position")
+    """A literal text for each part, all of them by turns; each text is read by its own category."""
+    texts = F.array(*(F.struct(F.lit(i).alias("case_no"), F.lit(c).alias("own"), F.lit(t).alias("text")) for i, (c, t, _) in enumerate(CASES)))
+    rows = spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", F.get(texts, (F.col("p_partkey") % len(CASES)).cast("int")).alias("c")).select("p_partkey", "c.*")
+    return extract.matches(rows).where("category = own").select("p_partkey", "case_no", "category", "value", "position")
 
 
 _MAILS = "m AS (SELECT c_nationkey::VARCHAR AS case_name, 'Email_Addresses' AS category, repeat('x', (c_custkey % 3)::INT) || 'user' || (c_custkey % 97) || '@mail.example.org' AS value FROM customer)"
@@ -983,16 +984,18 @@ def hidden_messages(spark, d):
 
 @query("""
 WITH RECURSIVE z AS (
-  SELECT x, y, (x::DOUBLE / 95 * 2 - 1) * 1.5::DOUBLE AS a, (y::DOUBLE / 63 * 2 - 1) * 1.5::DOUBLE AS b, 0 AS n, TRUE AS inside FROM range(96) r(x), range(64) s(y)
+  SELECT r_regionkey, x, y, (x::DOUBLE / 95 * 2 - 1) * 1.5::DOUBLE AS a, (y::DOUBLE / 63 * 2 - 1) * 1.5::DOUBLE AS b, 0 AS n, TRUE AS inside FROM region, range(96) r(x), range(64) s(y)
   UNION ALL
-  SELECT x, y, a2, b2, n + CASE WHEN a2 * a2 + b2 * b2 <= 4 THEN 1 ELSE 0 END, a2 * a2 + b2 * b2 <= 4 FROM (SELECT x, y, n, a * a - b * b + (-0.4)::DOUBLE AS a2, 2 * a * b + 0.6::DOUBLE AS b2 FROM z WHERE inside AND n < 100)
-), s AS (SELECT x::INT AS x, y::INT AS y, max(n)::INT AS steps FROM z GROUP BY ALL)
-SELECT x, y, steps, (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.09::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS red, (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.05::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS green,
+  SELECT r_regionkey, x, y, a2, b2, n + CASE WHEN a2 * a2 + b2 * b2 <= 4 THEN 1 ELSE 0 END, a2 * a2 + b2 * b2 <= 4 FROM (SELECT r_regionkey, x, y, n, a * a - b * b - r_regionkey::DOUBLE / 10 AS a2, 2 * a * b + 0.6::DOUBLE AS b2 FROM z WHERE inside AND n < 100)
+), s AS (SELECT r_regionkey, x::INT AS x, y::INT AS y, max(n)::INT AS steps FROM z GROUP BY ALL)
+SELECT r_regionkey, x, y, steps, (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.09::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS red, (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.05::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS green,
   (CASE WHEN steps = 100 THEN 0 ELSE floor(9 * (1 - cos(steps * 0.03::DOUBLE)) * 127.5::DOUBLE)::INT % 256 END)::INT AS blue FROM s
 """)
 def fractal(spark, d):
-    px = stego.julia(spark, 96, 64, -0.4, 0.6)
-    return px.select("x", "y", "steps", stego.palette(F.col("steps")).alias("c")).select("x", "y", "steps", "c.*")
+    """A large picture for each region, of a number made of its key."""
+    numbers = table(spark, d, "region").select("r_regionkey", (-F.col("r_regionkey") / 10.0).cast("double").alias("real"), F.lit(0.6).alias("imaginary"))
+    px = stego.julia_of(numbers, 96, 64)
+    return px.select("r_regionkey", "x", "y", "steps", stego.palette(F.col("steps")).alias("c")).select("r_regionkey", "x", "y", "steps", "c.*")
 
 
 @query("""
