@@ -63,12 +63,10 @@ def start(texts: DataFrame, checkpoint: str, target: str | None = None, once: bo
     """Starts the stream. With `target`, each batch's changes are written below it, under the batch's number: a batch that is repeated writes the same folder again."""
 
     def each(rows: DataFrame, batch: int) -> None:
-        if target is None:
-            rows.write.format("noop").mode("overwrite").save()
-        else:
-            rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
-    writer = changes(texts).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = changes(texts).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(each) if target else writer.format("noop")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
