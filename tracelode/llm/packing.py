@@ -26,7 +26,7 @@ import base64
 import io
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the 50k byte-level vocabulary cuts text before merging (a fixed value of that vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SCHEMA = "pack_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{id}>, pieces array<int>"
+SHARDS = "shard string, rows long"
 SHARD_ROWS = 2048
+BATCH_ROWS = 256
 _LOADED: dict[str, object] = {}
 
 
@@ -116,10 +118,13 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 50256, pad_id: int = 50256, window: int = 1 << 20) -> DataFrame:
-    """Packs doc_id, text. Deterministic for the same input partitions."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def _packer(length: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 50256, pad_id: int = 50256, window: int = 1 << 20) -> Callable[[Batches], Batches]:
+    """What makes a partition's packed rows of its doc_id, text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         enc, part, made = encoding(tokenizer), TaskContext.get().partitionId(), 0
         kind = np.dtype("<u2") if max(enc.n_vocab, end_id + 1, pad_id + 1) <= 1 << 16 else np.dtype("<u4")
         where = np.dtype("<u2") if length <= 1 << 16 else np.dtype("<u4")
@@ -157,7 +162,20 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER, end_id
         if segs:
             yield flush()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return run
+
+
+def _input(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+
+def _schema(docs: DataFrame) -> StructType:
+    return StructType.fromDDL(SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
+
+
+def pack(docs: DataFrame, length: int = 2048, **how) -> DataFrame:
+    """Packs doc_id, text. Deterministic for the same input partitions."""
+    return _input(docs).mapInArrow(_packer(length, **how), _schema(docs))
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -166,12 +184,10 @@ def unpacked(packed: DataFrame) -> DataFrame:
     return packed.select("pack_id", F.inline(seg)).withColumnsRenamed({"doc_ids": "doc_id", "pieces": "piece"})
 
 
-def write_shards(packed: DataFrame, uri: str, length: int = 2048, rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes each partition's rows of `length` tokens, so many to a file, under `uri`, which every executor must reach: shard (file name), rows.
-
-    A file gets its name, that of its partition and number, only when whole, so a repeated task leaves no half and no second."""
+def _writer(uri: str, length: int, rows: int) -> Callable[[Batches], Batches]:
+    """What writes a partition's packed rows, and gives the names of its files and how many rows each holds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
         part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
@@ -205,26 +221,36 @@ def write_shards(packed: DataFrame, uri: str, length: int = 2048, rows: int = SH
         if n:
             yield end()
 
-    return packed.mapInArrow(run, "shard string, rows long")
+    return run
+
+
+def write_shards(packed: DataFrame, uri: str, length: int = 2048, rows: int = SHARD_ROWS) -> DataFrame:
+    """Writes each partition's rows of `length` tokens, so many to a file, under `uri`, which every executor must reach: shard (file name), rows.
+
+    A file gets its name, that of its partition and number, only when whole, so a repeated task leaves no half and no second."""
+    return packed.mapInArrow(_writer(uri, length, rows), SHARDS)
 
 
 def read_shards(spark: SparkSession, uri: str, schema: StructType) -> DataFrame:
-    """The packed rows (of `schema`, that of `pack`) as the files under `uri` hold them."""
+    """The packed rows (of `schema`, that of `pack`) as the files under `uri` hold them.
+
+    Spark lists the files and deals them out by size; a task reads one matrix at a time, and no file is ever a row."""
+    names = schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
+        fs, root = pafs.FileSystem.from_uri(uri)
         for b in batches:
-            for raw in b.column(0):
-                with np.load(io.BytesIO(raw.as_buffer())) as z:
+            for name in b.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as f, np.load(f) as z:
                     t = pa.ipc.open_stream(z["segments"].tobytes()).read_all()
                     for c in ("ids", "positions"):
                         m = z[c]
                         ends = np.arange(len(m) + 1, dtype=np.int32) * m.itemsize * m.shape[1]
                         t = t.append_column(c, pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends), pa.py_buffer(m)]))
-                yield from t.select(names).to_batches()
+                yield from t.select(names).to_batches(BATCH_ROWS)
 
-    names = schema.names
     files = spark.read.format("binaryFile").option("pathGlobFilter", "packed-*.npz").load(uri)
-    return files.select("content").mapInArrow(run, schema)
+    return files.select(F.substring_index("path", "/", -1).alias("shard")).mapInArrow(run, schema)
 
 
 def packed_files(docs: DataFrame, uri: str | None = None, length: int = 2048, **how) -> DataFrame:
@@ -232,7 +258,8 @@ def packed_files(docs: DataFrame, uri: str | None = None, length: int = 2048, **
     spark = docs.sparkSession
     root = uri or f"{shared_dir(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
     root = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    packed = pack(docs, length, **how)
-    if cut(write_shards(packed, root, length)).isEmpty():
-        return spark.createDataFrame([], packed.schema)
-    return read_shards(spark, root, packed.schema)
+    pack_rows, write, schema = _packer(length, **how), _writer(root, length, SHARD_ROWS), _schema(docs)
+    # one worker a task does both: packed rows don't go back to the JVM between
+    if cut(_input(docs).mapInArrow(lambda batches: write(pack_rows(batches)), SHARDS)).isEmpty():
+        return spark.createDataFrame([], schema)
+    return read_shards(spark, root, schema)
