@@ -636,6 +636,19 @@ def test_simhash_messy(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0 and simhash.drop_near_copies(empty(spark)).count() == 0
 
 
+def planned(df):
+    """The plan of a table as it ran, after adaptive execution."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_simhash_joins_pass_no_table_through_the_driver(spark, docs):
+    prints = simhash.fingerprints(docs.select("doc_id", "text")).select("fp").distinct()
+    for df in (simhash.links(prints), simhash.simhash_groups(docs)):
+        plan = planned(df)
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_copies_of_rows_that_share_ids(spark):
     """One row of each group against a plain version; rows that share an id but not the text are documents of their own."""
     a, b, c = "the first text of all that stands here", "an unrelated one with other words in it", "and a third which is like neither of them"

@@ -13,7 +13,9 @@ of n in random places (15 million for a million, which is little; 1.5 billion fo
 written, m^2 / 2 for m distinct fingerprints that are all within the distance of each other.
 
 Keys that very many edges share are few, and are joined by a broadcast of their own (bounded by a share of all edges); what is
-joined back by component is written first, so that adaptive execution can split a large component.
+joined back by component is written first, so that adaptive execution can split a large component. All other joins have sides that grow
+with the documents and are merges by a hint: adaptive execution would otherwise broadcast a side of up to 10 MB of shuffled bytes, which
+is a table of hundreds of megabytes in the driver.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; very long texts are read whole, a batch of about
 8 MB at a time; `simhash_groups` keeps repeated rows; rows with a null id take part, and the component's id is the smallest
@@ -106,21 +108,21 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     a = nodes.select(F.col("fp").alias("u"), F.inline(whole))
     b = nodes.select(F.col("fp").alias("v"), F.inline(whole)).withColumnRenamed("seg", "seg2").withColumnRenamed("key", "key2")
-    same = a.join(b, (F.col("seg") == F.col("seg2")) & (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & near("u", "v") & first("u", "v", "seg")).select("u", "v")
+    same = a.join(b.hint("merge"), (F.col("seg") == F.col("seg2")) & (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & near("u", "v") & first("u", "v", "seg")).select("u", "v")
     spread = nodes.select("fp", F.inline(variants))
     zero = spread.where("side = 0").select(F.col("fp").alias("u"), "seg", "bit", "key")
     one = spread.where("side = 1").select(F.col("fp").alias("v"), F.col("seg").alias("seg2"), F.col("bit").alias("bit2"), F.col("key").alias("key2"))
-    apart = zero.join(one, (F.col("seg") == F.col("seg2")) & (F.col("bit") == F.col("bit2")) & (F.col("key") == F.col("key2")) & near("u", "v") & first("u", "v", "seg"))
+    apart = zero.join(one.hint("merge"), (F.col("seg") == F.col("seg2")) & (F.col("bit") == F.col("bit2")) & (F.col("key") == F.col("key2")) & near("u", "v") & first("u", "v", "seg"))
     return same.unionAll(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
 
 
 def _by_key(rows: DataFrame, found: DataFrame, many: int | None) -> DataFrame:
     """`rows` joined with `found` (u, m, n: how many rows have that u) on u; keys of more than `many` rows, if there are any, by a broadcast."""
     if many is None:
-        return rows.join(found.select("u", "m"), "u")
+        return rows.join(found.select("u", "m").hint("merge"), "u")
     hot = found.where(F.col("n") > many).select("u", "m")
     direct = rows.join(F.broadcast(hot), "u")
-    rest = rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(found.where(F.col("n") <= many).select("u", "m"), "u")
+    rest = rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(found.where(F.col("n") <= many).select("u", "m").hint("merge"), "u")
     return direct.select(*rows.columns, "m").unionAll(rest.select(*rows.columns, "m"))
 
 
@@ -151,7 +153,7 @@ def _rooted(prints: DataFrame, best: Column, distance: int) -> DataFrame:
     """fp, root and best (an aggregate of the rows of a fingerprint), a row for each distinct fingerprint."""
     nodes = cut(prints.groupBy("fp").agg(best.alias("best")))
     roots = components(links(nodes.select("fp"), distance))
-    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -159,8 +161,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Data
     prints = cut(fingerprints(docs.select("doc_id", "text"), shingle))
     rooted = cut(_rooted(prints, F.min("doc_id"), distance))
     smallest = cut(rooted.groupBy("root").agg(F.min("best").alias("component_id")))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
