@@ -649,6 +649,11 @@ def test_simhash_joins_pass_no_table_through_the_driver(spark, docs):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_dropping_near_copies_passes_no_table_through_the_driver(spark, docs):
+    plan = planned(simhash.drop_near_copies(docs))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_copies_of_rows_that_share_ids(spark):
     """One row of each group against a plain version; rows that share an id but not the text are documents of their own."""
     a, b, c = "the first text of all that stands here", "an unrelated one with other words in it", "and a third which is like neither of them"

@@ -176,4 +176,4 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Da
     rooted = _rooted(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), distance)
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key.a").alias("a"), F.col("best.key.b").alias("b"))
     keyed = rows.withColumn("key", row_key(own, text)).select("*", "key.a", "key.b").drop("key")
-    return keyed.dropDuplicates(["a", "b"]).join(kept, ["a", "b"], "left_semi").drop("a", "b").toDF(*docs.columns)
+    return keyed.dropDuplicates(["a", "b"]).join(kept.hint("merge"), ["a", "b"], "left_semi").drop("a", "b").toDF(*docs.columns)
