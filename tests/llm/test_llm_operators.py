@@ -23,6 +23,12 @@ def messy(spark, texts=None):
     return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, k, None, 0, 1, 2, "t", 3, 4, 5, None) for k, (i, t) in enumerate(rows)], CLASH)
 
 
+def planned(df):
+    """The plan of a table as it ran, after adaptive execution."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def empty(spark):
     return spark.createDataFrame([], CLASH)
 
@@ -582,6 +588,13 @@ def brute_groups(prints):
     return {i: find(i) for i in ids}
 
 
+def test_search_passes_no_vectors_through_the_driver(spark):
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
+    plan = planned(ann.search(vectors, F.col("vec_id") % 50 == 0))
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan.split("MapInPandas")[0]
+
+
 def test_simhash_against_brute_force(spark, docs):
     want = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
     out = simhash.simhash_groups(docs).collect()
@@ -636,12 +649,6 @@ def test_simhash_messy(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0 and simhash.drop_near_copies(empty(spark)).count() == 0
 
 
-def planned(df):
-    """The plan of a table as it ran, after adaptive execution."""
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-
-
 def test_simhash_joins_pass_no_table_through_the_driver(spark, docs):
     prints = simhash.fingerprints(docs.select("doc_id", "text")).select("fp").distinct()
     for df in (simhash.links(prints), simhash.simhash_groups(docs)):

@@ -57,7 +57,7 @@ class Index:
         width = self.books.shape[2]
         codes = np.empty((len(r), len(self.books)), np.uint8)
         for p, book in enumerate(self.books):
-            codes[:, p] = ((book**2).sum(1)[None] - 2 * r[:, p * width : (p + 1) * width] @ book.T).argmin(1)
+            codes[:, p] = _nearest(r[:, p * width : (p + 1) * width], book)
         return codes
 
     def coded(self, codes: np.ndarray) -> np.ndarray:
@@ -80,10 +80,16 @@ class Index:
         return np.partition(d, m, 1)[:, m]
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, of so many rows at a time that their distances fill some megabytes."""
+    norms, rows = (c**2).sum(1)[None], max(64, (2 << 20) // len(c))
+    return np.concatenate([(norms - 2 * x[i : i + rows] @ c.T).argmin(1) for i in range(0, len(x), rows)])
+
+
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = np.concatenate([((c**2).sum(1)[None] - 2 * x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)])
+        own = _nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         order = np.argsort(own, kind="stable")
         some = np.flatnonzero(n)
@@ -111,17 +117,19 @@ def fit(x: np.ndarray, n: int, parts: int = 32, recall: float = 0.945, k: int =
     coarse = _means(x, cells, rng)
     while x.shape[1] % parts:
         parts -= 1
-    nearest = lambda y: np.concatenate([((coarse**2).sum(1)[None] - 2 * y[i : i + 4096] @ coarse.T).argmin(1) for i in range(0, len(y), 4096)])
-    own = nearest(x)
+    own = _nearest(x, coarse)
     r, width = x - coarse[own], x.shape[1] // parts
     some = r[rng.permutation(len(r))[:4096]]
     books = np.stack([np.resize(_means(some[:, p * width : (p + 1) * width], min(256, len(some)), rng, 6), (256, width)) for p in range(parts)])
     index = Index(coarse, books, cells, x, max(8, int(np.ceil(1.5 * rerank * len(x) / n))))
     index.near = coarse[own] + index.coded(index.encode(r))
     ask = rng.permutation(len(x))[:256]
-    sims = x[ask] @ x.T
-    sims[np.arange(len(ask)), ask] = -9
-    best = np.argsort(-sims, 1)[:, : min(k, len(x) - 1)]
+    best = []
+    for q in ask:
+        sims = x @ x[q]
+        sims[q] = -9
+        best.append(np.argsort(-sims, kind="stable")[: min(k, len(x) - 1)])
+    best = np.array(best, np.int64)
     if best.size:
         rank = np.argsort(np.argsort(index.away(x[ask]), 1, kind="stable"), 1)
         seen = rank[np.arange(len(ask))[:, None], own[best]]  # how many cells a query must visit to see each neighbour
@@ -161,9 +169,9 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
     known = cut(classes(rows, k).select(F.monotonically_increasing_id().alias("class_id"), "ids", "v"))
     n = known.count()
     size = int(min(most_sampled, max(sample, 32 * n**0.5)))
-    few = sampled(known, size, F.element_at("ids", 1)).orderBy("v").select("v").toArrow().column(0)
+    few = sampled(known, size, F.element_at("ids", 1)).orderBy("v").select("v").toArrow().column(0).combine_chunks()
     asked = rows.where(is_query).count()
-    index = fit(np.array(few.to_pylist()), n, parts, recall, k, rerank, asked)
+    index = fit(few.flatten().to_numpy(zero_copy_only=False).reshape(len(few), -1), n, parts, recall, k, rerank, asked)
     cells = len(index.coarse)
 
     def place(batches):
@@ -193,7 +201,7 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
                 yield pd.DataFrame({"cell": cell.astype(np.int32), "asker": b["asker"].to_numpy()[row], "q": [raw[i] for i in row], "base": d[row, cell].astype(np.float32), "most": index.limits(q)[row].astype(np.float32), "must": at < need[row]})
 
     # queries that are equal ask once: the class of the vector asks, for its members
-    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(known.select("class_id", F.col("v").alias("cv")), F.col("v") == F.col("cv"))
+    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(known.select("class_id", F.col("v").alias("cv")).hint("merge"), F.col("v") == F.col("cv"))
     members = cut(asking.select(F.col("class_id").alias("asker"), "query_id", "v").distinct())
     probe = members.select("asker", "v").dropDuplicates(["asker"]).mapInPandas(visit, "cell int, asker long, q binary, base float, most float, must boolean")
     # how many blocks and groups each cell has: one row per cell
@@ -233,7 +241,8 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
     top = parts_of.groupBy("asker").agg(best_of(F.flatten(F.collect_list("top"))).alias("top"))
     pairs = top.select("asker", F.explode("top.class_id").alias("class_id"))
     askers = known.select(F.col("class_id").alias("asker"), F.col("v").alias("q"))
-    exact = pairs.join(askers, "asker").join(known.select("class_id", "ids", "v"), "class_id")
+    # merges: a broadcast of pairs, vectors or results would pass through the driver, and they grow with the queries
+    exact = pairs.join(askers.hint("merge"), "asker").join(known.select("class_id", "ids", "v").hint("merge"), "class_id")
 
     def score(batches):
         for b in batches:
@@ -244,6 +253,6 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
 
     scored = exact.select("asker", "class_id", "ids", "v", "q").mapInPandas(score, "asker long, class_id long, ids array<long>, far double")
     near = scored.select("asker", "class_id", "far", F.explode("ids").alias("vec_id")).groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id", "class_id"))).alias("near"))
-    best = members.select("asker", "query_id").join(near, "asker")
+    best = members.select("asker", "query_id").join(near.hint("merge"), "asker")
     best = best.select("query_id", F.slice(F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["class_id"] != F.col("asker"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
