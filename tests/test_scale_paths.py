@@ -78,3 +78,9 @@ def test_links_at_one_remove_name_the_smallest_project(spark):
             if v != "v1" and via:
                 want[p] = min(want.get(p, (v, min(via))), (v, min(via)))
     assert got == want and want
+
+
+def test_device_texts_are_dealt_out_over_all_cores(spark):
+    from tracelode.plans import queries
+
+    assert queries.device_texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
