@@ -84,3 +84,23 @@ def test_device_texts_are_dealt_out_over_all_cores(spark):
     from tracelode.plans import queries
 
     assert queries.device_texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_points_of_pictures_step_in_batches(spark):
+    from tracelode.operators import stego
+
+    numbers = [(k, re, im) for k, (re, im) in enumerate([(-0.7, 0.27), (0.3, 0.5), (0.0, 0.0), (3.0, 3.0), (1e200, -1e200), (-0.123, 0.745)])] + [(9, None, 0.1)]
+    px = stego.julia_of(spark.createDataFrame(numbers, "k long, real double, imaginary double"), 9, 7, 40)
+
+    def plain(x, y, re, im):
+        a, b = (x / 8 * 2 - 1) * 1.5, (y / 6 * 2 - 1) * 1.5
+        for n in range(40):
+            a, b = a * a - b * b + re, 2 * a * b + im
+            if not a * a + b * b <= 4:
+                return n
+        return 40
+
+    want = {(k, x, y): plain(x, y, re, im) for k, re, im in numbers if re is not None for x in range(9) for y in range(7)}
+    assert {(r.k, r.x, r.y): r.steps for r in px.collect()} == want
+    # no step is a row's own expression
+    assert "ArrowEvalPython" in px._jdf.queryExecution().executedPlan().toString()

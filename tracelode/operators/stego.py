@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +54,24 @@ def parse_complex(text: Column | str) -> Column:
 
 
 def _steps(zx: Column, zy: Column, real: Column, imaginary: Column, most: int) -> Column:
-    """The iteration (from 0) after which a point is beyond radius 2, or `most`."""
-
-    def step(acc: Column, _: Column) -> Column:
-        a, b = acc["a"] * acc["a"] - acc["b"] * acc["b"] + real, 2 * acc["a"] * acc["b"] + imaginary
-        stays = F.when(acc["in"], a * a + b * b <= 4).otherwise(False)
-        return F.struct(F.when(acc["in"], a).otherwise(acc["a"]).alias("a"), F.when(acc["in"], b).otherwise(acc["b"]).alias("b"), stays.alias("in"), (acc["n"] + stays.cast("int")).alias("n"))
-
-    begin = F.struct(zx.cast("double").alias("a"), zy.cast("double").alias("b"), F.lit(True).alias("in"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)["n"]
+    """The iteration (from 0) after which a point is beyond radius 2, or `most`; a batch of points takes each step at once, those that have left take none."""
+
+    @F.pandas_udf("int")
+    def steps(a: pd.Series, b: pd.Series, re: pd.Series, im: pd.Series) -> pd.Series:
+        z, n = [c.to_numpy(np.float64) for c in (a, b, re, im)], np.zeros(len(a), np.int32)
+        at = np.arange(len(n))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for _ in range(most):
+                x, y, u, v = z
+                x, y = x * x - y * y + u, 2 * x * y + v
+                stays = x * x + y * y <= 4
+                z, at = [c[stays] for c in (x, y, u, v)], at[stays]
+                if not len(at):
+                    break
+                n[at] += 1
+        return pd.Series(n)
+
+    return steps(zx.cast("double"), zy.cast("double"), real.cast("double"), imaginary.cast("double"))
 
 
 def julia_of(parameters: DataFrame, width: int, height: int, most: int = 100, span: float = 1.5) -> DataFrame:
