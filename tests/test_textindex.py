@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from tracelode.operators import search, textindex
 
@@ -33,3 +34,15 @@ def test_an_index_of_nothing(spark, tmp_path):
     path = str(tmp_path / "index")
     textindex.build(spark.createDataFrame([("/e/1.txt", None)], "file_path string, text string"), path)
     assert textindex.search(spark, path, ["any", "a"]).count() == 0
+
+
+def test_postings_are_few_rows_of_many_texts(spark, tmp_path):
+    """A run that all texts have is a row for a block of texts, not one for each of them; runs are those of each text alone."""
+    path = str(tmp_path / "index")
+    texts = spark.range(4000).select(F.format_string("/e/%d.txt", "id").alias("file_path"), F.format_string("all have this %04d", "id").alias("text"))
+    textindex.build(texts, path, 4)
+    stored = spark.read.parquet(f"{path}/postings")
+    pairs = stored.select("run", F.explode("file_ids").alias("file_id"))
+    want = texts.select(F.xxhash64("file_path").alias("file_id"), F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.upper(F.substring("text", i, F.lit(3))))).alias("run")).distinct()
+    assert pairs.count() == want.count() == pairs.distinct().count() and pairs.select("run").distinct().count() == want.select("run").distinct().count()
+    assert stored.where(F.size("file_ids") > 100).count() > 0 and stored.count() < pairs.count() / 4
