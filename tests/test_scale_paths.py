@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -104,3 +105,16 @@ def test_points_of_pictures_step_in_batches(spark):
     assert {(r.k, r.x, r.y): r.steps for r in px.collect()} == want
     # no step is a row's own expression
     assert "ArrowEvalPython" in px._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_values_that_stand_once_twice_and_within_others(spark):
+    """Whether a value is looked up or found by a second pass, its place is the match's; no pass compiles its pattern for each text."""
+    rng = random.Random(7)
+    words = ["ab1", "ab12", "xab1", "ab1 ", "é", "😀", "\n", " ", "ab3.", "İ", "ab1ab1"]
+    rows = [(i, "".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(400)] + [(400, "ab5 " * 3000), (401, None), (402, "")]
+    texts = spark.createDataFrame(rows, "n long, text string")
+    pattern = r"(?dimU)\bab\d\b"
+    got = texts.select("n", F.inline(extract.occurrences("c", pattern))).groupBy("n").agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("m"))
+    want = {n: [(m.start(), m[0]) for m in re.finditer(r"\bab\d\b", t or "", re.I | re.M)] for n, t in rows}
+    assert {r.n: [tuple(x) for x in r.m] for r in got.collect()} == {n: m for n, m in want.items() if m}
+    assert "split(" not in texts.select(extract.occurrences("c", pattern))._jdf.queryExecution().optimizedPlan().toString()

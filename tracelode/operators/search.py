@@ -22,7 +22,7 @@ def search(texts: DataFrame, terms: list[str], around: int = 50, extensions: lis
     if not terms or not terms[0]:
         terms = []
     pairs = [(terms[0], f"(?iU){terms[0]}")] if regex and terms else [(t, "(?iU)\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in terms if t]
-    each = [occurrences(t, p) for t, p in pairs] or [F.array().cast("array<struct<category:string,value:string,position:int>>")]
+    each = [occurrences(t, p, empty=regex) for t, p in pairs] or [F.array().cast("array<struct<category:string,value:string,position:int>>")]
     hits = rows.where("text is not null").select("file_path", "text", "archive_depth", F.inline(F.concat(*each)))
     return hits.select("file_path", F.col("category").alias("search_string"), F.col("position").alias("match_position"), tx.one_line(tx.window("text", "position", F.length("value"), around)).alias("context"), "archive_depth")
 
