@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -286,6 +287,30 @@ def test_secret_rules(spark, cnn):
     assert secrets.findings_of(messy(spark)).count() > 0 and secrets.findings_of(empty(spark)).count() == 0
 
 
+def test_secret_training_counts_every_document(spark, monkeypatch):
+    """Counts, network and threshold come from all documents, whatever tasks and shards they are dealt to."""
+    rng = random.Random(4)
+    word = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    texts = [f"{word('abcdefghij', 14)} {word('klmnopqrst', 70)} {word('uvwxyz0123', 15)}" + (f" token={word('ABCDEF012345', 20)}" if i % 5 == 0 else "") for i in range(5000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "nullidnullidnullid"), (7, None), (8, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    windows = {(k, zlib.crc32(v.encode()), w.tobytes()) for _, t in rows for k, v, ws in secrets.labelled(t or "") for w in ws}
+    held = {x for x in windows if x[1] * 2654435761 % (1 << 32) % 5 == 0}
+    made = [(w, y) for b, v, a, y in secrets.generated() for w in secrets.windows(b + v + a, len(b), len(b) + len(v)) if zlib.crc32(v.encode()) * 2654435761 % (1 << 32) % 5 == 0]
+    monkeypatch.setattr(secrets, "SHARD", 4096)
+    m = secrets.train(docs.repartition(3), epochs=1)
+    assert m.held_out["windows"] == len(held) + len(made)
+    assert m.learned == {name: sum(x[0] == k for x in windows - held) for k, name in enumerate(("plain", "digits", "secret"))} and m.learned["plain"] > 10_000
+    ids = [[np.frombuffer(x[2], np.uint8) for x in held if x[0] == secrets.SECRET], [w for w, y in made if y]]
+    sure = [np.sort(m.probability(m.logits(np.stack(x)))) for x in ids]
+    assert m.threshold == pytest.approx(min(p[int(0.03 * len(p))] for p in sure), abs=0.01)
+    again = secrets.train(docs.repartition(7), epochs=1)
+    assert (again.parameters() == m.parameters()).all() and (again.slope, again.shift, again.threshold) == (m.slope, m.shift, m.threshold)
+    edges = spark.createDataFrame([(h,) for h in (0, 1, 5, (1 << 31) - 1, 1 << 31, (1 << 32) - 1)], "h long")
+    assert all(r.held == (r.h * 2654435761 % (1 << 32) % 5 == 0) for r in edges.select("h", secrets.held_out(F.col("h")).alias("held")).collect())
+    assert set(secrets.train(empty(spark), epochs=1).learned.values()) == {0}
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -76,14 +76,14 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def platt(z: np.ndarray, y: np.ndarray, pull: float = 0.1) -> tuple[float, float]:
+def platt(z: np.ndarray, y: np.ndarray, pull: float = 0.1, weight: np.ndarray | None = None) -> tuple[float, float]:
     """(slope, shift) of the logistic fit of 0/1 labels to logits, drawn towards (1, 0); Newton steps, halved until the loss falls."""
-    a, start = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
-    loss = lambda w: float(np.logaddexp(0, (1 - 2 * y) * (a @ w)).sum() + pull / 2 * ((w - start) ** 2).sum())
+    a, start, many = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0]), np.ones(len(z)) if weight is None else weight
+    loss = lambda w: float((many * np.logaddexp(0, (1 - 2 * y) * (a @ w))).sum() + pull / 2 * ((w - start) ** 2).sum())
     w = start.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(2) * pull, a.T @ (p - y) + pull * (w - start))
+        step = np.linalg.solve((a * (many * p * (1 - p))[:, None]).T @ a + np.eye(2) * pull, a.T @ (many * (p - y)) + pull * (w - start))
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
