@@ -620,6 +620,15 @@ def test_search_passes_no_vectors_through_the_driver(spark):
     assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan.split("MapInPandas")[0]
 
 
+def test_search_leaves_no_join_to_the_sizes_of_its_sides(spark):
+    """Codes and queries grow with the vectors; what is broadcast is the table of cells."""
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
+    joins = [x for x in ann.search(vectors, F.col("vec_id") % 50 == 0)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and all("Hint=(strategy=" in x for x in joins)
+    assert all("(cell#" in x and "rightHint=(strategy=broadcast)" in x for x in joins if "strategy=merge" not in x)
+
+
 def test_simhash_against_brute_force(spark, docs):
     want = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
     out = simhash.simhash_groups(docs).collect()

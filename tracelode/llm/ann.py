@@ -26,7 +26,7 @@ query of its own. Further columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -173,14 +173,17 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
     asked = rows.where(is_query).count()
     index = fit(few.flatten().to_numpy(zero_copy_only=False).reshape(len(few), -1), n, parts, recall, k, rerank, asked)
     cells = len(index.coarse)
+    # the driver holds what a function is sent with, so each gets the parts of the index that it uses
+    placing = replace(index, near=index.near[:0])
+    comparing = replace(placing, coarse=index.coarse[:0])
 
     def place(batches):
         for b in batches:
             if len(b):
                 x = units(np.stack(b["v"]))
-                own = index.away(x).argmin(1)
-                codes = index.encode(x - index.coarse[own])
-                yield pd.DataFrame({"cell": own.astype(np.int32), "class_id": b["class_id"], "ids": b["ids"], "code": [c.tobytes() for c in codes], "term": index.terms(own, codes)})
+                own = placing.away(x).argmin(1)
+                codes = placing.encode(x - placing.coarse[own])
+                yield pd.DataFrame({"cell": own.astype(np.int32), "class_id": b["class_id"], "ids": b["ids"], "code": [c.tobytes() for c in codes], "term": placing.terms(own, codes)})
 
     lists = cut(known.select("class_id", "v", F.size("ids").alias("ids")).mapInPandas(place, "cell int, class_id long, ids int, code binary, term float"))
     held = np.zeros(cells, np.int64)  # ids in each cell, up to k + 1 of a class: one row per cell
@@ -207,7 +210,8 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
     # how many blocks and groups each cell has: one row per cell
     sizes = lists.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = probe.groupBy("cell").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    both = sizes.join(asked, "cell")
+    # this alone is broadcast: left to Spark, lists or queries would be where they are the smaller side or are done first, and they grow with the vectors
+    both = sizes.join(asked.hint("merge"), "cell").hint("broadcast")
     part = lambda key, many: F.pmod(F.xxhash64(key), many.cast("long")).cast("int")
     left = lists.join(both, "cell").withColumn("block", part("class_id", F.col("blocks"))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cell", "block", "grp", "class_id", "code", "term")
     right = probe.join(both, "cell").withColumn("grp", part("asker", F.col("groups"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "grp", "asker", "q", "base", "most", "must")
@@ -218,7 +222,7 @@ def _search(rows: DataFrame, is_query: Column, k: int, parts: int = 32, rerank:
         codes = np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1)
         q = np.frombuffer(b"".join(b["q"]), np.float32).reshape(len(b), -1)
         d = b["base"].to_numpy()[:, None] + a["term"].to_numpy()[None]
-        table = index.tables(q)
+        table = comparing.tables(q)
         for p in range(codes.shape[1]):
             d += np.take(table[:, p], codes[:, p], 1)
         keep = d <= b["most"].to_numpy()[:, None]
