@@ -26,6 +26,14 @@ def texts(spark):
     ], TEXT)
 
 
+def test_place_of_the_match_or_of_the_text(spark):
+    said = [("Email_Addresses", "to abc@def.com or ghi@jkl.org\nto abc@def.com", "abc@def.com", 33, 3), ("URLs", "see http://ab.com/x or ...\n http://ab.com/x", "http://ab.com/x", 28, 4), ("IPv4", "é v1.210.9.8.7 is 10.9.8.7", "10.9.8.7", 18, 6), ("IPv4_with_Port", "99.10.9.8.7:8080 10.9.8.7:8080", "10.9.8.7:8080", 17, 3)]
+    t = spark.createDataFrame([("a", f"{k}.txt", k, x[1]) for k, x in enumerate(said)], TEXT)
+    for standing, column in (((), 3), ([x[0] for x in said], 4)):
+        got = {(r.ord, r.category, r.value): r.position for r in extract.in_file(extract.matches(t, standing=standing), "case_name", "file_name", "ord").collect()}
+        assert [got[k, x[0], x[2]] for k, x in enumerate(said)] == [x[column] for x in said]
+
+
 def test_findings_rules(spark):
     f = {(r.case_name, r.category, r.value): r for r in extract.findings(texts(spark)).collect()}
     ip = f["a", "IPv4", "8.8.8.8"]

@@ -57,5 +57,31 @@ def test_query(spark, duck, name):
         assert sorted(rows, key=str) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+#: Queries that tell where a value stands.
+PLACED = ["context_round_trip", "csv_rows", "export_indicators", "findings", "live_indicators", "master_insert", "master_runs", "nested_json", "report_rows", "stored_findings"]
+
+
+@pytest.fixture(scope="module")
+def refused_first(tmp_path_factory):
+    """Documents in which a value stands, before it is matched, where its pattern refuses it: addresses before another on their line, in a longer number."""
+    texts = ["to abc@def.com or ghi@jkl.org\nto abc@def.com", "v1.210.9.8.7 is 10.9.8.7 or 10.9.8.7", "é 99.10.9.8.6 and 10.9.8.6", None, ""]
+    path = tmp_path_factory.mktemp("refused")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, 'en', ?, 0)", [(i, t, f"s{i % 2}") for i, t in enumerate(texts)])
+    con.sql(f"copy documents to '{path}/documents.parquet'")
+    return con, str(path)
+
+
+@pytest.mark.parametrize("name", PLACED)
+def test_places_as_in_sql(spark, refused_first, name):
+    con, path = refused_first
+    got = QUERIES[name](spark, path)
+    cols = sorted(got.columns)
+    want = con.sql(SQL[name])
+    at = [want.columns.index(c) for c in cols]
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
