@@ -7,6 +7,8 @@ again, so results are exactly once. Readers settle the batches' rows by key; `co
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +19,9 @@ from ..operators import extract
 KEPT = "case_name string, category string, value string, file_name string, ord long, position int, first_seen struct<ord:long,position:int>"
 
 
-def merge_batch(old: DataFrame, texts: DataFrame) -> DataFrame:
-    """The findings table after one more batch of texts."""
-    occ = extract.in_file(extract.accepted(extract.matches(texts)), "case_name", "file_name", "ord")
+def merge_batch(old: DataFrame, texts: DataFrame, standing: Collection[str] = ()) -> DataFrame:
+    """The findings table after one more batch of texts; `standing` as in `extract.matches`."""
+    occ = extract.in_file(extract.accepted(extract.matches(texts, standing=standing)), "case_name", "file_name", "ord")
     new = occ.select("case_name", "category", "value", "file_name", "ord", "position", F.struct("ord", "position").alias("first_seen"))
     return settle(old.unionByName(new))
 
