@@ -58,7 +58,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries that tell where a value stands.
-PLACED = ["context_round_trip", "csv_rows", "export_indicators", "findings", "live_indicators", "master_insert", "master_runs", "merge_in_batches", "nested_json", "report_rows", "stored_findings"]
+PLACED = ["context_round_trip", "csv_rows", "export_indicators", "findings", "live_indicators", "master_insert", "master_runs", "merge_in_batches", "nested_json", "report_rows", "stored_findings", "streamed_findings"]
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ case; the same file in two batches counts once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,19 +53,19 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         yield pd.DataFrame([(*key, *held)], columns=[*KEY, *_FIELDS])
 
 
-def changes(texts: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """The stream of keys whose finding has changed, of a stream of case_name, file_name, ord, text."""
-    occ = extract.accepted(extract.matches(texts, categories)).select(*KEY, "file_name", F.col("ord").cast("long").alias("ord"), "position", F.col("ord").cast("long").alias("first_ord"), F.col("position").alias("first_position"))
+def changes(texts: DataFrame, categories: list[str] | None = None, standing: Collection[str] = ()) -> DataFrame:
+    """The stream of keys whose finding has changed, of a stream of case_name, file_name, ord, text; `standing` as in `extract.matches`."""
+    occ = extract.accepted(extract.matches(texts, categories, standing)).select(*KEY, "file_name", F.col("ord").cast("long").alias("ord"), "position", F.col("ord").cast("long").alias("first_ord"), F.col("position").alias("first_position"))
     return occ.mapInPandas(_combined, ROW).groupBy(*KEY).applyInPandasWithState(_step, ROW, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def start(texts: DataFrame, checkpoint: str, target: str | None = None, once: bool = False) -> StreamingQuery:
+def start(texts: DataFrame, checkpoint: str, target: str | None = None, once: bool = False, standing: Collection[str] = ()) -> StreamingQuery:
     """Starts the stream. With `target`, each batch's changes are written below it, under the batch's number: a batch that is repeated writes the same folder again."""
 
     def each(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
-    writer = changes(texts).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = changes(texts, standing=standing).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(each) if target else writer.format("noop")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
